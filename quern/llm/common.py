@@ -144,3 +144,23 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[tuple[int, np.ndarr
 def unique_ids(df: DataFrame, column: str) -> bool:
     row = df.agg(F.count(column).alias("n"), F.count_distinct(column).alias("d"), F.count("*").alias("a")).first()
     return row.n == row.d == row.a
+
+
+def summed(df: DataFrame, length: int, lots: int = 32) -> np.ndarray:
+    """Sum of the int64 vectors in the one binary column of ``df``, in two rounds."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(length, np.int64)
+        for batch in batches:
+            for v in batch.column(0):
+                total += np.frombuffer(v.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+
+    schema = "v binary"
+    rows = df.repartition(lots).mapInArrow(add, schema).repartition(1).mapInArrow(add, schema).collect()  # one row
+    return np.frombuffer(rows[0].v, np.int64).copy() if rows else np.zeros(length, np.int64)
+
+
+def hash01(col: Column, seed: int) -> Column:
+    """A number in [0, 1) that depends on the value and the seed alone."""
+    return F.shiftrightunsigned(F.xxhash64(col, F.lit(seed)), 11) / F.lit(2.0**53)

@@ -26,7 +26,7 @@ from quern.llm.tokens import encoder
 from quern.plans.materialize import materialize
 
 #: Groups of large lengths; share of the capacity above which a length is large.
-GROUPS, LARGE = 192, 0.25
+GROUPS, LARGE = 96, 0.4
 #: Pieces of one length whose ranks are counted together.
 RANK_BLOCK = 1_000_000
 

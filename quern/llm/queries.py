@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from quern.llm import near_dedup
+from quern.llm.ann import op9_collision_counting
+from quern.llm.binary import op5_pfor_tokens
+from quern.llm.langid import op2_language_id
+from quern.llm.near_dedup import op10_near_dedup
+from quern.llm.packing import op3_best_fit_packing
+from quern.llm.quality import op1_quality_classifier
+from quern.llm.sharding import op7_sampled_splitters
+
+_QUERIES = (op1_quality_classifier, op2_language_id, op3_best_fit_packing, op5_pfor_tokens, op7_sampled_splitters, op9_collision_counting, op10_near_dedup)
 
 
 def queries() -> dict:
-    return {"op10_near_dedup": near_dedup.op10_near_dedup}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
