@@ -9,7 +9,9 @@ a table key with probability (1 - (1 - s**rows)**tables)**2.
 
 Large buckets never become all pairs: sets are first collapsed by equality,
 every member of a bucket is verified against the bucket's smallest member, and
-only members that are still in another component meet in a second round.
+only members outside a bucket's main component meet the others in a second
+round. A sketch of 512 bits, one per random hyperplane, rules out most pairs
+before their texts are fetched.
 """
 
 from __future__ import annotations
@@ -25,25 +27,36 @@ from quern.llm.common import as_bytes, bounded_batches, chunks, mix, shingle_has
 from quern.operators.graph import connected_components
 from quern.plans.materialize import materialize
 
-#: Members of a mixed bucket above which its key is joined with a further one.
+#: Members outside a bucket's main component above which its key is joined with a further one.
 WIDE_BUCKET = 512
-#: Partial keys that a pair must share before its full sets are compared. Of 16
-#: with two rows each, a pair of similarity 0.8 shares ten on average, and fewer
-#: than four once in 10,000 times.
-SHARED_KEYS = 4
+#: Sketch words of 64 bits; bits that may differ; set size from which sketches count.
+#: Sets of similarity 0.8 differ in 15 of 100 bits; 110 of 512 is four standard errors more.
+SKETCH_WORDS, MOST_BITS, SKETCHED_SIZE = 8, 110, 64
 
 
 def _salts(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def sketch(u: np.ndarray) -> np.ndarray:
+    """The majority of each hash bit over the set's members."""
+    out = np.zeros(SKETCH_WORDS, np.int64)
+    for k in range(SKETCH_WORDS):
+        h = mix(u + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF))
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(h), 255):  # sums of 255 bits fit a byte
+            ones += np.add.reduce(np.unpackbits(h[i : i + 255].view(np.uint8).reshape(-1, 8), axis=1), 0, np.uint8)
+        out[k] = np.packbits(2 * ones > len(h)).view(np.int64)[0]
+    return out
+
+
 def _signatures(width: int, tables: int, rows: int):
     salts = _salts(2 * tables * rows)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(1))
-            n_out, fp, low = [], [], []
+            n_out, fp, low, bits_out = [], [], [], []
             for i, j in chunks(texts):
                 h, counts, _, _ = word_hashes(texts[i:j])
                 s, n = shingle_hashes(h, counts, width)
@@ -52,9 +65,10 @@ def _signatures(width: int, tables: int, rows: int):
                 keys = np.zeros((j - i, 2 * tables), np.int64)
                 prints = np.zeros((j - i, 2), np.int64)
                 sizes = np.zeros(j - i, np.int64)
+                bits = np.zeros((j - i, SKETCH_WORDS), np.int64)
                 for k in some:
                     u = np.unique(s[at[k] : at[k] + n[k]])
-                    sizes[k] = len(u)
+                    sizes[k], bits[k] = len(u), sketch(u)
                     prints[k] = (np.bitwise_xor.reduce(mix(u)).view(np.int64), u.sum(dtype=np.uint64).view(np.int64))
                 if len(some):
                     with np.errstate(over="ignore"):
@@ -68,11 +82,12 @@ def _signatures(width: int, tables: int, rows: int):
                 n_out.append(sizes)
                 fp.append(prints)
                 low.append(keys)
+                bits_out.append(bits)
             if not n_out:
                 continue
             prints, keys = np.concatenate(fp), np.concatenate(low)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), 2 * tables).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n_out)), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists], ["id", "n", "f1", "f2", "keys"])
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (keys, np.concatenate(bits_out))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n_out)), pa.array(prints[:, 0]), pa.array(prints[:, 1]), *lists], ["id", "n", "f1", "f2", "keys", "bits"])
 
     return of
 
@@ -147,9 +162,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, n long, f1 long, f2 long, keys array<long>"
+    schema = "id long, n long, f1 long, f2 long, keys array<long>, bits array<long>"
     sig = materialize(texts.mapInArrow(_signatures(width, tables, rows), schema), "signatures")
-    classes = sig.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
+    classes = sig.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     classes = materialize(classes, "classes")
     table = materialize(_table_keys(classes.select("rep", "n", "keys"), tables), "tables")
     heads = table.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("c")).where("c > 1")
@@ -170,40 +185,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def _alike(n1: str, n2: str, b1: str, b2: str):
+    """Whether two sketches allow the similarity, or a set is too small to have one."""
+    differ = sum((F.bit_count(F.col(b1)[k].bitwiseXOR(F.col(b2)[k])) for k in range(1, SKETCH_WORDS)), F.bit_count(F.col(b1)[0].bitwiseXOR(F.col(b2)[0])))
+    return (F.least(n1, n2) < SKETCHED_SIZE) | (differ <= MOST_BITS)
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose sketches allow the similarity."""
+    dst = classes.select(F.col("rep").alias("dst"), F.col("n").alias("n2"), F.col("bits").alias("b2"))
+    src = classes.select(F.col("rep").alias("src"), F.col("n").alias("n1"), F.col("bits").alias("b1"))
+    out = pairs.join(dst, "dst").join(src, "src")
+    return out.where(_alike("n1", "n2", "b1", "b2")).select("src", "dst")
+
+
 def _cross_pairs(table: DataFrame, classes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets that share a table key but no component yet.
 
-    Buckets wider than WIDE_BUCKET are split once by joining each key with the
+    In each bucket the members outside its main component meet all others.
+    Where they are more than WIDE_BUCKET, the key is first joined with the
     other such keys of the same set: a linked pair shares many keys, sets that
-    only share a passage share few. Pairs are compared by their partial keys
-    inside the join, so only plausible ones leave it.
+    only share a passage share few. Sketches are compared inside the join, so
+    only plausible pairs leave it.
     """
     member = table.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = materialize(_mixed(member), "members")
-    wide = mixed.where(F.col("c") > WIDE_BUCKET)
+    wide = mixed.where(F.col("others") > WIDE_BUCKET)
     other = wide.select("rep", F.col("key").alias("other"))
-    split = wide.join(other, "rep").where("key < other").select(F.xxhash64("key", "other").alias("key"), "rep", "n", "component")
-    both = mixed.where(F.col("c") <= WIDE_BUCKET).drop("c").unionByName(_mixed(split).drop("c"))
-    both = both.join(classes.select("rep", "keys"), "rep")
-    a = both.select("key", F.col("rep").alias("src"), F.col("n").alias("n1"), F.col("component").alias("c1"), F.col("keys").alias("k1"))
-    b = both.select("key", F.col("rep").alias("dst"), F.col("n").alias("n2"), F.col("component").alias("c2"), F.col("keys").alias("k2"))
-    close = F.size(F.array_intersect("k1", "k2")) >= SHARED_KEYS
-    on = (a["key"] == b["key"]) & (F.col("src") < F.col("dst")) & (F.col("c1") != F.col("c2")) & _similar_size("n1", "n2", percent) & close
-    return a.join(b, on).select("src", "dst").distinct()
+    split = wide.join(other, "rep").where("key < other").select(F.xxhash64("key", "other").alias("key"), "rep", "component")
+    both = mixed.where(F.col("others") <= WIDE_BUCKET).unionByName(_mixed(split))
+    both = both.join(classes.select("rep", "n", "bits"), "rep")
+    a = both.where("component != main").select("key", F.col("rep").alias("src"), F.col("n").alias("n1"), F.col("component").alias("c1"), F.col("bits").alias("b1"))
+    b = both.select("key", F.col("rep").alias("dst"), F.col("n").alias("n2"), F.col("component").alias("c2"), F.col("main"), F.col("bits").alias("b2"))
+    once = (F.col("c2") == F.col("main")) | (F.col("src") < F.col("dst"))
+    on = (a["key"] == b["key"]) & (F.col("c1") != F.col("c2")) & once & _similar_size("n1", "n2", percent) & _alike("n1", "n2", "b1", "b2")
+    return a.join(b, on).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
 def _mixed(member: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component, with the bucket's size."""
-    size = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"))
-    return member.join(size.where("lo != hi").select("key", "c"), "key")
-
-
-def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that share partial keys enough; one of similarity 0.8 fails once in 10,000."""
-    keys = classes.select("rep", "keys")
-    out = pairs.join(keys.select(F.col("rep").alias("dst"), F.col("keys").alias("k2")), "dst")
-    out = out.join(keys.select(F.col("rep").alias("src"), F.col("keys").alias("k1")), "src")
-    return out.where(F.size(F.array_intersect("k1", "k2")) >= SHARED_KEYS).select("src", "dst")
+    """Members of buckets with several components: with the largest and how many are outside it."""
+    part = member.groupBy("key", "component").agg(F.count("*").alias("c"))
+    size = part.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"))
+    size = size.where("all > top.c").select("key", F.col("top.component").alias("main"), (F.col("all") - F.col("top.c")).alias("others"))
+    return member.select("key", "rep", "component").join(size, "key")
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
