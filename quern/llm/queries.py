@@ -4,13 +4,27 @@ from __future__ import annotations
 
 from quern.llm.ann import op9_collision_counting
 from quern.llm.binary import op5_pfor_tokens
+from quern.llm.decontaminate import op8_template_decontamination
 from quern.llm.langid import op2_language_id
+from quern.llm.licenses import op4_license_scan
 from quern.llm.near_dedup import op10_near_dedup
 from quern.llm.packing import op3_best_fit_packing
 from quern.llm.quality import op1_quality_classifier
 from quern.llm.sharding import op7_sampled_splitters
+from quern.llm.substring_dedup import op6_substring_dedup
 
-_QUERIES = (op1_quality_classifier, op2_language_id, op3_best_fit_packing, op5_pfor_tokens, op7_sampled_splitters, op9_collision_counting, op10_near_dedup)
+_QUERIES = (
+    op1_quality_classifier,
+    op2_language_id,
+    op3_best_fit_packing,
+    op4_license_scan,
+    op5_pfor_tokens,
+    op6_substring_dedup,
+    op7_sampled_splitters,
+    op8_template_decontamination,
+    op9_collision_counting,
+    op10_near_dedup,
+)
 
 
 def queries() -> dict:
@@ -18,4 +32,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    """None of these can be expressed in SQL; their tests use brute force."""
     return {}
