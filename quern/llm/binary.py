@@ -30,21 +30,42 @@ from quern.plans.materialize import materialize, scratch_path
 
 MAGIC, BLOCK, PERCENTILE = b"QPFOR1\n\x00", 128, 0.9
 #: Ids after which a file is closed; ids decoded at once.
-FILE_TOKENS, READ_BLOCKS = 8 << 20, 4096
-
-
-def encode_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Encoded blocks and the start of each; the last is filled up with its minimum."""
-    n = -(-len(ids) // BLOCK)
-    if not n:
-        return b"", np.zeros(0, np.int64)
-    tail = ids[(n - 1) * BLOCK :]
-    v = np.concatenate([ids, np.full(n * BLOCK - len(ids), tail.min(), np.uint32)]).reshape(n, BLOCK)
+FILE_TOKENS, READ_BLOCKS = 4 << 20, 2048
+
+
+def _pack(d: np.ndarray, w: int) -> np.ndarray:
+    """Low w bits of 128 values per row, first value in the lowest bits: 16 * w bytes per row."""
+    t = d.T.astype(np.uint64) & np.uint64((1 << w) - 1)
+    out = np.zeros((2 * w, len(d)), np.uint64)
+    for i in range(BLOCK):
+        word, shift = divmod(i * w, 64)
+        out[word] |= t[i] << np.uint64(shift)
+        if shift + w > 64:
+            out[word + 1] |= t[i] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(out.T).astype("<u8").view(np.uint8).reshape(len(d), 16 * w)
+
+
+def _unpack(raw: np.ndarray, w: int) -> np.ndarray:
+    words = np.ascontiguousarray(np.ascontiguousarray(raw).view("<u8").T)
+    out = np.empty((BLOCK, len(raw)), np.uint32)
+    mask = np.uint64((1 << w) - 1)
+    for i in range(BLOCK):
+        word, shift = divmod(i * w, 64)
+        v = words[word] >> np.uint64(shift)
+        if shift + w > 64:
+            v = v | words[word + 1] << np.uint64(64 - shift)
+        out[i] = v & mask
+    return out.T
+
+
+def _encode_some(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of full blocks (one per row) and the size of each."""
     low = v.min(1)
     d = v - low[:, None]
-    bits = np.frexp(d.astype(np.float64))[1]
-    width = np.partition(bits, int(np.ceil(PERCENTILE * BLOCK)) - 1, axis=1)[:, int(np.ceil(PERCENTILE * BLOCK)) - 1]
-    over = bits > width[:, None]
+    kth = int(np.ceil(PERCENTILE * BLOCK)) - 1
+    width = np.frexp(np.partition(d, kth, axis=1)[:, kth].astype(np.float64))[1].astype(np.int64)
+    over = (d >> width[:, None].astype(np.uint32)) != 0
+    over[width >= 32] = False
     exceptions = over.sum(1)
     size = 6 + 16 * width + 5 * exceptions
     start = np.concatenate([[0], np.cumsum(size)])
@@ -52,11 +73,10 @@ def encode_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     begin = start[:-1]
     out[begin[:, None] + np.arange(4)] = low.astype("<u4")[:, None].view(np.uint8)
     out[begin + 4], out[begin + 5] = width, exceptions
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         if w:
             at = np.flatnonzero(width == w)
-            flags = d[at][:, :, None] >> np.arange(w, dtype=np.uint32) & np.uint32(1)
-            out[(begin[at] + 6)[:, None] + np.arange(16 * w)] = np.packbits(flags.astype(np.uint8).reshape(len(at), -1), axis=1, bitorder="little")
+            out[(begin[at] + 6)[:, None] + np.arange(16 * w)] = _pack(d[at], w)
     row, place = np.nonzero(over)
     if len(row):
         nth = np.arange(len(row)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
@@ -64,7 +84,24 @@ def encode_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         out[spot + nth] = place
         high = (d[row, place] >> width[row].astype(np.uint32)).astype("<u4")
         out[(spot + exceptions[row] + 4 * nth)[:, None] + np.arange(4)] = high[:, None].view(np.uint8)
-    return out.tobytes(), begin
+    return out, size
+
+
+def encode_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Encoded blocks and the start of each; the last is filled up with its minimum."""
+    n = -(-len(ids) // BLOCK)
+    if not n:
+        return b"", np.zeros(0, np.int64)
+    parts, sizes = [], []
+    for k in range(0, n, READ_BLOCKS):
+        v = ids[k * BLOCK : (k + READ_BLOCKS) * BLOCK]
+        if len(v) % BLOCK:
+            v = np.concatenate([v, np.full(-len(v) % BLOCK, v[len(v) // BLOCK * BLOCK :].min(), np.uint32)])
+        raw, size = _encode_some(v.reshape(-1, BLOCK))
+        parts.append(raw.tobytes())
+        sizes.append(size)
+    size = np.concatenate(sizes)
+    return b"".join(parts), np.cumsum(size) - size
 
 
 def decode_blocks(raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -73,14 +110,10 @@ def decode_blocks(raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
     low = raw[begin[:, None] + np.arange(4)].copy().view("<u4")[:, 0]
     width, exceptions = raw[begin + 4].astype(np.int64), raw[begin + 5].astype(np.int64)
     d = np.zeros((n, BLOCK), np.uint32)
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         if w:
             at = np.flatnonzero(width == w)
-            flags = np.unpackbits(raw[(begin[at] + 6)[:, None] + np.arange(16 * w)], axis=1, bitorder="little").reshape(len(at), BLOCK, w)
-            own = np.zeros((len(at), BLOCK), np.uint32)
-            for k in range(w):
-                own |= flags[:, :, k].astype(np.uint32) << np.uint32(k)
-            d[at] = own
+            d[at] = _unpack(raw[(begin[at] + 6)[:, None] + np.arange(16 * w)], w)
     if exceptions.any():
         row = np.repeat(np.arange(n), exceptions)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
@@ -221,7 +254,9 @@ def read_tokens(manifest: DataFrame, path: str, *, with_ids: bool = False) -> Da
     start counts the ids of all documents before it. A file is read by one task.
     """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    return manifest.select("name", "base").repartition("name").mapInArrow(_read(path, with_ids), schema)
+    files = manifest.count()
+    lots = max(1, min(files, 4 * manifest.sparkSession.sparkContext.defaultParallelism))
+    return manifest.select("name", "base").repartition(lots, "name").mapInArrow(_read(path, with_ids), schema)
 
 
 def op5_pfor_tokens(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Token ids of whole texts, each distinct word encoded once per batch.
+"""Token ids of whole texts, each distinct piece encoded once and kept.
 
 The byte-level pre-tokenizer never joins a character that isn't white space
-with white space after it. A text without adjacent white space may therefore
-be cut before each space; the pieces' ids, one after another, are the text's.
-Texts with adjacent white space are encoded whole.
+with white space after it, nor a letter with a sign after it (but for an
+apostrophe). A text without adjacent white space may therefore be cut before
+spaces, around line ends and between letters and signs; the pieces' ids, one
+after another, are the text's. Texts with adjacent white space are encoded whole.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Characters (UTF-8 bytes) of text cut at once and entries kept between batches.
-BATCH_BYTES, KEPT = 4 << 20, 500_000
-_WIDE_GAP = r"[\s\x0b\x{85}\p{Z}]{2}"
-_NUL = "\x00"
+#: Characters of text cut at once, and pieces kept in each of two generations.
+BATCH_BYTES, KEPT = 4 << 20, 300_000
+_WIDE_GAP = r"[\s\x0b\x{85}\p{Z}]{2}|[\x00\x01]"
+_SIGNS = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:%$#*&|]+)"
+_NUL, _CUT = "\x00", "\x01"
 
 
 @lru_cache(maxsize=2)
@@ -38,6 +40,7 @@ class Encoder:
         self.model = tokenizer(path)
         self.nul = self.model.encode(_NUL, add_special_tokens=False).ids
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # pieces may be told apart by NUL only where no token but its own holds it
         own = [v for k, v in self.model.get_vocab().items() if self.model.decoder and _NUL in self.model.decoder.decode([k])]
         self.by_nul = len(self.nul) == 1 and own == self.nul
@@ -69,34 +72,36 @@ class Encoder:
         self._some(texts, i, len(texts), out)
         return out
 
+    def _learn(self, known: list[str]) -> None:
+        """Have all pieces in ``kept``; those not met for a generation are forgotten."""
+        if len(self.kept) > KEPT:
+            self.older, self.kept = self.kept, {}
+        new = set(known).difference(self.kept)
+        if self.older:
+            self.kept.update((k, self.older[k]) for k in new.intersection(self.older))
+            new.difference_update(self.older)
+        plain = [k for k in new if k and k[0] != "'" and not k[-1].isspace()]
+        self.kept.update(zip(plain, self.pieces(plain)))
+        rest = list(new.difference(plain))
+        self.kept.update(zip(rest, self.whole(rest)))
+
     def _some(self, texts: list[str | None], i: int, j: int, out: list[bytes]) -> None:
         part = pa.array(["" if t is None else t for t in texts[i:j]], pa.large_string())
-        odd = pc.or_(pc.match_substring_regex(part, _WIDE_GAP), pc.match_substring(part, _NUL)).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(part, _WIDE_GAP).to_numpy(zero_copy_only=False)
         for k in np.flatnonzero(odd):
             out[i + k] = self.whole([texts[i + k]])[0]
         usual = np.flatnonzero(~odd)
         if not len(usual):
             return
-        cut = pc.split_pattern(part.take(pa.array(usual)), " ")
+        marked = pc.replace_substring(part.take(pa.array(usual)), " ", _CUT + " ")
+        marked = pc.replace_substring(marked, "\n", f"{_CUT}\n{_CUT}")
+        cut = pc.split_pattern(pc.replace_substring_regex(marked, _SIGNS, rf"\1{_CUT}\2"), _CUT)
         counts = pc.list_value_length(cut).to_numpy()
         coded = cut.flatten().dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        known, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
         first = np.concatenate([[0], np.cumsum(counts)])[:-1]
-        # a first piece has no space before it
-        heads = index[first]
-        index = index + 0
-        index[first] = len(words) + np.arange(len(first))
-        known = [" " + w for w in words] + [words[h] for h in heads]
-        new = list(set(known).difference(self.kept))
-        plain = [k for k in new if k and k[0] != "'" and not k[-1].isspace()]
-        fresh = dict(zip(plain, self.pieces(plain)))
-        if len(fresh) < len(new):
-            rest = [k for k in new if k not in fresh]
-            fresh.update(zip(rest, self.whole(rest)))
-        self.kept.update(fresh)
+        self._learn(known)
         ids = list(map(self.kept.__getitem__, known))
-        if len(self.kept) > KEPT:
-            self.kept = dict(zip(known[:KEPT], ids))
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         pool, begin = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(size)])[:-1]
         each = size[index]
