@@ -11,8 +11,21 @@ CREATES = ("CREATE", "CREATE2")
 SENSITIVE_SELECTORS = ("a9059cbb", "23b872dd", "095ea7b3", "d505accf", "42842e0e", "a22cb465")
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once for each row.
+
+    The optimizer would otherwise copy the expression into every lambda and
+    place that uses it, and so compute it once per element.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def kgrams(ops: Column, k: int = 4) -> Column:
     """Distinct k-grams; a shorter sequence whole; <EMPTY> for none."""
+    return bind(ops, lambda w: _kgrams(w, k))
+
+
+def _kgrams(ops: Column, k: int) -> Column:
     grams = F.transform(F.sequence(F.lit(1), F.size(ops) - (k - 1)), lambda i: F.array_join(F.slice(ops, i, k), " "))
     return F.when(F.size(ops) >= k, F.array_distinct(grams)).when(F.size(ops) > 0, F.array(F.array_join(ops, " "))).otherwise(F.array(F.lit("<EMPTY>")))
 
@@ -112,6 +125,10 @@ def encode_tokens(ops: Column, vocabulary: tuple[str, ...]) -> Column:
 
 def chunked(ids: Column, width: int = 256, most: int = 16) -> Column:
     """Chunks of ``width``, the last padded with 0; beyond ``most``, evenly spaced ones (half to even)."""
+    return bind(ids, lambda x: _chunked(x, width, most))
+
+
+def _chunked(ids: Column, width: int, most: int) -> Column:
     n = F.greatest(F.lit(1), F.ceil(F.size(ids) / width).cast("int"))
     keep = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(most)) - 1), lambda i: F.when(n <= most, i).otherwise(F.bround(i * (n - 1) / F.lit(most - 1)).cast("int")))
     part = lambda i: F.slice(ids, i * width + 1, width)
@@ -120,8 +137,8 @@ def chunked(ids: Column, width: int = 256, most: int = 16) -> Column:
 
 def downsample(ids: Column, length: int) -> Column:
     """At most ``length`` values at a uniform stride."""
-    stride = F.size(ids) / F.lit(length)
-    return F.when(F.size(ids) <= length, ids).otherwise(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.get(ids, F.floor(i * stride).cast("int"))))
+    pick = lambda x: F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.get(x, F.floor(i * F.size(x) / F.lit(length)).cast("int")))
+    return bind(ids, lambda x: F.when(F.size(x) <= length, x).otherwise(pick(x)))
 
 
 def random_chunk(ids: Column, key: Column, width: int, stride: int) -> Column:

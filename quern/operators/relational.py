@@ -76,9 +76,7 @@ def prefix_matches(df: DataFrame, column: str, rules: DataFrame, prefix: str) ->
     no join of all rows with all rules.
     """
     lengths = [r.n for r in rules.select(F.length(prefix).alias("n")).distinct().orderBy("n").limit(1000).collect()]
-    heads = df.withColumn("__head", F.explode(F.array(*[F.left(column, F.lit(n)) for n in lengths]))).where(F.length("__head").isin(lengths))
-    full = F.struct(*[c for c in df.columns])
-    heads = heads.withColumn("__row", full).select("__row", "__head").distinct() if lengths and min(lengths) == 0 else heads
+    heads = df.withColumn("__head", F.explode(F.array_distinct(F.array(*[F.left(column, F.lit(n)) for n in lengths]))))
     return heads.join(small(rules), F.col("__head") == F.col(prefix)).drop("__head")
 
 

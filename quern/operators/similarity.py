@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.features import digest60, kgrams
 from quern.operators.graph import connected_components
 from quern.plans.materialize import materialize
+from quern.schemas import kind
 
 #: Positions of a signature.
 POSITIONS = 128
@@ -22,10 +28,26 @@ def salts(n: int) -> list[int]:
     return out
 
 
-def signature(grams: Column, positions: int = POSITIONS) -> Column:
-    """Minimum of hash xor salt per position. Hashes have 60 bits, so signed order is right."""
-    hashes = F.transform(grams, digest60)
-    return F.transform(F.array(*map(F.lit, salts(positions))), lambda s: F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(s))))
+def signatures(df: DataFrame, id_col: str, grams: Column, positions: int = POSITIONS) -> DataFrame:
+    """(id, sig): minimum of hash xor salt per position, as 60-bit numbers.
+
+    The hashes are made in the JVM; the outer xor works on Arrow batches, since
+    nested lambdas would be interpreted ``positions`` times for each gram.
+    """
+    salt = np.array(salts(positions), np.int64)
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for h in pdf["h"]:
+                low = np.full(positions, np.iinfo(np.int64).max)
+                for k in range(0, len(h), 4096):  # a long text's hashes meet the salts in bounded pieces
+                    low = np.minimum(low, np.bitwise_xor.outer(salt, np.asarray(h[k : k + 4096], np.int64)).min(1))
+                out.append(low)
+            yield pd.DataFrame({id_col: pdf[id_col], "sig": out})
+
+    hashed = df.select(id_col, F.transform(grams, digest60).alias("h"))
+    return hashed.mapInPandas(of, T.StructType([df.schema[id_col], T.StructField("sig", kind("[long]"))]))
 
 
 def agreement(a: Column, b: Column) -> Column:
@@ -43,9 +65,9 @@ def similar_pairs(sig: DataFrame, id_col: str, sig_col: str, threshold: float, p
     need = -(-int(round(threshold * positions * 1000)) // 1000)
     bands = positions - need + 1
     edges = [positions * k // bands for k in range(bands + 1)]
-    key = [F.xxhash64(F.lit(k), F.slice(sig_col, edges[k] + 1, edges[k + 1] - edges[k])) for k in range(bands)]
+    key = [F.xxhash64(F.lit(k), F.slice("sig", edges[k] + 1, edges[k + 1] - edges[k])) for k in range(bands)]
     cls = representatives(sig, id_col, sig_col)
-    banded = cls.select("rep", "sig", F.explode(F.array(*key)).alias("band")) if sig_col == "sig" else cls.withColumn(sig_col, F.col("sig")).select("rep", "sig", F.explode(F.array(*key)).alias("band"))
+    banded = cls.select("rep", "sig", F.explode(F.array(*key)).alias("band"))
     a = banded.select("band", F.col("rep").alias("a"), F.col("sig").alias("sa"))
     b = banded.select("band", F.col("rep").alias("b"), F.col("sig").alias("sb"))
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
@@ -90,7 +112,7 @@ def selector_family(selectors: Column) -> Column:
 
 
 def token_signature(df: DataFrame, id_col: str, ops: Column, k: int = 4) -> DataFrame:
-    return df.select(id_col, signature(kgrams(ops, k)).alias("sig"))
+    return signatures(df, id_col, kgrams(ops, k))
 
 
 def novelty(exact: Column, similarity: Column) -> Column:
