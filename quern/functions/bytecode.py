@@ -14,15 +14,20 @@ from quern.schemas import struct
 _CBOR = ("a2646970667358", "a165627a7a72305820")  # Fixed values: metadata markers.
 
 
+def _text(c: Column) -> Column:
+    """Lower case without white space at the ends and 0x; null becomes empty."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"^\s+|\s+$", ""), "^0x", "")
+
+
 def normalize(c: Column) -> Column:
     """Lower case, trimmed, without 0x and without an odd last nibble; null becomes empty."""
-    h = F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), "^0x", "")
+    h = _text(c)
     return F.substring(h, F.lit(1), F.length(h) - F.length(h) % 2)
 
 
 def normalize_hex(c: Column) -> Column:
     """As ``normalize``, but characters that aren't hex go before the parity cut."""
-    h = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), "^0x", ""), "[^0-9a-f]", "")
+    h = F.regexp_replace(_text(c), "[^0-9a-f]", "")
     return F.substring(h, F.lit(1), F.length(h) - F.length(h) % 2)
 
 

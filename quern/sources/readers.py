@@ -58,7 +58,7 @@ def read_hex_directory(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.hex").text(path, wholetext=True)
     name = F.col("_metadata.file_path")
     parts = F.split(name, "/")
-    return files.select(F.element_at(parts, -2).alias("chain"), F.regexp_extract(name, r"([^/]+)\.hex$", 1).alias("address"), F.trim("value").alias("bytecode"))
+    return files.select(F.element_at(parts, -2).alias("chain"), F.regexp_extract(name, r"([^/]+)\.hex$", 1).alias("address"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("bytecode"))
 
 
 def read_address_list(spark: SparkSession, path: str) -> DataFrame:
