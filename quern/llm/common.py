@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Ids that may be sent to every executor; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: UTF-8 bytes handled at once by a kernel; a longer text makes a chunk alone.
 CHUNK_BYTES = 1 << 20
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -24,6 +26,11 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(16 << 20))
 
 
+def small_ids(ids: DataFrame) -> DataFrame:
+    """A table of ids, with a broadcast hint where it is small enough."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def crc_mod(col: Column, mod: int) -> Column:
     """crc32 of the value as text, modulo ``mod``."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(mod)

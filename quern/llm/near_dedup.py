@@ -10,8 +10,8 @@ a table key with probability (1 - (1 - s**rows)**tables)**2.
 Large buckets never become all pairs: sets are first collapsed by equality,
 every member of a bucket is verified against the bucket's smallest member, and
 only members outside a bucket's main component meet the others in a second
-round. A sketch of 512 bits, one per random hyperplane, rules out most pairs
-before their texts are fetched.
+round. There a sketch of 2048 bits, one per random hyperplane, rules out most
+pairs before their texts are fetched.
 """
 
 from __future__ import annotations
@@ -23,15 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_bytes, bounded_batches, chunks, mix, shingle_hashes, shingle_sets, word_hashes
+from quern.llm.common import as_bytes, bounded_batches, chunks, mix, shingle_hashes, shingle_sets, small_ids, word_hashes
 from quern.operators.graph import connected_components
 from quern.plans.materialize import materialize
 
 #: Members outside a bucket's main component above which its key is joined with a further one.
 WIDE_BUCKET = 512
+#: Partial keys that a pair must share before its texts are compared. Of 16 with
+#: two rows each, a pair of similarity 0.8 shares ten on average, and fewer than
+#: four once in 10,000 times.
+SHARED_KEYS = 4
 #: Sketch words of 64 bits; bits that may differ; set size from which sketches count.
-#: Sets of similarity 0.8 differ in 15 of 100 bits; 110 of 512 is four standard errors more.
-SKETCH_WORDS, MOST_BITS, SKETCHED_SIZE = 8, 110, 64
+#: Sets of similarity 0.8 differ in 15 of 100 bits; 375 of 2048 is four standard errors more.
+SKETCH_WORDS, MOST_BITS, SKETCHED_SIZE = 32, 375, 64
 
 
 def _salts(n: int) -> np.ndarray:
@@ -50,13 +54,29 @@ def sketch(u: np.ndarray) -> np.ndarray:
     return out
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.int64()))
+
+
+def _sketches(width: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, SKETCH_WORDS), np.int64)
+            for k, s in shingle_sets(as_bytes(batch.column(1)), width):
+                if len(s) >= SKETCHED_SIZE:
+                    out[k] = sketch(s)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(out)], ["rep", "bits"])
+
+    return of
+
+
 def _signatures(width: int, tables: int, rows: int):
     salts = _salts(2 * tables * rows)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(1))
-            n_out, fp, low, bits_out = [], [], [], []
+            n_out, fp, low = [], [], []
             for i, j in chunks(texts):
                 h, counts, _, _ = word_hashes(texts[i:j])
                 s, n = shingle_hashes(h, counts, width)
@@ -65,10 +85,9 @@ def _signatures(width: int, tables: int, rows: int):
                 keys = np.zeros((j - i, 2 * tables), np.int64)
                 prints = np.zeros((j - i, 2), np.int64)
                 sizes = np.zeros(j - i, np.int64)
-                bits = np.zeros((j - i, SKETCH_WORDS), np.int64)
                 for k in some:
                     u = np.unique(s[at[k] : at[k] + n[k]])
-                    sizes[k], bits[k] = len(u), sketch(u)
+                    sizes[k] = len(u)
                     prints[k] = (np.bitwise_xor.reduce(mix(u)).view(np.int64), u.sum(dtype=np.uint64).view(np.int64))
                 if len(some):
                     with np.errstate(over="ignore"):
@@ -82,12 +101,11 @@ def _signatures(width: int, tables: int, rows: int):
                 n_out.append(sizes)
                 fp.append(prints)
                 low.append(keys)
-                bits_out.append(bits)
             if not n_out:
                 continue
             prints, keys = np.concatenate(fp), np.concatenate(low)
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (keys, np.concatenate(bits_out))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n_out)), pa.array(prints[:, 0]), pa.array(prints[:, 1]), *lists], ["id", "n", "f1", "f2", "keys", "bits"])
+            lists = _lists(keys)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n_out)), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists], ["id", "n", "f1", "f2", "keys"])
 
     return of
 
@@ -118,10 +136,15 @@ def _verifier(width: int, percent: int):
     return of
 
 
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, text) of the given ids; of several texts the smallest."""
+    return texts.join(small_ids(materialize(ids, "ids")), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (src, dst) with similarity enough on their full sets."""
     need = pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id"))).distinct()
-    own = texts.join(need, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    own = _texts_of(need, texts)
     full = pairs.join(own.select(F.col("id").alias("dst"), F.col("text").alias("dst_text")), "dst")
     full = full.join(own.select(F.col("id").alias("src"), F.col("text").alias("src_text")), "src")
     return full.select("src", "dst", "src_text", "dst_text").mapInArrow(_verifier(width, percent), "src long, dst long, ok boolean").where("ok").select("src", "dst")
@@ -162,9 +185,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, n long, f1 long, f2 long, keys array<long>, bits array<long>"
+    schema = "id long, n long, f1 long, f2 long, keys array<long>"
     sig = materialize(texts.mapInArrow(_signatures(width, tables, rows), schema), "signatures")
-    classes = sig.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    classes = sig.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
     classes = materialize(classes, "classes")
     table = materialize(_table_keys(classes.select("rep", "n", "keys"), tables), "tables")
     heads = table.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("c")).where("c > 1")
@@ -173,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = materialize(_plausible(near, classes), "pairs")
     links = materialize(_verified(tried, texts, width, percent), "links")
     comp = connected_components(links)
-    rest = _cross_pairs(table, classes, comp, percent).join(tried, ["src", "dst"], "left_anti")
+    rest = _cross_pairs(table, classes, comp, texts, width, percent, tables).join(tried, ["src", "dst"], "left_anti")
     rest = materialize(rest, "pairs")
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, texts, width, percent))
@@ -185,41 +208,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def _alike(n1: str, n2: str, b1: str, b2: str):
-    """Whether two sketches allow the similarity, or a set is too small to have one."""
-    differ = sum((F.bit_count(F.col(b1)[k].bitwiseXOR(F.col(b2)[k])) for k in range(1, SKETCH_WORDS)), F.bit_count(F.col(b1)[0].bitwiseXOR(F.col(b2)[0])))
-    return (F.least(n1, n2) < SKETCHED_SIZE) | (differ <= MOST_BITS)
+def _alike():
+    """Whether the sketches b1 and b2 allow the similarity, or a set is too small to have one."""
+    differ = F.lit(0)
+    for k in range(SKETCH_WORDS):
+        differ = differ + F.bit_count(F.col("b1")[k].bitwiseXOR(F.col("b2")[k]))
+    return (F.least("n1", "n2") < SKETCHED_SIZE) | (differ <= MOST_BITS)
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose sketches allow the similarity."""
-    dst = classes.select(F.col("rep").alias("dst"), F.col("n").alias("n2"), F.col("bits").alias("b2"))
-    src = classes.select(F.col("rep").alias("src"), F.col("n").alias("n1"), F.col("bits").alias("b1"))
+    """Pairs that share partial keys enough."""
+    dst = classes.select(F.col("rep").alias("dst"), F.col("keys").alias("k2"))
+    src = classes.select(F.col("rep").alias("src"), F.col("keys").alias("k1"))
     out = pairs.join(dst, "dst").join(src, "src")
-    return out.where(_alike("n1", "n2", "b1", "b2")).select("src", "dst")
+    return out.where(F.size(F.array_intersect("k1", "k2")) >= SHARED_KEYS).select("src", "dst")
 
 
-def _cross_pairs(table: DataFrame, classes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+def _cross_pairs(table: DataFrame, classes: DataFrame, comp: DataFrame, texts: DataFrame, width: int, percent: int, tables: int) -> DataFrame:
     """Pairs of sets that share a table key but no component yet.
 
     In each bucket the members outside its main component meet all others.
     Where they are more than WIDE_BUCKET, the key is first joined with the
     other such keys of the same set: a linked pair shares many keys, sets that
     only share a passage share few. Sketches are compared inside the join, so
-    only plausible pairs leave it.
+    only plausible pairs leave it, and a pair leaves only the first of the
+    buckets that it shares.
     """
     member = table.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = materialize(_mixed(member), "members")
+    need = _texts_of(mixed.select(F.col("rep").alias("id")).distinct(), texts)
+    known = need.mapInArrow(_sketches(width), "rep long, bits array<long>").join(classes.select("rep", "n", "keys"), "rep")
     wide = mixed.where(F.col("others") > WIDE_BUCKET)
+    spread = wide.select("rep").distinct().withColumn("wide", F.lit(True))
+    known = materialize(known.join(spread, "rep", "left"), "sketches")
     other = wide.select("rep", F.col("key").alias("other"))
     split = wide.join(other, "rep").where("key < other").select(F.xxhash64("key", "other").alias("key"), "rep", "component")
-    both = mixed.where(F.col("others") <= WIDE_BUCKET).unionByName(_mixed(split))
-    both = both.join(classes.select("rep", "n", "bits"), "rep")
-    a = both.where("component != main").select("key", F.col("rep").alias("src"), F.col("n").alias("n1"), F.col("component").alias("c1"), F.col("bits").alias("b1"))
-    b = both.select("key", F.col("rep").alias("dst"), F.col("n").alias("n2"), F.col("component").alias("c2"), F.col("main"), F.col("bits").alias("b2"))
-    once = (F.col("c2") == F.col("main")) | (F.col("src") < F.col("dst"))
-    on = (a["key"] == b["key"]) & (F.col("c1") != F.col("c2")) & once & _similar_size("n1", "n2", percent) & _alike("n1", "n2", "b1", "b2")
-    return a.join(b, on).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    first = F.xxhash64(F.array_intersect(F.slice("k1", 1, tables), F.slice("k2", 1, tables))[0], F.array_intersect(F.slice("k1", tables + 1, tables), F.slice("k2", tables + 1, tables))[0])
+    # the first bucket of a set that is in a wide one may be split, so any counts
+    once = F.coalesce("wide", F.lit(False)) | (F.col("key1") == first)
+    narrow = _meet(mixed.where(F.col("others") <= WIDE_BUCKET), known, percent, once)
+    return narrow.unionByName(_meet(_mixed(split), known, percent, F.lit(True))).distinct()
+
+
+def _meet(member: DataFrame, known: DataFrame, percent: int, once) -> DataFrame:
+    """Pairs of members of a bucket in different components, one of them outside the main one."""
+    full = member.join(known, "rep")
+    a = full.where("component != main").select(F.col("key").alias("key1"), F.col("rep").alias("src"), F.col("n").alias("n1"), F.col("component").alias("c1"), F.col("bits").alias("b1"), F.col("keys").alias("k1"), "wide")
+    b = full.select("key", F.col("rep").alias("dst"), F.col("n").alias("n2"), F.col("component").alias("c2"), "main", F.col("bits").alias("b2"), F.col("keys").alias("k2"))
+    order = (F.col("c2") == F.col("main")) | (F.col("src") < F.col("dst"))
+    on = (F.col("key1") == F.col("key")) & (F.col("c1") != F.col("c2")) & order & _similar_size("n1", "n2", percent) & _alike() & once
+    return a.join(b, on).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
 
 def _mixed(member: DataFrame) -> DataFrame:
