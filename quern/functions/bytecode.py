@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,16 +127,31 @@ def hex_chunks(h: Column, width: int, length: int) -> Column:
     return F.concat(parts, F.array_repeat(F.lit("0" * width), F.lit(length) - F.size(parts)))
 
 
+def _tokens() -> list[str]:
+    names = opcodes.table()
+    return ["PUSH" if 0x60 <= b <= 0x7F else names[b][0] if b in names else f"UNK_{b:02x}" for b in range(256)]
+
+
+_TOKEN = _tokens()
+_STEP = [b - 0x5E if 0x60 <= b <= 0x7F else 1 for b in range(256)]
+
+
+def _starts(code: bytes) -> list[int]:
+    """Where instructions begin in a linear sweep."""
+    out, pc, n = [], 0, len(code)
+    while pc < n:
+        out.append(pc)
+        pc += _STEP[code[pc]]
+    return out
+
+
 def _decode(code: bytes) -> list[tuple[int, int, int, str, str | None]]:
     """(pc, size, byte, token, immediate) of a linear sweep; a cut PUSH keeps what there is."""
-    out, pc, names = [], 0, opcodes.table()
-    while pc < len(code):
+    out = []
+    for pc in _starts(code):
         b = code[pc]
-        n = b - 0x5F if 0x60 <= b <= 0x7F else 0
-        imm = code[pc + 1 : pc + 1 + n]
-        token = "PUSH" if n else names[b][0] if b in names else f"UNK_{b:02x}"
-        out.append((pc, 1 + len(imm), b, token, imm.hex() if n else None))
-        pc += 1 + n
+        imm = code[pc + 1 : pc + _STEP[b]]
+        out.append((pc, 1 + len(imm), b, _TOKEN[b], imm.hex() if _STEP[b] > 1 else None))
     return out
 
 
@@ -148,12 +164,26 @@ def disassemble(code: pd.Series) -> pd.DataFrame:
     """
     rows = []
     for c in code:
-        decoded = _decode(bytes(c) if c is not None else b"")
-        pushes = [x for x in decoded if x[4] is not None]
-        rows.append(([x[3] for x in decoded], [x[2] - 0x5F for x in pushes], sorted({x[4] for x in pushes if x[2] == 0x63 and len(x[4]) == 8})))
+        raw = bytes(c) if c is not None else b""
+        starts = _starts(raw)
+        pushes = [pc for pc in starts if _STEP[raw[pc]] > 1]
+        found = {raw[pc + 1 : pc + 5].hex() for pc in pushes if raw[pc] == 0x63 and pc + 5 <= len(raw)}
+        rows.append(([_TOKEN[raw[pc]] for pc in starts], [_STEP[raw[pc]] - 1 for pc in pushes], sorted(found)))
     return pd.DataFrame(rows, columns=["ops", "push_sizes", "selectors"])
 
 
+@F.pandas_udf(struct("n_ops int, stack_balance int, gas int"))
+def program_totals(code: pd.Series) -> pd.DataFrame:
+    """Instructions, net stack effect and gas of a byte string, without a row per instruction."""
+    names = opcodes.table()
+    effect = np.array([(1, names[b][2] - names[b][1], names[b][3]) if b in names else (1, 0, 0) for b in range(256)])
+    rows = []
+    for c in code:
+        raw = bytes(c) if c is not None else b""
+        rows.append(np.bincount(np.frombuffer(raw, np.uint8)[_starts(raw)], minlength=256) @ effect if raw else np.zeros(3, int))
+    return pd.DataFrame(np.array(rows).reshape(-1, 3), columns=["n_ops", "stack_balance", "gas"]).astype("int32")
+
+
 def instructions(df: DataFrame, id_col: str, code_col: str) -> DataFrame:
     """Long form: (id, pos, pc, size, code, token, immediate), one row per instruction."""
 

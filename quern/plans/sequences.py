@@ -115,10 +115,9 @@ def hex_profile(spark, sf_dir):
 
 @query("instruction_counts")
 def instruction_counts(spark, sf_dir):
-    """Tokens of the linear sweep over the first 512 bytes of each page, with stack effect and gas."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("code"))
-    instr = bytecode.instructions(pages, "page_id", "code")
-    return bytecode.stack_and_gas(instr, "page_id").join(instr.groupBy("page_id").agg(F.count("*").alias("n_ops")), "page_id")
+    """Instructions, stack effect and gas of each page's bytes read as a program."""
+    pages = table(spark, sf_dir, "pages").select("page_id", bytecode.program_totals(F.encode("html", "UTF-8")).alias("t"))
+    return pages.select("page_id", "t.n_ops", "t.stack_balance", "t.gas")
 
 
 @query("control_flow_profile")

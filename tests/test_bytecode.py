@@ -66,6 +66,8 @@ def test_instructions_round_trip(spark):
     assert [tuple(r) for r in instr.where("id = 1").orderBy("pos").select("pc", "token", "immediate").collect()] == [(0, "PUSH", "04"), (2, "JUMP", None), (3, "STOP", None), (4, "JUMPDEST", None), (5, "STOP", None)]
     assert {r.id: r.hex for r in bytecode.assemble(instr, "id").collect()} == {1: "600456005b00", 3: "73aabb"}
     assert {r.id: (r.stack_balance, r.gas) for r in bytecode.stack_and_gas(instr, "id").collect()} == {1: (0, 12), 3: (1, 3)}
+    totals = {r.id: tuple(r.t) for r in df.select("id", bytecode.program_totals("code").alias("t")).collect()}
+    assert totals == {1: (5, 0, 12), 2: (0, 0, 0), 3: (1, 1, 3)}
 
 
 @pytest.mark.parametrize(
