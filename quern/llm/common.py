@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,15 @@ def small_ids(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on, and their memory is the executor's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def crc_mod(col: Column, mod: int) -> Column:
     """crc32 of the value as text, modulo ``mod``."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(mod)

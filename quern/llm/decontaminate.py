@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_bytes, bounded_batches, chunks, mix, powers
+from quern.llm.common import as_bytes, bounded_batches, chunks, mix, powers, trim
 
 #: Tokens of a window, how many of them must be words, tokens that must match in a row,
 #: and the share of an item that suffices where the item is shorter.
@@ -257,6 +257,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 keep = np.ones(batch.num_rows, bool)
                 keep[[r[0] for r in _found(index, as_bytes(batch.column(at)))]] = False
                 yield batch.filter(pa.array(keep))
+            trim()
 
         return of
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded_batches, chunks, crc_mod, hash01, summed
+from quern.llm.common import bounded_batches, chunks, crc_mod, hash01, summed, trim
 
 BITS = 12
 DIM = 1 << BITS
@@ -122,6 +122,7 @@ def _predict(langs: list[str], owner: np.ndarray, centroids: np.ndarray, floors:
                         score[i + k] = min(max(float(near[k, best[k]]), 0.0), 1.0)
                         away[i + k] = score[i + k] < floors[at, grade[k]]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(pred), pa.array(score), pa.array(away)], ["id", "held_out", "lang_pred", "score", "rejected"])
+        trim()
 
     return of
 

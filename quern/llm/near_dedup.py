@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_bytes, bounded_batches, chunks, mix, shingle_hashes, shingle_sets, small_ids, word_hashes
+from quern.llm.common import as_bytes, bounded_batches, chunks, mix, shingle_hashes, shingle_sets, small_ids, trim, word_hashes
 from quern.operators.graph import connected_components
 from quern.plans.materialize import materialize
 
@@ -106,6 +106,7 @@ def _signatures(width: int, tables: int, rows: int):
             prints, keys = np.concatenate(fp), np.concatenate(low)
             lists = _lists(keys)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n_out)), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists], ["id", "n", "f1", "f2", "keys"])
+        trim()
 
     return of
 
@@ -132,6 +133,7 @@ def _verifier(width: int, percent: int):
                 both = int((head[at] == s).sum())
                 ok[k] = 100 * both >= percent * (len(head) + len(s) - both)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(ok)], ["src", "dst", "ok"])
+        trim()
 
     return of
 

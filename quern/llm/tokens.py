@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quern.llm.common import trim
+
 #: Characters of text cut at once, and pieces kept in each of two generations.
-BATCH_BYTES, KEPT = 4 << 20, 300_000
+BATCH_BYTES, KEPT = 2 << 20, 150_000
 _WIDE_GAP = r"[\s\x0b\x{85}\p{Z}]{2}|[\x00\x01]"
 _SIGNS = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:%$#*&|]+)"
 _NUL, _CUT = "\x00", "\x01"
@@ -70,6 +72,7 @@ class Encoder:
                 i, size = j, 0
             size += len(t or "")
         self._some(texts, i, len(texts), out)
+        trim()
         return out
 
     def _learn(self, known: list[str]) -> None:
