@@ -37,3 +37,18 @@ def test_passage_at_a_later_place_of_the_first_document(spark):
         rows.append((2 * k + 1, " ".join([*words(rng, 20), *p, *words(rng, 20)])))
     found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [k for k in range(40) if uncovered(found, 2 * k + 1, 20, 70)] == []
+
+
+def test_passages_with_words_put_in_or_left_out(spark):
+    """A word put into or left out of the middle of 52 words, at similarity 0.83 or more."""
+    rng, rows = random.Random(5), []
+    for k in range(300):
+        p = words(rng, 52)
+        q = p[:26] + words(rng, 1) + p[26:] if k % 2 else p[:26] + p[27:]
+        rows.append((2 * k, " ".join([*words(rng, 30), *p, *words(rng, 30)])))
+        rows.append((2 * k + 1, " ".join([*words(rng, 20), *q, *words(rng, 20)])))
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.source_doc_id for r in found} <= set(range(0, 600, 2))
+    share = [sum(not uncovered(found, 2 * k + 1, 20, 20 + 51 + 2 * (k % 2)) for k in range(first, 300, 2)) / 150 for first in (0, 1)]
+    print("left out, put in:", share)
+    assert min(share) >= 0.97
