@@ -170,3 +170,16 @@ def nearest_neighbor(spark, sf_dir):
 def knn_mean_distance(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return models.nearest(e.where("vec_id < 20"), e, "vec_id", "embedding", 5).groupBy("id").agg(F.round(F.avg("distance"), 9).alias("mean_distance"))
+
+
+@query("nearest_neighbor_hundredths")
+def nearest_neighbor_hundredths(spark, sf_dir):
+    """The five nearest of every vector whose id is divisible by 100, among all."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return models.nearest(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 5)
+
+
+@query("knn_mean_distance_hundredths")
+def knn_mean_distance_hundredths(spark, sf_dir):
+    """Mean distance to the five nearest of every vector whose id is divisible by 100."""
+    return nearest_neighbor_hundredths(spark, sf_dir).groupBy("id").agg(F.avg("distance").alias("mean_distance"))

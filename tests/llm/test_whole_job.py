@@ -2,7 +2,11 @@
 
 import random
 
+import numpy as np
+
 from quern.llm import substring_dedup
+from quern.operators import models
+from quern.plans import registry
 
 
 def words(rng, n):
@@ -52,3 +56,22 @@ def test_passages_with_words_put_in_or_left_out(spark):
     share = [sum(not uncovered(found, 2 * k + 1, 20, 20 + 51 + 2 * (k % 2)) for k in range(first, 300, 2)) / 150 for first in (0, 1)]
     print("left out, put in:", share)
     assert min(share) >= 0.97
+
+
+def test_neighbours_of_every_hundredth(spark, sf, monkeypatch):
+    """All ids divisible by 100 against all rows, in one block of queries and in several."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    v, ids = np.array([r.embedding for r in e], float), np.array([r.vec_id for r in e])
+    want = {}
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((v - v[ids == q][0]) ** 2).sum(1))
+        near = [k for k in np.lexsort((ids, d)) if ids[k] != q][:5]
+        want[int(q)] = [(rank, int(ids[k]), float(d[k])) for rank, k in enumerate(near, 1)]
+    for size in (models.QUERY_BYTES, 1000):
+        monkeypatch.setattr(models, "QUERY_BYTES", size)
+        got = {}
+        for r in registry.queries()["nearest_neighbor_hundredths"](spark, sf).collect():
+            got.setdefault(r.id, []).append((r["rank"], r.neighbour, r.distance))
+        assert {k: sorted(x) for k, x in got.items()} == want
+    means = {r.id: r.mean_distance for r in registry.queries()["knn_mean_distance_hundredths"](spark, sf).collect()}
+    assert means.keys() == want.keys() and all(abs(means[k] - sum(x[2] for x in w) / 5) < 1e-12 for k, w in want.items())
