@@ -113,6 +113,13 @@ def hex_profile(spark, sf_dir):
     return raw.select("doc_id", "code", bytecode.code_bytes(F.col("code")).alias("code_bytes"), bytecode.group_id(F.col("code")).alias("code_group"), bytecode.classify_code(F.col("code")).alias("code_class"))
 
 
+@query("hex_profile_whole")
+def hex_profile_whole(spark, sf_dir):
+    """Hex code, size, group and class of each whole text."""
+    raw = table(spark, sf_dir, "documents").select("doc_id", bytecode.normalize(F.concat(F.lit("0x"), F.hex(F.encode("text", "UTF-8")))).alias("code"))
+    return raw.select("doc_id", "code", bytecode.code_bytes(F.col("code")).alias("code_bytes"), bytecode.group_id(F.col("code")).alias("code_group"), bytecode.classify_code(F.col("code")).alias("code_class"))
+
+
 @query("instruction_counts")
 def instruction_counts(spark, sf_dir):
     """Instructions, stack effect and gas of each page's bytes read as a program."""

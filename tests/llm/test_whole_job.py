@@ -1,5 +1,6 @@
 """Cases in which an operator once did less than the whole job."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -75,3 +76,13 @@ def test_neighbours_of_every_hundredth(spark, sf, monkeypatch):
         assert {k: sorted(x) for k, x in got.items()} == want
     means = {r.id: r.mean_distance for r in registry.queries()["knn_mean_distance_hundredths"](spark, sf).collect()}
     assert means.keys() == want.keys() and all(abs(means[k] - sum(x[2] for x in w) / 5) < 1e-12 for k, w in want.items())
+
+
+def test_hex_profile_of_whole_texts(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = registry.queries()["hex_profile_whole"](spark, sf).collect()
+    assert len(rows) == len(docs) and max(r.code_bytes for r in rows) > 1000
+    for r in rows:
+        h = docs[r.doc_id].encode().hex()
+        kind = "EOA_OR_EMPTY" if not h else "DESIGNATOR_7702" if h.startswith("ef0100") and len(h) == 46 else "CONTRACT_CODE"
+        assert (r.code, r.code_bytes, r.code_group, r.code_class) == (h, len(h) // 2, "B" + hashlib.sha256(h.encode()).hexdigest()[:16], kind)
