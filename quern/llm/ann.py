@@ -69,8 +69,18 @@ def _index(block: int, m: int):
     return of
 
 
-def _window_search(q: np.ndarray, vecs: np.ndarray, values: np.ndarray, order: np.ndarray, qp: np.ndarray, k: int, need: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows verified for one query in one block, and their distances."""
+def _first_of_ids(ids: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest ids, each once, by distance and then id."""
+    order, n = np.lexsort((ids, dist)), 2 * k
+    while True:
+        _, first = np.unique(ids[order[:n]], return_index=True)
+        if len(first) >= k or n >= len(order):
+            return order[np.sort(first)[:k]]
+        n *= 4
+
+
+def _window_search(q: np.ndarray, own: int, ids: np.ndarray, vecs: np.ndarray, values: np.ndarray, order: np.ndarray, qp: np.ndarray, k: int, need: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of other ids verified for one query in one block, and their distances; k different ids are sought."""
     m, n = values.shape
     count = np.zeros(n, np.int32)
     seen = np.zeros(n, bool)
@@ -89,10 +99,15 @@ def _window_search(q: np.ndarray, vecs: np.ndarray, values: np.ndarray, order: n
             new = np.flatnonzero((count >= need) & ~seen)
             if len(new):
                 seen[new] = True
+                new = new[ids[new] != own]
                 d = vecs[new] - q
                 rows, dist = np.concatenate([rows, new]), np.concatenate([dist, np.sqrt((d * d).sum(1))])
-        if half >= top or len(dist) >= k and half >= ratio * np.partition(dist, k - 1)[k - 1]:
+        if half >= top:
             return rows, dist
+        if len(dist) >= k and half >= ratio * np.partition(dist, k - 1)[k - 1]:
+            near = _first_of_ids(ids[rows], dist, k)
+            if len(near) == k and half >= ratio * dist[near[-1]]:
+                return rows, dist
         half *= GROWTH
 
 
@@ -109,14 +124,15 @@ def _search(q_ids: np.ndarray, q: np.ndarray, k: int, m: int, share: float, marg
                 ids = np.frombuffer(ids, np.int64)
                 vecs = np.frombuffer(vecs).reshape(len(ids), dim)
                 values, order = np.frombuffer(values).reshape(m, -1), np.frombuffer(order, np.int32).reshape(m, -1)
+                different = np.unique(ids)
                 for at, own in enumerate(q_ids):
-                    # the query's own rows may be among the nearest: as many more are sought
-                    rows, dist = _window_search(q[at], vecs, values, order, qp[at], min(k + int((ids == own).sum()), len(ids)), need, ratio)
-                    some = ids[rows] != own
-                    rows, dist = rows[some], dist[some]
-                    pick = np.lexsort((ids[rows], dist))
+                    others = len(different) - int(own in different)
+                    if not others:
+                        continue
+                    rows, dist = _window_search(q[at], own, ids, vecs, values, order, qp[at], min(k, others), need, ratio)
+                    pick = _first_of_ids(ids[rows], dist, k)
                     merged, seen = [], set()
-                    for x in sorted([*best[at], *zip(dist[pick[: 2 * k + 2]].tolist(), ids[rows][pick[: 2 * k + 2]].tolist())]):
+                    for x in sorted([*best[at], *zip(dist[pick].tolist(), ids[rows][pick].tolist())]):
                         if x[1] not in seen:
                             seen.add(x[1])
                             merged.append(x)
@@ -148,7 +164,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
         finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return v.where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
 
-    index = materialize(clean(vectors).mapInArrow(_index(block, projections), "dim int, ids binary, vecs binary, vals binary, ord binary"), "index")
+    index = materialize(clean(vectors).distinct().mapInArrow(_index(block, projections), "dim int, ids binary, vecs binary, vals binary, ord binary"), "index")
     asked = materialize(clean(queries).groupBy("id").agg(F.min("v").alias("v")), "queries")
     stats = asked.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect()
     schema, found = "query_id long, vec_id long, score double", None

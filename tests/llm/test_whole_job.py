@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from quern.llm import substring_dedup
+from quern.llm import ann, substring_dedup
 from quern.operators import models
 from quern.plans import registry
 
@@ -86,3 +86,23 @@ def test_hex_profile_of_whole_texts(spark, sf):
         h = docs[r.doc_id].encode().hex()
         kind = "EOA_OR_EMPTY" if not h else "DESIGNATOR_7702" if h.startswith("ef0100") and len(h) == 46 else "CONTRACT_CODE"
         assert (r.code, r.code_bytes, r.code_group, r.code_class) == (h, len(h) // 2, "B" + hashlib.sha256(h.encode()).hexdigest()[:16], kind)
+
+
+def test_ten_different_neighbours_among_repeats(spark):
+    """Every row three times; id 7 stands 40 times with other vectors next to the query, id 8 with 200."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(300) if i not in (7, 8)]
+    rows += [(j, (np.array(rows[0][1]) + 1e-3 * rng.standard_normal(16)).tolist()) for j, n in ((7, 40), (8, 200)) for _ in range(n)]
+    e = spark.createDataFrame(rows * 3, "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in ann.nearest(e, e.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    v, ids = np.array([x[1] for x in rows]), np.array([x[0] for x in rows])
+    hit = 0
+    for q in (0, 100, 200):
+        d = np.sqrt(((v - v[ids == q][0]) ** 2).sum(1))
+        want = list(dict.fromkeys(int(ids[k]) for k in np.lexsort((ids, d)) if ids[k] != q))[:10]
+        own = [i for _, i in sorted(got[q])]
+        assert len(own) == 10 == len(set(own))
+        hit += len(set(own) & set(want))
+    assert hit >= 28
