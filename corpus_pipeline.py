@@ -17,25 +17,35 @@ from quern.plans.materialize import materialize
 ORACLE_SQL = None
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, __row, in the order of doc_id: doc_id itself where it is unique.
+
+    Rows with a null id come last.
+    """
+    if unique_ids(docs, "doc_id"):
+        return docs.withColumn("__row", F.col("doc_id"))
+    order = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    return materialize(order.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised; rejected ones and texts without a letter go."""
-    found = langid.identify(docs)
-    away = found.where("rejected").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(away, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    return langid.drop_rejected(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, that with the smallest id."""
-    found = near_dedup.near_duplicates(docs)
-    away = found.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(away, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    return kept if unique_ids(docs, "doc_id") else kept.dropDuplicates(["doc_id", "text"])
+    keyed = _keyed(docs)
+    found = near_dedup.near_duplicates(keyed, "__row")
+    away = found.where("not kept").select("__row").distinct()
+    return keyed.join(away, "__row", "left_anti").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 50 words or more that near-duplicate an earlier document's; n_chars follows."""
-    found = materialize(substring_dedup.repeated_passages(docs), "passages")
-    out = substring_dedup.cut_passages(docs, found)
+    keyed = _keyed(docs)
+    found = materialize(substring_dedup.repeated_passages(keyed, "__row"), "passages")
+    out = substring_dedup.cut_passages(keyed, found, "__row").select(docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,6 +128,9 @@ def _predict(langs: list[str], owner: np.ndarray, centroids: np.ndarray, floors:
     return of
 
 
+_SCHEMA = "id long, held_out boolean, lang_pred string, score double, rejected boolean"
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, folds: int = 4, held_out: int = 2, sample: int = SAMPLE, centroids: int = CENTROIDS) -> DataFrame:
     """Language of each row: (id, held_out, lang_pred, score, rejected).
 
@@ -143,6 +147,28 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Ties go to the first language in order. Repeated rows get equal results.
     Whole texts count, however long. Other columns are ignored.
     """
+    src, predict = _learned(docs, id_col, text_col, lang_col, folds, held_out, sample, centroids)
+    out = src.select("id", "held_out", "text").mapInArrow(predict, _SCHEMA)
+    return out.withColumnRenamed("id", id_col)
+
+
+def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, folds: int = 4, held_out: int = 2, sample: int = SAMPLE, centroids: int = CENTROIDS) -> DataFrame:
+    """``docs`` without rows that ``identify`` rejects; each row is judged by its own text."""
+    _, predict = _learned(docs, id_col, text_col, lang_col, folds, held_out, sample, centroids)
+    at, schema = docs.columns.index(text_col), docs.schema
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            own = pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), batch.column(at)], ["id", "held_out", "text"])
+            for found in predict(iter([own])):
+                yield batch.filter(pc.invert(found.column("rejected")))
+
+    return docs.mapInArrow(of, schema)
+
+
+def _learned(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, held_out: int, sample: int, centroids: int):
+    """The rows as they are judged, and a function that judges batches of them."""
     spark = docs.sparkSession
     bounded_batches(spark)
     mod = crc_mod(F.col(id_col), folds)
@@ -164,8 +190,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             langs = [r.lang for r in rows]
             owner = np.repeat(np.arange(len(rows)), [len(p) for p in parts])
             model, floors = np.concatenate(parts), np.stack([np.frombuffer(r.floors) for r in rows])
-    out = src.select("id", "held_out", "text").mapInArrow(_predict(langs, owner, model, floors, idf), "id long, held_out boolean, lang_pred string, score double, rejected boolean")
-    return out.withColumnRenamed("id", id_col)
+    return src, _predict(langs, owner, model, floors, idf)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

@@ -106,3 +106,30 @@ def test_ten_different_neighbours_among_repeats(spark):
         assert len(own) == 10 == len(set(own))
         hit += len(set(own) & set(want))
     assert hit >= 28
+
+
+def test_stages_take_only_the_judged_row(spark, sf):
+    """Null and repeated ids: a rejected text, a copy or a cut leaves the other rows of its id alone."""
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    data = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = p.language_id(spark, data, sf)
+    good = [r.text for r in kept.where("lang = 'en' and length(text) > 600").orderBy("doc_id").select("text").limit(2).collect()]
+    extra = [(None, None), (None, good[0]), (9001, "1234 !!!"), (9001, good[1])]
+    schema = data.select("doc_id", "text", "lang", "source", "n_chars").schema
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in extra], schema)
+    out = p.language_id(spark, data.select(docs.columns).unionByName(docs), sf)
+    assert sorted(r.text for r in out.where("doc_id is null or doc_id = 9001").collect()) == sorted(good)
+
+    a, b, c, d = (" ".join(words(rng, 80)) for _ in range(4))
+    rows = [(1, a), (None, a), (None, b), (2, c), (2, a), (3, d), (3, d)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], schema)
+    out = [(r.doc_id, r.text) for r in p.near_duplicates(spark, docs, sf).collect()]
+    assert sorted(out, key=str) == sorted([(1, a), (None, b), (2, c), (3, d)], key=str)
+
+    part = " ".join(a.split()[:60])
+    rows = [(1, a), (2, b), (2, f"{c} {part}"), (None, f"{d} {part}")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], schema)
+    out = [(r.doc_id, r.text.strip(), r.n_chars == len(r.text)) for r in p.repeated_passages(spark, docs, sf).collect()]
+    assert sorted(out, key=str) == sorted([(1, a, True), (2, b, True), (2, c, True), (None, d, True)], key=str)
