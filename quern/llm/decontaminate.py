@@ -114,19 +114,20 @@ def _windows(t: np.ndarray, own: np.ndarray, typ: np.ndarray, n: int, literals:
 
 
 class Index:
-    """Template windows of some benchmark items, with the items' tokens."""
+    """Template and literal windows of some benchmark items, with the items' tokens."""
 
     def __init__(self, items: list[int], texts: list[bytes]):
         self.items, self.hashes, self.types = items, [], []
-        keys: dict[int, list[list[np.ndarray]]] = {}
+        keys: dict[tuple[bool, int], list[list[np.ndarray]]] = {}
         for at, text in enumerate(texts):
             h, typ, own, _ = tokens([text])
             self.hashes.append(h)
             self.types.append(typ)
             n = min(WINDOW, len(h))
-            if n >= LITERALS:
-                w, place = _windows(_template(h, typ), own, typ, n, min(LITERALS, n))
-                keys.setdefault(n, []).append([w, np.full(len(w), at), place])
+            for literal in (False, True):
+                if n and (literal or n >= LITERALS):
+                    w, place = _windows(h if literal else _template(h, typ), own, typ, n, 0 if literal else LITERALS)
+                    keys.setdefault((literal, n), []).append([w, np.full(len(w), at), place])
         self.tables = {}
         for n, parts in keys.items():
             w, at, place = (np.concatenate([p[k] for p in parts]) for k in range(3))
@@ -135,34 +136,34 @@ class Index:
 
     def matches(self, h: np.ndarray, typ: np.ndarray, own: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, first token, end token, matched, changed slots) of contaminations."""
-        hits: dict[tuple[int, int, int], set[int]] = {}
+        hits: dict[tuple[int, int, int, bool], set[int]] = {}
         t = _template(h, typ)
-        for n, (w, at, place) in self.tables.items():
-            got, where = _windows(t, own, typ, n, min(LITERALS, n))
+        for (literal, n), (w, at, place) in self.tables.items():
+            got, where = _windows(h if literal else t, own, typ, n, 0 if literal else LITERALS)
             lo = np.searchsorted(w, got, "left")
             known = np.flatnonzero((lo < len(w)) & (w[np.minimum(lo, len(w) - 1)] == got)) if len(w) else []
             for k in known:
                 x = lo[k]
                 while x < len(w) and w[x] == got[k]:
                     p = int(where[k])
-                    hits.setdefault((int(own[p]), int(at[x]), p - int(place[x])), set()).update(range(int(place[x]), int(place[x]) + n))
+                    hits.setdefault((int(own[p]), int(at[x]), p - int(place[x]), literal), set()).update(range(int(place[x]), int(place[x]) + n))
                     x += 1
         best: dict[tuple[int, int], tuple[int, int, int, int, int, int]] = {}
-        for (text, item, shift), covered in hits.items():
-            size = len(self.hashes[item])
-            run = most = 0
-            last = -2
-            for p in sorted(covered):
-                run = run + 1 if p == last + 1 else 1
-                most, last = max(most, run), p
-            if most < RUN and len(covered) < SHARE * size:
-                continue
-            changed = self._changed(item, sorted(covered), shift, h, typ)
-            if changed < 0:
-                continue
-            row = (text, item, min(covered) + shift, max(covered) + shift + 1, len(covered), changed)
-            if (text, item) not in best or best[text, item][4] < len(covered):
-                best[text, item] = row
+        for (text, item, shift, literal), places in hits.items():
+            size, order = len(self.hashes[item]), np.array(sorted(places))
+            runs = np.split(order, np.flatnonzero(np.diff(order) > 1) + 1)
+            # the whole alignment first; where its slots conflict, each of its runs by itself
+            for covered in (order, *runs) if len(runs) > 1 else (order,):
+                if len(covered) < SHARE * size and max(map(len, runs if covered is order else [covered])) < RUN:
+                    continue
+                changed = 0 if literal else self._changed(item, covered.tolist(), shift, h, typ)
+                if changed < 0:
+                    continue
+                row = (text, item, int(covered[0]) + shift, int(covered[-1]) + shift + 1, len(covered), changed)
+                if (text, item) not in best or best[text, item][4] < len(covered):
+                    best[text, item] = row
+                if covered is order:
+                    break
         return sorted(best.values())
 
     def _changed(self, item: int, covered: list[int], shift: int, h: np.ndarray, typ: np.ndarray) -> int:
@@ -216,10 +217,12 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     on the best alignment), coverage (their share), changed_slots (placeholders
     filled otherwise), start_byte, end_byte. An alignment counts with RUN
     matched tokens in a row, or SHARE of an item's tokens, if the values of its
-    numbers, names and units map one to one.
+    numbers, names and units map one to one; where they don't, each run counts
+    by itself. Tokens that match by value count so whatever the slots.
 
-    Null and empty texts match nothing; items with fewer than LITERALS tokens
-    or windows without as many plain words are not looked for. Rows with a null
+    Null and empty texts match nothing. Items with fewer than LITERALS tokens
+    or windows without as many plain words are looked for by value only; an
+    item shorter than a window has to be there whole. Rows with a null
     id are reported with it; repeated rows are reported each. Repeated items
     count once. The benchmark is read in blocks of bounded size, each a pass
     over the documents. Other columns are ignored; empty tables give an empty

@@ -133,3 +133,17 @@ def test_stages_take_only_the_judged_row(spark, sf):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], schema)
     out = [(r.doc_id, r.text.strip(), r.n_chars == len(r.text)) for r in p.repeated_passages(spark, docs, sf).collect()]
     assert sorted(out, key=str) == sorted([(1, a, True), (2, b, True), (2, c, True), (None, d, True)], key=str)
+
+
+def test_verbatim_items_whatever_their_slots():
+    from quern.llm.decontaminate import Index, _found
+
+    dense = b"In 2019 Tom Smith sold 12 kg for 30 dollars to Mary Jones"
+    short = b"Buy 3 kg"
+    half = b" ".join(b"w%s" % bytes([97 + k // 26, 97 + k % 26]) for k in range(18))
+    twice = half + b" 7 " + half.replace(b"w", b"v") + b" 7"
+    changed = twice[:-1] + b"8"
+    index = Index([1, 2, 3], [dense, short, twice])
+    texts = [b"so. " + dense + b" ok", b"they buy 3 kg here", changed, b"In 2018 Ann Brown sold 12 kg for 30 dollars", b"buy 4 kg"]
+    got = sorted((r[0], index.items[r[1]]) for r in _found(index, texts))
+    assert got == [(0, 1), (1, 2), (2, 3)]
