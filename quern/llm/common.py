@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Ids that may be sent to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows of one key that a join gives to one task, and keys at most that are dealt over several.
+SPREAD_ROWS, MOST_SPREAD = 1000, 100_000
 #: UTF-8 bytes handled at once by a kernel; a longer text makes a chunk alone.
 CHUNK_BYTES = 1 << 20
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -32,6 +34,27 @@ def small_ids(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], n: str, *, counts: DataFrame | None = None) -> DataFrame:
+    """Inner join of many rows with a table of one row per key.
+
+    ``n`` in the table tells how many rows a key has; ``counts`` has the keys
+    and ``n`` alone where the table is costly to compute. Rows of a key that has more than SPREAD_ROWS are dealt
+    over as many lots as that takes, each with its own copy of the table's row.
+    The list of such keys is broadcast: the bound rises with the number of
+    rows, so there are at most MOST_SPREAD of them.
+    """
+    known = table.select(*on, n) if counts is None else counts
+    total = known.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    per = max(SPREAD_ROWS, -(-total // MOST_SPREAD))
+    lots = F.ceil(F.col(n) / per).cast("int")
+    hot = F.broadcast(known.where(F.col(n) > per).select(*on, lots.alias("__lots")))
+    lot = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("__lots")), F.lit(0)).cast("int")
+    many = rows.join(hot, on, "left").withColumn("__lot", lot).drop("__lots")
+    each = F.when(F.col(n) > per, F.sequence(F.lit(0), lots - 1)).otherwise(F.array(F.lit(0)))
+    table = table.withColumn("__lot", F.explode(each))
+    return many.join(table, [*on, "__lot"]).drop("__lot")
+
+
 def trim() -> None:
     """Give freed memory back to the system: workers live on, and their memory is the executor's."""
     pa.default_memory_pool().release_unused()

@@ -147,3 +147,59 @@ def test_verbatim_items_whatever_their_slots():
     texts = [b"so. " + dense + b" ok", b"they buy 3 kg here", changed, b"In 2018 Ann Brown sold 12 kg for 30 dollars", b"buy 4 kg"]
     got = sorted((r[0], index.items[r[1]]) for r in _found(index, texts))
     assert got == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_exact_copies_behind_an_edited_earlier_document(spark):
+    """The first of each triple holds the passage with words changed, the others hold it word for word."""
+    rng, rows, whole = random.Random(8), [], {}
+    for k in range(240):
+        size, edits = ((50, 2), (60, 3), (80, 4))[k % 3]
+        p = words(rng, size)
+        q = list(p)
+        for at in rng.sample(range(size), edits):
+            q[at] = f"edit{rng.randrange(10**9)}"
+        for j, part in enumerate((q, p, p)):
+            rows.append((3 * k + j, " ".join([*words(rng, 25), *part, *words(rng, 25)])))
+        whole[3 * k + 2] = 25, 25 + size
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [k for k, (a, b) in whole.items() if uncovered(found, k, a, b)] == []
+
+
+def test_one_changed_word_in_fifty(spark):
+    """At every place where that leaves a similarity of 0.8 or more."""
+    rng, rows, n = random.Random(9), [], 400
+    for k in range(n):
+        p = words(rng, 50)
+        q = list(p)
+        q[k % 50] = "changed"
+        rows.append((2 * k, " ".join([*words(rng, 30), *p, *words(rng, 30)])))
+        rows.append((2 * k + 1, " ".join([*words(rng, 20), *q, *words(rng, 20)])))
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # a change near an end leaves fewer than 50 words on both sides of it, which are no passage
+    inner = [k for k in range(n) if 5 <= k % 50 < 45]
+    share = sum(any(r.doc_id == 2 * k + 1 for r in found) for k in inner) / len(inner)
+    print("one changed word:", share)
+    assert share >= 0.97
+
+
+def test_equal_texts_are_one_passage_of_the_first(spark):
+    rng = random.Random(10)
+    a, b = (" ".join(words(rng, 70)) for _ in range(2))
+    rows = [(5, f" {a}\n"), (3, f" {a}\n"), (9, f" {a}\n"), (4, b), (4, b), (7, "short copy"), (8, "short copy"), (None, b), (6, None)]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.source_doc_id, r.start_word, r.end_word, r.start_byte, r.end_byte, r.similarity) for r in found) == [(k, 3, 0, 70, 1, 1 + len(a), 1.0) for k in (5, 9)]
+
+
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    """A line that all documents share, with joins that deal a key over several tasks from its fourth row."""
+    from quern.llm import common
+
+    rng, rows = random.Random(11), []
+    line = words(rng, 60)
+    for k in range(40):
+        rows.append((k, " ".join([*words(rng, k), *line, *words(rng, 20)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    usual = substring_dedup.repeated_passages(df).collect()
+    monkeypatch.setattr(common, "SPREAD_ROWS", 4)
+    assert sorted(substring_dedup.repeated_passages(df).collect()) == sorted(usual)
+    assert {r.doc_id for r in usual} == set(range(1, 40)) and all(not uncovered(usual, k, k, k + 60) for k in range(1, 40))
