@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from quern.llm.common import trim
 
 #: Characters of text cut at once, and pieces kept in each of two generations.
-BATCH_BYTES, KEPT = 2 << 20, 150_000
+BATCH_BYTES, KEPT = 6 << 20, 200_000
 _WIDE_GAP = r"[\s\x0b\x{85}\p{Z}]{2}|[\x00\x01]"
 _SIGNS = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:%$#*&|]+)"
 _NUL, _CUT = "\x00", "\x01"
@@ -46,6 +46,11 @@ class Encoder:
         # pieces may be told apart by NUL only where no token but its own holds it
         own = [v for k, v in self.model.get_vocab().items() if self.model.decoder and _NUL in self.model.decoder.decode([k])]
         self.by_nul = len(self.nul) == 1 and own == self.nul
+        # tokens that begin with a space: in words behind one space each, these and no others begin a word
+        size = max(self.model.get_vocab().values(), default=0) + 1
+        self.spaced = np.zeros(size, bool)
+        if self.by_nul:
+            self.spaced[[v for k, v in self.model.get_vocab().items() if self.model.decoder.decode([k])[:1] == " "]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -62,6 +67,17 @@ class Encoder:
         end = [*(4 * cut).tolist(), len(raw)]
         return [raw[a:b] for a, b in zip(at, end)]
 
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each piece that is one space and then characters that aren't white space."""
+        if not self.by_nul or not words:
+            return self.whole(words)
+        ids = np.array(self.model.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.spaced[ids])
+        if len(at) != len(words) or at[0] != 0:
+            return self.pieces(words)
+        raw, cut = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+        return [raw[a:b] for a, b in zip(cut, cut[1:])]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
         out: list[bytes] = [b""] * len(texts)
@@ -83,6 +99,10 @@ class Encoder:
         if self.older:
             self.kept.update((k, self.older[k]) for k in new.intersection(self.older))
             new.difference_update(self.older)
+        # no text cut here has adjacent white space, so a piece after a space has none but that
+        words = [k for k in new if k[:1] == " " and not k[-1].isspace()]
+        self.kept.update(zip(words, self.words(words)))
+        new.difference_update(words)
         plain = [k for k in new if k and k[0] != "'" and not k[-1].isspace()]
         self.kept.update(zip(plain, self.pieces(plain)))
         rest = list(new.difference(plain))
