@@ -76,9 +76,9 @@ def metadata_split(h: Column) -> Column:
 
 
 def metadata_split_strict(h: Column) -> Column:
-    """As ``metadata_split``, but the trailer must start after the first byte and before the length."""
+    """As ``metadata_split``, but the trailer must start before the length, in a program of four bytes or more."""
     n, size, start = _trailer(h)
-    ok = (n >= 4) & (size > 0) & (start > 0) & (start < n - 2) & (F.substring(h, start * 2 + 1, F.lit(2)) == "a2")
+    ok = (n >= 4) & (size > 0) & (start >= 0) & (start < n - 2) & (F.substring(h, start * 2 + 1, F.lit(2)) == "a2")
     return F.when(ok, F.struct(F.substring(h, F.lit(1), start * 2).alias("body"), F.substring(h, start * 2 + 1, F.length(h)).alias("trailer"))).otherwise(F.struct(h.alias("body"), F.lit("").alias("trailer")))
 
 
@@ -132,6 +132,12 @@ def _tokens() -> list[str]:
     return ["PUSH" if 0x60 <= b <= 0x7F else names[b][0] if b in names else f"UNK_{b:02x}" for b in range(256)]
 
 
+def hex_tokens(h: Column) -> Column:
+    """Two hex digits for each byte of a valid hex text; null for any other."""
+    body = F.regexp_replace(F.lower(h), "^0x", "")
+    return F.when(body.rlike("^([0-9a-f]{2})*$"), F.regexp_extract_all(body, F.lit("(..)"), F.lit(1)))
+
+
 _TOKEN = _tokens()
 _STEP = [b - 0x5E if 0x60 <= b <= 0x7F else 1 for b in range(256)]
 

@@ -29,14 +29,17 @@ def split_trailer(code: bytes) -> int:
     if len(code) < 4:
         return len(code)
     start = len(code) - 2 - int.from_bytes(code[-2:], "big")
-    return start if 0 < start < len(code) - 2 and code[start] == 0xA2 else len(code)
+    return start if 0 <= start < len(code) - 2 and code[start] == 0xA2 else len(code)
 
 
 def analyse(code: bytes) -> dict:
     """Reachable part of a program.
 
-    An unresolved jump may go to any JUMPDEST. A program that reads its own
-    code keeps everything, since removing bytes would change what it reads.
+    A jump is resolved only where the instruction before it is a PUSH1 to PUSH32
+    of a JUMPDEST's place; any other may go to every JUMPDEST. A program that
+    reads its own code keeps everything, since removing bytes would change what
+    it reads. Besides the reachable code there are the code without trailer, the
+    prefix up to the first STOP and what follows that.
     """
     end = split_trailer(code)
     body = code[:end]
@@ -66,12 +69,12 @@ def analyse(code: bytes) -> dict:
         nexts: list[int] = []
         if last[3] in ("JUMP", "JUMPI"):
             before = blocks[b][-2] if len(blocks[b]) > 1 else None
-            target = 0 if before and before[3] == "PUSH0" else int(before[4] or "0", 16) if before and before[3] == "PUSH" else None
-            if target is None:
+            target = int(before[4], 16) if before and before[3] == "PUSH" and before[4] else None
+            if target in dests:
+                nexts.append(target)
+            else:
                 unresolved += 1
                 nexts += dests
-            elif target in dests:
-                nexts.append(target)
         if last[3] not in opcodes.TERMINATORS and b in after:
             nexts.append(after[b])
         todo += nexts
@@ -97,13 +100,16 @@ def analyse(code: bytes) -> dict:
         "removed": [{"start": a, "end": z} for a, z in gone],
         "compact": compact.hex(),
         "masked": bytes(masked).hex(),
+        "stripped": body.hex(),
+        "prefix": (body if stop is None else body[: stop + 1]).hex(),
+        "suffix": (b"" if stop is None else body[stop + 1 :]).hex(),
     }
 
 
 _RESULT = struct(
     "blocks int, reachable_blocks int, unresolved_jumps int, introspects boolean, reachable_after_stop boolean, executable_bytes int, trailer string, removed_bytes int"
 )
-_RESULT = _RESULT.add("removed", T.ArrayType(struct("start int, end int"))).add("compact", "string").add("masked", "string")
+_RESULT = _RESULT.add("removed", T.ArrayType(struct("start int, end int"))).add("compact", "string").add("masked", "string").add("stripped", "string").add("prefix", "string").add("suffix", "string")
 
 
 @F.pandas_udf(_RESULT)

@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from quern.operators.ranges import ranked
+from quern.plans.materialize import materialize
+from quern.schemas import struct
+
 # Token groups and the selectors of token movement and approval.
 CALLS = ("CALL", "DELEGATECALL", "STATICCALL", "CALLCODE")
 CREATES = ("CREATE", "CREATE2")
@@ -35,10 +47,34 @@ def digest60(c: Column) -> Column:
     return F.conv(F.substring(F.sha2(c, 256), 1, 15), 16, 10).cast("long")
 
 
+def _rows_of(df: DataFrame, id_col: str, ops_col: str, fields: str, each) -> DataFrame:
+    """(id, *fields): the tuples that ``each`` gives for the tokens of one row; a row's tokens stay together."""
+    types = [f.dataType for f in struct(fields).fields]
+    arrow = [to_arrow_type(t) for t in types]
+    names = [id_col, *struct(fields).names]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, out = [], []
+            for k, ops in enumerate(batch.column(1).to_pylist()):
+                before = len(out)
+                out.extend(each(ops))
+                own.extend([k] * (len(out) - before))
+                if len(out) >= 100_000:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), *(pa.array([r[i] for r in out], t) for i, t in enumerate(arrow))], names)
+                    own, out = [], []
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), *(pa.array([r[i] for r in out], t) for i, t in enumerate(arrow))], names)
+
+    return df.select(id_col, ops_col).mapInArrow(of, T.StructType([df.schema[id_col], *struct(fields).fields]))
+
+
 def histogram(df: DataFrame, id_col: str, ops_col: str) -> DataFrame:
     """(id, op, n, share): tokens of each row and their share of its tokens."""
-    tokens = df.select(id_col, F.explode(ops_col).alias("op"), F.size(ops_col).alias("total"))
-    return tokens.groupBy(id_col, "op").agg(F.count("*").alias("n"), F.first("total").alias("total")).select(id_col, "op", "n", (F.col("n") / F.col("total")).alias("share"))
+
+    def each(ops: list[str] | None) -> list[tuple]:
+        return [(op, n, n / len(ops)) for op, n in Counter(ops).items()] if ops else []
+
+    return _rows_of(df, id_col, ops_col, "op string, n long, share double", each)
 
 
 def histogram_vector(df: DataFrame, id_col: str, ops_col: str, vocabulary: tuple[str, ...]) -> DataFrame:
@@ -54,11 +90,28 @@ def count_matrix(df: DataFrame, id_col: str, op_col: str, vocabulary: list[str])
     return df.groupBy(id_col).pivot(op_col, sorted(vocabulary)).count().fillna(0)
 
 
-def hashed_ngrams(df: DataFrame, id_col: str, ops_col: str, buckets: int = 512, k: int = 4) -> DataFrame:
-    """(id, bucket, share): distinct k-grams dealt into buckets by hash, over the number of k-grams."""
-    g = df.select(id_col, kgrams(F.col(ops_col), k).alias("g")).select(id_col, F.size("g").alias("total"), F.explode("g").alias("gram"))
-    g = g.withColumn("bucket", (digest60(F.col("gram")) % buckets).cast("int"))
-    return g.groupBy(id_col, "bucket").agg((F.count("*") / F.first("total")).alias("share"))
+def hashed_ngrams(df: DataFrame, id_col: str, ops_col: str, buckets: int = 512, k: int = 4, seed: int = 2, digest: str = "blake2b") -> DataFrame:
+    """(id, bucket, share): distinct k-grams dealt into buckets by hash, over the number of k-grams.
+
+    A shorter sequence is one gram; none is <EMPTY>. The hash is 64 bits of
+    blake2b salted with the seed's eight little-endian bytes or, where SQL has
+    to repeat it, the first 60 bits of ``sha256``.
+    """
+    salt = seed.to_bytes(8, "little")
+
+    def number(gram: str) -> int:
+        if digest == "sha256":
+            return int(hashlib.sha256(gram.encode()).hexdigest()[:15], 16)
+        return int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8, salt=salt).digest(), "little")
+
+    def each(ops: list[str] | None) -> list[tuple]:
+        if not ops:
+            grams = {"<EMPTY>"}
+        else:
+            grams = {" ".join(g) for g in zip(*(ops[i:] for i in range(k)))} if len(ops) >= k else {" ".join(ops)}
+        return [(b, n / len(grams)) for b, n in Counter(number(g) % buckets for g in grams).items()]
+
+    return _rows_of(df, id_col, ops_col, "bucket int, share double", each)
 
 
 def _n(ops: Column, *names: str) -> Column:
@@ -162,10 +215,10 @@ def image(h: Column, side: int = 224) -> Column:
 def frequency_ranks(tokens: DataFrame, col: str) -> DataFrame:
     """(token, n, code): rank by count, least frequent first, scaled to 0..255."""
     counts = tokens.groupBy(col).agg(F.count("*").alias("n"))
-    order = Window.orderBy("n", col)  # the vocabulary, not the data
-    ranked = counts.withColumn("r", F.row_number().over(order) - 1)
-    top = ranked.agg(F.greatest(F.max("r"), F.lit(1)).alias("top"))
-    return ranked.crossJoin(F.broadcast(top)).select(col, "n", F.bround(F.col("r") * 255 / F.col("top")).cast("int").alias("code"))
+    out = ranked(counts, [("n", False), (col, False)], "r").withColumn("r", F.col("r") - 1)
+    top = materialize(out, "ranks")
+    last = top.agg(F.greatest(F.max("r"), F.lit(1)).alias("top"))
+    return top.crossJoin(F.broadcast(last)).select(col, "n", F.bround(F.col("r") * 255 / F.col("top")).cast("int").alias("code"))  # one row
 
 
 def lookup_image(instr: DataFrame, id_col: str, pos_col: str, columns: list[str], side: int = 224) -> DataFrame:
@@ -179,7 +232,7 @@ def lookup_image(instr: DataFrame, id_col: str, pos_col: str, columns: list[str]
 def factorize(tokens: DataFrame, order: list[str], col: str) -> DataFrame:
     """Codes by first appearance in the given order: (token, code)."""
     first = tokens.groupBy(col).agg(F.min(F.struct(*order)).alias("first"))
-    return first.select(col, (F.row_number().over(Window.orderBy("first")) - 1).alias("code"))
+    return ranked(first, [("first", False)], "__k").select(col, (F.col("__k") - 1).cast("int").alias("code"))
 
 
 def interleaved(instr: DataFrame, id_col: str, pos_col: str, op_col: str, operand_col: str, length: int) -> DataFrame:
@@ -191,14 +244,15 @@ def interleaved(instr: DataFrame, id_col: str, pos_col: str, op_col: str, operan
 
 
 def tfidf(df: DataFrame, tokens_col: str, most: int = 4, vocab: int = 20_000, min_df: int = 3):
-    """Fitted pipeline of word 1..most-grams: counts, then inverse document frequency."""
+    """Fitted pipeline of word 1..most-grams: counts over one vocabulary, then inverse document frequency.
+
+    The ``vocab`` most frequent of all n-grams that ``min_df`` rows have are kept.
+    """
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, CountVectorizer, NGram, VectorAssembler
-
-    stages, names = [], []
-    for n in range(1, most + 1):
-        grams, counts = f"{tokens_col}_{n}", f"{tokens_col}_{n}_tf"
-        stages += [NGram(n=n, inputCol=tokens_col, outputCol=grams), CountVectorizer(inputCol=grams, outputCol=counts, minDF=min_df, vocabSize=vocab // most)]
-        names.append(counts)
-    stages += [VectorAssembler(inputCols=names, outputCol="tf"), IDF(inputCol="tf", outputCol="tfidf")]
+    from pyspark.ml.feature import IDF, CountVectorizer, NGram, SQLTransformer
+
+    names = [f"{tokens_col}_{n}" for n in range(1, most + 1)]
+    stages = [NGram(n=n, inputCol=tokens_col, outputCol=name) for n, name in enumerate(names, 1)]
+    stages += [SQLTransformer(statement=f"SELECT *, concat({', '.join(names)}) AS {tokens_col}_all FROM __THIS__")]
+    stages += [CountVectorizer(inputCol=f"{tokens_col}_all", outputCol="tf", minDF=min_df, vocabSize=vocab), IDF(inputCol="tf", outputCol="tfidf")]
     return Pipeline(stages=stages).fit(df)

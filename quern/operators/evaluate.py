@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.ranges import ranked, running
+from quern.plans.materialize import materialize
+from quern.schemas import kind
+
 
 def _div(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -23,14 +27,15 @@ def confusion(df: DataFrame, y: str = "y", pred: str = "pred", by: tuple[str, ..
 def curve(df: DataFrame, y: str = "y", score: str = "score", by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """A point per distinct score, highest first: tp, fp (running), pos, neg, precision, recall, fpr.
 
-    Rows are summed per score before the running sums, so ties move together
-    and the window sees distinct scores only.
+    Rows are summed per score before the running sums, so ties move together;
+    the sums go by ranges of the score, so no task sees all of them.
     """
     w = F.col(weight) if weight else F.lit(1.0)
     point = df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(y) == 1, 0.0).otherwise(w)).alias("n"))
-    own = Window.partitionBy(*(by or [F.lit(0)]))
-    run = own.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = point.select(*by, "score", "p", "n", F.sum("p").over(run).alias("tp"), F.sum("n").over(run).alias("fp"), F.sum("p").over(own).alias("pos"), F.sum("n").over(own).alias("neg"))
+    out = running(point, [("score", True)], {"tp": ("p", "sum"), "fp": ("n", "sum")}, by)
+    total = point.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    out = out.join(total, list(by)) if by else out.crossJoin(F.broadcast(total))  # one row
+    out = out.select(*by, "score", "p", "n", "tp", "fp", "pos", "neg")
     return out.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", "pos"), "fpr": F.try_divide("fp", "neg")})
 
 
@@ -56,17 +61,20 @@ def max_f1_threshold(df: DataFrame, y: str = "y", score: str = "score", by: tupl
 def fpr_threshold(df: DataFrame, budget: float, y: str = "y", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
     """(threshold, fpr): halfway between the lowest score within the budget and the next lower one.
 
-    Where no score is within the budget, just above the highest score.
+    Where no score is within the budget, the next number above the highest score.
     """
-    c = curve(df, y, score, by)
-    own = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("score"))
-    c = c.withColumn("next", F.lead("score").over(own))
-    fit = F.col("fpr") <= budget
-    low = F.min(F.when(fit, F.struct("score", "next", "fpr")))
-    top = F.max("score")
-    c = c.groupBy(*by).agg(low.alias("l"), top.alias("top"))
-    t = F.when(F.col("l").isNull(), F.col("top") + F.lit(math.ulp(1.0)) * F.greatest(F.abs("top"), F.lit(1.0))).when(F.col("l.next").isNull(), F.col("l.score")).otherwise((F.col("l.score") + F.col("l.next")) / 2)
-    return c.select(*by, t.alias("threshold"), F.coalesce("l.fpr", F.lit(0.0)).alias("fpr"))
+    c = materialize(curve(df, y, score, by).select(*by, "score", "fpr"), "curve")
+    low = c.groupBy(*by).agg(F.min(F.when(F.col("fpr") <= budget, F.struct("score", "fpr"))).alias("l"), F.max("score").alias("top"))
+    both = c.join(low, list(by)) if by else c.crossJoin(F.broadcast(low))  # one row
+    out = both.groupBy(*by).agg(F.first("l").alias("l"), F.first("top").alias("top"), F.max(F.when(F.col("score") < F.col("l.score"), F.col("score"))).alias("next"))
+    t = F.when(F.col("l").isNull(), next_above(F.col("top"))).when(F.col("next").isNull(), F.col("l.score")).otherwise((F.col("l.score") + F.col("next")) / 2)
+    return out.select(*by, t.alias("threshold"), F.coalesce("l.fpr", F.lit(0.0)).alias("fpr"))
+
+
+@F.pandas_udf(kind("double"))
+def next_above(x: pd.Series) -> pd.Series:
+    """The next greater double."""
+    return pd.Series(np.nextafter(x.to_numpy(float), np.inf))
 
 
 def calibration(df: DataFrame, bins: int = 10, y: str = "y", score: str = "score") -> DataFrame:
@@ -104,34 +112,72 @@ def warning_tier(score: Column, low: float, high: float) -> Column:
     return F.when(score >= high, "block").when(score >= low, "warn").otherwise("allow")
 
 
-def group_folds(df: DataFrame, group: str, k: int = 5, most_groups: int = 1_000_000) -> DataFrame:
+def deal_alike(first: list[int], second: list[int], a: int, b: int, count: int) -> list[tuple[int, list[int], int]]:
+    """Runs (first rank, folds in turn, groups) that deal ``count`` groups, each to the fold where
+    ``first``, then ``second`` is least, then the first fold; a group adds ``a`` and ``b`` to them.
+
+    The folds that are lightest take turns until a further one is as light, so there
+    are few runs, however many groups.
+    """
+    out, rank = [], 0
+    while count:
+        order = sorted(range(len(first)), key=lambda f: (first[f], second[f], f))
+        x = order[0]
+        turn = [f for f in order if (first[f], second[f], f) < (first[x] + a, second[x] + b, x)]
+        some = count
+        if len(turn) < len(order):
+            y = order[len(turn)]
+            rounds, even = divmod(first[y] - first[x], a)
+            rounds -= even == 0 and (second[y], y) < (second[x] + rounds * b, x)
+            some = min(count, max(rounds, 1) * len(turn))
+        out.append((rank, turn, some))
+        for at, f in enumerate(turn):
+            many = some // len(turn) + (at < some % len(turn))
+            first[f], second[f] = first[f] + a * many, second[f] + b * many
+        rank, count = rank + some, count - some
+    return out
+
+
+def _dealt(sizes: DataFrame, group: str, plan: DataFrame) -> DataFrame:
+    """(group, fold) from (group, __class) and the plan (__class, first, turn, many) by rank within the class."""
+    own = ranked(sizes, [("__class", True), (group, False)], "__rank")
+    first = own.groupBy("__class").agg(F.min("__rank").alias("__least"))
+    own = own.join(first, "__class").withColumn("__at", F.col("__rank") - F.col("__least")).join(F.broadcast(plan), "__class")
+    own = own.where((F.col("__at") >= F.col("first")) & (F.col("__at") < F.col("first") + F.col("many")))
+    return own.select(group, F.get("turn", ((F.col("__at") - F.col("first")) % F.size("turn")).cast("int")).alias("fold"))
+
+
+def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """(group, fold): largest groups first, each to the lightest fold; ties by name, then fold.
 
-    Only group sizes reach the driver. Beyond ``most_groups`` groups, those of
-    the long tail go to folds by hash: there the law of large numbers balances.
+    Only the histogram of group sizes reaches the driver: with n rows there are
+    at most sqrt(2 n) sizes. Groups find their fold by their rank in their size.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    head = sizes.orderBy(F.desc("n"), group).limit(most_groups).collect()
-    load, rows = [0] * k, []
-    for r in head:
-        at = min(range(k), key=lambda f: (load[f], f))
-        load[at] += r.n
-        rows.append((r[group], at))
-    spark = df.sparkSession
-    placed = spark.createDataFrame(rows, f"{group} {df.schema[group].dataType.simpleString()}, fold int")
-    tail = sizes.join(placed, group, "left_anti").select(group, F.pmod(F.xxhash64(group), F.lit(k)).cast("int").alias("fold"))
-    return placed.unionByName(tail)
+    sizes = materialize(df.groupBy(group).agg(F.count("*").alias("__class")), "sizes")
+    counts = {r["__class"]: r.c for r in sizes.groupBy("__class").agg(F.count("*").alias("c")).collect()}
+    load, none = [0] * k, [0] * k
+    plan = [(n, *run) for n in sorted(counts, reverse=True) for run in deal_alike(load, none, n, 0, counts[n])]
+    return _dealt(sizes, group, df.sparkSession.createDataFrame(plan, "__class long, first long, turn array<int>, many long"))
 
 
 def stratified_group_folds(df: DataFrame, group: str, y: str, k: int = 5) -> DataFrame:
-    """(group, fold): groups with most positives first, each where positives, then negatives, are fewest."""
+    """(group, fold): groups with most positives first, each where positives, then negatives, are fewest.
+
+    Groups with as many positives and negatives are dealt by name. Only the
+    histogram of such pairs reaches the driver, in which groups of one kind are
+    one entry.
+    """
     sizes = df.groupBy(group).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) != 1).alias("n"))
-    pos, neg, rows = [0] * k, [0] * k, []
-    for r in sizes.orderBy(F.desc("p"), F.desc("n"), group).collect():
-        at = min(range(k), key=lambda f: (pos[f], neg[f], f) if r.p else (neg[f], pos[f], f))
-        pos[at], neg[at] = pos[at] + r.p, neg[at] + r.n
-        rows.append((r[group], at))
-    return df.sparkSession.createDataFrame(rows, f"{group} {df.schema[group].dataType.simpleString()}, fold int")
+    sizes = materialize(sizes.withColumn("__class", F.struct("p", "n")), "sizes")
+    counts = sizes.groupBy("__class").agg(F.count("*").alias("c")).orderBy(F.desc("__class")).collect()
+    pos, neg, plan = [0] * k, [0] * k, []
+    for r in counts:
+        p, n = r["__class"]
+        runs = deal_alike(pos, neg, p, n, r.c) if p else deal_alike(neg, pos, n, 0, r.c)
+        plan += [(r["__class"], *run) for run in runs]
+    kind_ = sizes.schema["__class"].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(plan, f"__class {kind_}, first long, turn array<int>, many long")
+    return _dealt(sizes.drop("p", "n"), group, table)
 
 
 def random_folds(df: DataFrame, id_col: str, k: int = 5, seed: int = 7702) -> DataFrame:

@@ -75,8 +75,10 @@ def prefix_matches(df: DataFrame, column: str, rules: DataFrame, prefix: str) ->
     Prefixes are looked up by equality at each length that occurs, so there is
     no join of all rows with all rules.
     """
-    lengths = [r.n for r in rules.select(F.length(prefix).alias("n")).distinct().orderBy("n").limit(1000).collect()]
-    heads = df.withColumn("__head", F.explode(F.array_distinct(F.array(*[F.left(column, F.lit(n)) for n in lengths]))))
+    lengths = rules.agg(F.collect_set(F.length(prefix)).alias("__lengths"))
+    heads = df.crossJoin(F.broadcast(lengths))  # one row, with a number for each length of prefix
+    fits = F.filter("__lengths", lambda n: n <= F.length(column))
+    heads = heads.withColumn("__head", F.explode(F.transform(fits, lambda n: F.left(column, n)))).drop("__lengths")
     return heads.join(small(rules), F.col("__head") == F.col(prefix)).drop("__head")
 
 
@@ -95,10 +97,9 @@ def resolve_designators(codes: DataFrame) -> DataFrame:
 
 
 def delegation_degree(edges: DataFrame, account: str, target: str) -> DataFrame:
-    """(target, n, accounts): who delegates to each target; at most 100 named, n counts all."""
-    own = edges.select(account, target).distinct()
-    named = own.withColumn("__k", F.row_number().over(Window.partitionBy(target).orderBy(account))).where("__k <= 100")
-    return own.groupBy(target).agg(F.count("*").alias("n")).join(named.groupBy(target).agg(F.array_sort(F.collect_list(account)).alias("accounts")), target)
+    """(target, account, n): every account that delegates to a target, once, and how many do."""
+    own = edges.select(target, account).where(F.col(target).isNotNull() & F.col(account).isNotNull()).distinct()
+    return own.join(own.groupBy(target).agg(F.count("*").alias("n")), target)
 
 
 def funnel(df: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:

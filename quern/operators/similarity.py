@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.features import digest60, kgrams
 from quern.operators.graph import connected_components
+from quern.operators.ranges import ranked
 from quern.plans.materialize import materialize
 from quern.schemas import kind
 
@@ -90,7 +91,9 @@ def families(sig: DataFrame, id_col: str, sig_col: str, threshold: float) -> Dat
 def relabel(fam: DataFrame, id_col: str, order: str) -> DataFrame:
     """(id, family_id): F00001 and so on by first appearance of each family."""
     first = fam.groupBy("family").agg(F.min(order).alias("first"))
-    named = first.select("family", F.concat(F.lit("F"), F.lpad(F.row_number().over(Window.orderBy("first")).cast("string"), 5, "0")).alias("family_id"))
+    # five digits at least; a longer number stays whole
+    number = F.col("__k").cast("string")
+    named = ranked(first, [("first", False)], "__k").select("family", F.concat(F.lit("F"), F.when(F.length(number) < 5, F.lpad(number, 5, "0")).otherwise(number)).alias("family_id"))
     return fam.join(named, "family").select(id_col, "family_id")
 
 

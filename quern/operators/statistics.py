@@ -2,13 +2,58 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.ranges import ranked, running
+from quern.plans.materialize import materialize
+from quern.schemas import kind
+
+
+def _gamma_tail(a: float, x: float) -> float:
+    """The regularised upper incomplete gamma function, by its series or its continued fraction."""
+    if x <= 0 or a <= 0:
+        return 1.0
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        n = a
+        while abs(term) > abs(total) * 1e-16:
+            n += 1
+            term *= x / n
+            total += term
+        return 1 - total * scale
+    b = x + 1 - a
+    c, d = 1e300, 1 / b
+    h = d
+    for k in range(1, 10_000):
+        step = -k * (k - a)
+        b += 2
+        d = step * d + b
+        c = b + step / c
+        d = 1 / (d or 1e-300)
+        c = c or 1e-300
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return h * scale
+
+
+@F.pandas_udf(kind("double"))
+def chi_square_tail(statistic: pd.Series, dof: pd.Series) -> pd.Series:
+    """Chance of a chi-square value at least as large; null where the statistic or the degrees are."""
+    return pd.Series([None if pd.isna(s) or pd.isna(k) or k < 1 else min(1.0, max(0.0, _gamma_tail(float(k) / 2, float(s) / 2))) for s, k in zip(statistic, dof)], dtype="float64")
+
+
+def normal_tail(z: Column) -> Column:
+    """Chance that a standard normal value is farther from zero than z."""
+    return chi_square_tail(z * z, F.lit(1))
+
 
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Lower and upper end of the score interval; null without cases."""
@@ -59,44 +104,48 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
 def ks_two_sample(df: DataFrame, value: str, group: str, first, second) -> DataFrame:
     """Largest distance of two groups' distribution functions, over distinct values."""
     p = df.where(F.col(group).isin(first, second)).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == first).alias("a"), F.count_if(F.col(group) == second).alias("b"))
-    run = Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    all_ = Window.partitionBy(F.lit(0))
-    gap = F.abs(F.sum("a").over(run) / F.sum("a").over(all_) - F.sum("b").over(run) / F.sum("b").over(all_))
-    return p.select(gap.alias("d")).agg(F.max("d").alias("statistic"))
+    run = running(p, [("v", False)], {"ra": ("a", "sum"), "rb": ("b", "sum")})
+    all_ = p.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    gap = F.abs(F.try_divide("ra", "na") - F.try_divide("rb", "nb"))
+    return run.crossJoin(F.broadcast(all_)).agg(F.max(gap).alias("statistic"))  # one row
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Statistic and degrees of freedom of independence of two columns."""
-    cell = df.groupBy(a, b).agg(F.count("*").alias("n"))
+    """Statistic, degrees of freedom and p-value of independence of two columns.
+
+    The cells that no row has add their expectations, which are the total less
+    those of the others: so only cells that occur are looked at.
+    """
+    cell = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"))
+    cell = materialize(cell, "cells")
     left = cell.groupBy(a).agg(F.sum("n").alias("na"))
     right = cell.groupBy(b).agg(F.sum("n").alias("nb"))
-    total = cell.agg(F.sum("n").alias("t"))
-    grid = left.crossJoin(right).crossJoin(total).join(cell, [a, b], "left")  # products of two sets of categories
+    total = cell.agg(F.sum("n").alias("t"), F.count_distinct(a).alias("ka"), F.count_distinct(b).alias("kb"))
     want = F.col("na") * F.col("nb") / F.col("t")
-    n = F.coalesce("n", F.lit(0))
-    return grid.agg(F.sum((n - want) * (n - want) / want).alias("statistic"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("dof"))
+    full = cell.join(left, a).join(right, b).crossJoin(F.broadcast(total))  # one row
+    out = full.agg((F.sum((F.col("n") - want) * (F.col("n") - want) / want) + F.max("t") - F.sum(want)).alias("statistic"), ((F.max("ka") - 1) * (F.max("kb") - 1)).alias("dof"))
+    return out.withColumn("p_value", chi_square_tail(F.col("statistic"), F.col("dof")))
 
 
 def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
     """H with correction for ties; ranks come from counts of distinct values."""
     v = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    run = Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    v = v.select("v", "c", (F.coalesce(F.sum("c").over(run), F.lit(0)) + (F.col("c") + 1) / 2).alias("rank"))
+    v = running(v, [("v", False)], {"upto": ("c", "sum")}).select("v", "c", (F.col("upto") - F.col("c") + (F.col("c") + 1) / 2).alias("rank"))
     ties = v.agg(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"), F.sum("c").alias("n"))
     g = df.join(v, df[value] == v["v"]).groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("m"))
     s = g.agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"), F.count("*").alias("k")).crossJoin(ties)
     h = 12 / (F.col("n") * (F.col("n") + 1)) * F.col("s") - 3 * (F.col("n") + 1)
     n3 = F.col("n") * F.col("n") * F.col("n") - F.col("n")
-    return s.select((h / (1 - F.col("ties") / n3)).alias("h"), (F.col("k") - 1).alias("dof"))
+    out = s.select((h / (1 - F.col("ties") / n3)).alias("h"), (F.col("k") - 1).alias("dof"))
+    return out.withColumn("p_value", chi_square_tail(F.col("h"), F.col("dof")))
 
 
 def holm(p: DataFrame, key: str, value: str) -> DataFrame:
     """Step-down adjusted p-values."""
-    order = Window.partitionBy(F.lit(0)).orderBy(value, key)
-    m = F.count("*").over(Window.partitionBy(F.lit(0)))
-    raw = F.least(F.lit(1.0), F.col(value) * (m - F.row_number().over(order) + 1))
-    out = p.withColumn("__raw", raw)
-    return out.withColumn("adjusted", F.max("__raw").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__raw")
+    m = p.agg(F.count("*").alias("__m"))
+    own = ranked(p, [(value, False), (key, False)], "__k").crossJoin(F.broadcast(m))  # one row
+    own = own.withColumn("__raw", F.least(F.lit(1.0), F.col(value) * (F.col("__m") - F.col("__k") + 1)))
+    return running(own, [("__k", False)], {"adjusted": ("__raw", "max")}).drop("__raw", "__k", "__m")
 
 
 def clustered_bootstrap(df: DataFrame, cluster: str, num: str, den: str, reps: int = 10_000, chunk: int = 500, seed: int = 7702) -> DataFrame:

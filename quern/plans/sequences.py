@@ -25,7 +25,9 @@ def words():
 def exact_dup_groups(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null")
     key = bytecode.code_hash(F.lower(F.trim("text"))).alias("content_hash")
-    return docs.groupBy(key).agg(F.count("*").alias("members"), F.count_distinct("source").alias("n_sources"), F.count_distinct("lang").alias("n_langs")).where("members > 1")
+    # pairs of source and language are few in a group, so they are counted before they are told apart
+    part = docs.groupBy(key, "source", "lang").agg(F.count("*").alias("n"))
+    return part.groupBy("content_hash").agg(F.sum("n").alias("members"), F.size(F.collect_set("source")).cast("long").alias("n_sources"), F.size(F.collect_set("lang")).cast("long").alias("n_langs")).where("members > 1")
 
 
 @query(
@@ -91,7 +93,7 @@ def token_histogram(spark, sf_dir):
 )
 def kgram_hash_vector(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", words().alias("ops"))
-    return features.hashed_ngrams(docs, "doc_id", "ops").withColumn("share", F.round("share", 9))
+    return features.hashed_ngrams(docs, "doc_id", "ops", digest="sha256").withColumn("share", F.round("share", 9))
 
 
 @query("near_dup_families")
@@ -104,17 +106,11 @@ def near_dup_families(spark, sf_dir):
 
 @query(
     "hex_profile",
-    """WITH h AS (SELECT doc_id, lower(hex(encode(substr(text, 1, 16)))) AS h FROM documents)
+    """WITH h AS (SELECT doc_id, lower(hex(encode(text))) AS h FROM documents)
     SELECT doc_id, h AS code, CAST(length(h) // 2 AS INTEGER) AS code_bytes, 'B' || substr(sha256(h), 1, 16) AS code_group,
     CASE WHEN h = '' THEN 'EOA_OR_EMPTY' WHEN starts_with(h, 'ef0100') AND length(h) = 46 THEN 'DESIGNATOR_7702' ELSE 'CONTRACT_CODE' END AS code_class FROM h""",
 )
 def hex_profile(spark, sf_dir):
-    raw = table(spark, sf_dir, "documents").select("doc_id", bytecode.normalize(F.concat(F.lit("0x"), F.hex(F.encode(F.substring("text", 1, 16), "UTF-8")))).alias("code"))
-    return raw.select("doc_id", "code", bytecode.code_bytes(F.col("code")).alias("code_bytes"), bytecode.group_id(F.col("code")).alias("code_group"), bytecode.classify_code(F.col("code")).alias("code_class"))
-
-
-@query("hex_profile_whole")
-def hex_profile_whole(spark, sf_dir):
     """Hex code, size, group and class of each whole text."""
     raw = table(spark, sf_dir, "documents").select("doc_id", bytecode.normalize(F.concat(F.lit("0x"), F.hex(F.encode("text", "UTF-8")))).alias("code"))
     return raw.select("doc_id", "code", bytecode.code_bytes(F.col("code")).alias("code_bytes"), bytecode.group_id(F.col("code")).alias("code_group"), bytecode.classify_code(F.col("code")).alias("code_class"))
@@ -172,12 +168,15 @@ def cross_source_conflicts(spark, sf_dir):
 
 @query(
     "fixed_width_chunks",
-    """WITH h AS (SELECT page_id, lower(hex(encode(html))) AS h FROM pages), s AS (SELECT page_id, regexp_extract_all(h, '.{6}')[1:64] AS p FROM h)
-    SELECT page_id, array_to_string(list_concat(p, list_transform(range(64 - len(p)), lambda x: '000000')), ' ') AS chunks FROM s""",
+    """WITH h AS (SELECT page_id, lower(hex(encode(html))) AS h FROM pages), s AS (SELECT page_id, regexp_extract_all(h, '.{6}') AS p FROM h), m AS (SELECT max(len(p)) AS m FROM s)
+    SELECT page_id, array_to_string(list_concat(p, list_transform(range(m - len(p)), lambda x: '000000')), ' ') AS chunks FROM s, m""",
 )
 def fixed_width_chunks(spark, sf_dir):
+    """All six-digit chunks of each page, filled up to the longest page's number."""
     h = F.lower(F.hex(F.encode("html", "UTF-8")))
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(bytecode.hex_chunks(h, 6, 64), " ").alias("chunks"))
+    pages = table(spark, sf_dir, "pages")
+    most = pages.agg(F.max(F.floor(F.length(h) / 6))).first()[0] or 0
+    return pages.select("page_id", F.array_join(bytecode.hex_chunks(h, 6, most), " ").alias("chunks"))
 
 
 @query(

@@ -180,7 +180,7 @@ def ks_two_sample(spark, sf_dir):
     SELECT round(sum((n - e) * (n - e) / e), 6) AS statistic, (SELECT (count(DISTINCT lang) - 1) * (count(DISTINCT source) - 1) FROM c) AS dof FROM g""",
 )
 def chi_square(spark, sf_dir):
-    return statistics.chi_square(table(spark, sf_dir, "documents"), "lang", "source").withColumn("statistic", F.round("statistic", 6))
+    return statistics.chi_square(table(spark, sf_dir, "documents"), "lang", "source").select(F.round("statistic", 6).alias("statistic"), "dof")
 
 
 @query(
@@ -190,7 +190,7 @@ def chi_square(spark, sf_dir):
     SELECT round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 6) AS h, k - 1 AS dof FROM h, t""",
 )
 def kruskal_wallis(spark, sf_dir):
-    return statistics.kruskal_wallis(table(spark, sf_dir, "documents"), "n_chars", "lang").withColumn("h", F.round("h", 6))
+    return statistics.kruskal_wallis(table(spark, sf_dir, "documents"), "n_chars", "lang").select(F.round("h", 6).alias("h"), "dof")
 
 
 @query(
