@@ -1,13 +1,10 @@
 """Cases in which an operator once did less than the whole job."""
 
-import hashlib
 import random
 
 import numpy as np
 
 from quern.llm import ann, substring_dedup
-from quern.operators import models
-from quern.plans import registry
 
 
 def words(rng, n):
@@ -59,35 +56,6 @@ def test_passages_with_words_put_in_or_left_out(spark):
     assert min(share) >= 0.97
 
 
-def test_neighbours_of_every_hundredth(spark, sf, monkeypatch):
-    """All ids divisible by 100 against all rows, in one block of queries and in several."""
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
-    v, ids = np.array([r.embedding for r in e], float), np.array([r.vec_id for r in e])
-    want = {}
-    for q in ids[ids % 100 == 0]:
-        d = np.sqrt(((v - v[ids == q][0]) ** 2).sum(1))
-        near = [k for k in np.lexsort((ids, d)) if ids[k] != q][:5]
-        want[int(q)] = [(rank, int(ids[k]), float(d[k])) for rank, k in enumerate(near, 1)]
-    for size in (models.QUERY_BYTES, 1000):
-        monkeypatch.setattr(models, "QUERY_BYTES", size)
-        got = {}
-        for r in registry.queries()["nearest_neighbor_hundredths"](spark, sf).collect():
-            got.setdefault(r.id, []).append((r["rank"], r.neighbour, r.distance))
-        assert {k: sorted(x) for k, x in got.items()} == want
-    means = {r.id: r.mean_distance for r in registry.queries()["knn_mean_distance_hundredths"](spark, sf).collect()}
-    assert means.keys() == want.keys() and all(abs(means[k] - sum(x[2] for x in w) / 5) < 1e-12 for k, w in want.items())
-
-
-def test_hex_profile_of_whole_texts(spark, sf):
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
-    rows = registry.queries()["hex_profile_whole"](spark, sf).collect()
-    assert len(rows) == len(docs) and max(r.code_bytes for r in rows) > 1000
-    for r in rows:
-        h = docs[r.doc_id].encode().hex()
-        kind = "EOA_OR_EMPTY" if not h else "DESIGNATOR_7702" if h.startswith("ef0100") and len(h) == 46 else "CONTRACT_CODE"
-        assert (r.code, r.code_bytes, r.code_group, r.code_class) == (h, len(h) // 2, "B" + hashlib.sha256(h.encode()).hexdigest()[:16], kind)
-
-
 def test_ten_different_neighbours_among_repeats(spark):
     """Every row three times; id 7 stands 40 times with other vectors next to the query, id 8 with 200."""
     rng = np.random.default_rng(6)
