@@ -13,14 +13,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quern.functions.hashing import selector
 from quern.operators.ranges import ranked
 from quern.plans.materialize import materialize
 from quern.schemas import struct
 
-# Token groups and the selectors of token movement and approval.
-CALLS = ("CALL", "DELEGATECALL", "STATICCALL", "CALLCODE")
+# Token groups, and signatures whose selectors a program may hold.
+CALLS = ("CALL", "STATICCALL", "DELEGATECALL", "CALLCODE")
 CREATES = ("CREATE", "CREATE2")
-SENSITIVE_SELECTORS = ("a9059cbb", "23b872dd", "095ea7b3", "d505accf", "42842e0e", "a22cb465")
+SIGNATURES = (
+    "transfer(address,uint256)",
+    "transferFrom(address,address,uint256)",
+    "approve(address,uint256)",
+    "safeTransferFrom(address,address,uint256)",
+    "withdraw(uint256)",
+    "owner()",
+    "execute(address,uint256,bytes)",
+)
+#: Selectors by signature.
+SELECTORS = {s: selector(s) for s in SIGNATURES}
+SENSITIVE_SELECTORS = tuple(SELECTORS.values())
+MOVEMENT_SELECTORS = tuple(SELECTORS[s] for s in (SIGNATURES[0], SIGNATURES[1], SIGNATURES[3]))
+APPROVAL_SELECTOR = SELECTORS[SIGNATURES[2]]
 
 
 def bind(value: Column, fn) -> Column:
@@ -97,6 +111,11 @@ def hashed_ngrams(df: DataFrame, id_col: str, ops_col: str, buckets: int = 512,
     blake2b salted with the seed's eight little-endian bytes or, where SQL has
     to repeat it, the first 60 bits of ``sha256``.
     """
+    return _rows_of(df, id_col, ops_col, "bucket int, share double", lambda ops: ngram_shares(ops, buckets, k, seed, digest))
+
+
+def ngram_shares(ops: list[str] | None, buckets: int = 512, k: int = 4, seed: int = 2, digest: str = "blake2b") -> list[tuple[int, float]]:
+    """(bucket, share) of one sequence's distinct k-grams."""
     salt = seed.to_bytes(8, "little")
 
     def number(gram: str) -> int:
@@ -104,72 +123,158 @@ def hashed_ngrams(df: DataFrame, id_col: str, ops_col: str, buckets: int = 512,
             return int(hashlib.sha256(gram.encode()).hexdigest()[:15], 16)
         return int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8, salt=salt).digest(), "little")
 
-    def each(ops: list[str] | None) -> list[tuple]:
-        if not ops:
-            grams = {"<EMPTY>"}
-        else:
-            grams = {" ".join(g) for g in zip(*(ops[i:] for i in range(k)))} if len(ops) >= k else {" ".join(ops)}
-        return [(b, n / len(grams)) for b, n in Counter(number(g) % buckets for g in grams).items()]
-
-    return _rows_of(df, id_col, ops_col, "bucket int, share double", each)
+    if not ops:
+        grams = {"<EMPTY>"}
+    else:
+        grams = {" ".join(g) for g in zip(*(ops[i:] for i in range(k)))} if len(ops) >= k else {" ".join(ops)}
+    return [(b, n / len(grams)) for b, n in Counter(number(g) % buckets for g in grams).items()]
 
 
 def _n(ops: Column, *names: str) -> Column:
     return F.size(F.filter(ops, lambda x: x.isin(*names)))
 
 
-def structural(ops: Column, push_sizes: Column, selectors: Column, size: Column) -> Column:
-    """Counts, densities and flags of a program as one struct."""
+def structural(ops: Column, push_sizes: Column, selectors: Column, size: Column, pointer: Column | None = None, sensitive: tuple[str, ...] = SENSITIVE_SELECTORS) -> Column:
+    """36 counts, densities and flags of a program as one struct of doubles, in a fixed order."""
     total = F.size(ops)
-    per = lambda c: F.coalesce(c / F.nullif(total, F.lit(0)), F.lit(0.0))
-    groups = {
-        "calls": CALLS,
-        "creates": CREATES,
-        "stores": ("SSTORE",),
-        "loads": ("SLOAD",),
-        "jumps": ("JUMP", "JUMPI"),
-        "dests": ("JUMPDEST",),
-        "logs": tuple(f"LOG{k}" for k in range(5)),
-        "pushes": ("PUSH",),
-        "halts": ("STOP", "RETURN", "REVERT", "INVALID", "SELFDESTRUCT"),
-        "environment": ("CALLER", "ORIGIN", "ADDRESS", "CALLVALUE"),
-        "balance": ("BALANCE", "SELFBALANCE"),
-        "code": ("CODESIZE", "CODECOPY", "EXTCODESIZE", "EXTCODECOPY", "EXTCODEHASH"),
+    pushed = lambda n: F.size(F.filter(push_sizes, lambda x: x == n))
+    per = lambda c: c / F.greatest(total, F.lit(1))
+    hit = F.size(F.array_intersect(selectors, F.array(*map(F.lit, sensitive)).cast("array<string>")))
+    value = {
+        "code_bytes": size,
+        "n_ops": total,
+        "n_selectors": F.size(selectors),
+        "is_delegation_ptr": F.lit(False) if pointer is None else pointer,
+        "n_jumpdest": _n(ops, "JUMPDEST"),
+        "n_jump": _n(ops, "JUMP"),
+        "n_jumpi": _n(ops, "JUMPI"),
+        "n_call": _n(ops, "CALL"),
+        "n_staticcall": _n(ops, "STATICCALL"),
+        "n_delegatecall": _n(ops, "DELEGATECALL"),
+        "n_callcode": _n(ops, "CALLCODE"),
+        "n_call_family": _n(ops, *CALLS),
+        "n_create": _n(ops, *CREATES),
+        "n_selfdestruct": _n(ops, "SELFDESTRUCT"),
+        "n_sstore": _n(ops, "SSTORE"),
+        "n_sload": _n(ops, "SLOAD"),
+        "n_log": _n(ops, *(f"LOG{k}" for k in range(5))),
+        "n_revert": _n(ops, "REVERT"),
+        "n_invalid": F.size(F.filter(ops, lambda x: x.startswith("UNK_") | (x == "INVALID"))),
+        "n_push": _n(ops, "PUSH"),
+        "mean_push_size": F.coalesce(F.aggregate(push_sizes, F.lit(0), lambda a, x: a + x) / F.nullif(F.size(push_sizes), F.lit(0)), F.lit(0)),
+        "n_push4": pushed(4),
+        "n_push20": pushed(20),
+        "n_push32": pushed(32),
+        "jumpdest_density": per(_n(ops, "JUMPDEST")),
+        "call_density": per(_n(ops, *CALLS)),
+        "push_density": per(_n(ops, "PUSH")),
+        "has_sensitive_selector": hit > 0,
+        "n_sensitive_selectors": hit,
+        **{f"has_{s.split('(')[0]}": F.array_contains(selectors, x) for s, x in SELECTORS.items()},
     }
-    counts = [_n(ops, *v).alias(f"n_{k}") for k, v in groups.items()]
-    densities = [per(_n(ops, *v)).alias(f"d_{k}") for k, v in groups.items()]
-    hit = F.array_intersect(selectors, F.array(*map(F.lit, SENSITIVE_SELECTORS)))
-    return F.struct(
-        size.alias("code_bytes"),
-        total.alias("n_ops"),
-        F.size(F.array_distinct(ops)).alias("n_distinct"),
-        *counts,
-        *densities,
-        F.size(selectors).alias("n_selectors"),
-        F.size(hit).alias("n_sensitive"),
-        F.coalesce(F.aggregate(push_sizes, F.lit(0), lambda a, x: a + x) / F.nullif(F.size(push_sizes), F.lit(0)), F.lit(0.0)).alias("mean_push"),
-        F.size(F.filter(push_sizes, lambda x: x == 20)).alias("n_addresses"),
-        F.array_contains(ops, "DELEGATECALL").alias("has_delegatecall"),
-        F.array_contains(ops, "SELFDESTRUCT").alias("has_selfdestruct"),
-        F.array_contains(ops, "CREATE2").alias("has_create2"),
-        (F.size(hit) > 0).alias("has_sensitive"),
-    )
+    return F.struct(*[v.cast("double").alias(k) for k, v in value.items()])
+
+
+#: Names of the structural features, in order.
+STRUCTURAL = (
+    *"code_bytes n_ops n_selectors is_delegation_ptr n_jumpdest n_jump n_jumpi n_call n_staticcall n_delegatecall n_callcode n_call_family".split(),
+    *"n_create n_selfdestruct n_sstore n_sload n_log n_revert n_invalid n_push mean_push_size n_push4 n_push20 n_push32".split(),
+    *"jumpdest_density call_density push_density has_sensitive_selector n_sensitive_selectors".split(),
+    *(f"has_{s.split('(')[0]}" for s in SIGNATURES),
+)
 
 
 def risk_factors(ops: Column, selectors: Column) -> Column:
     """Six observable facts about a program."""
     any_of = lambda *n: F.exists(ops, lambda x: x.isin(*n))
-    moves = F.arrays_overlap(selectors, F.array(*map(F.lit, SENSITIVE_SELECTORS)))
+    moves = F.arrays_overlap(selectors, F.array(*map(F.lit, MOVEMENT_SELECTORS)))
     return F.struct(
-        any_of(*CALLS).alias("external_call"),
-        any_of("DELEGATECALL", "CALLCODE").alias("delegated_call"),
-        any_of("SSTORE", "TSTORE").alias("state_write"),
-        any_of(*CREATES).alias("contract_creation"),
-        any_of("SELFDESTRUCT").alias("self_destruct"),
-        F.coalesce(moves, F.lit(False)).alias("token_movement"),
+        any_of(*CALLS).alias("external_call_surface"),
+        any_of("SSTORE").alias("state_write_surface"),
+        any_of("DELEGATECALL", "CALLCODE").alias("delegate_proxy_surface"),
+        F.coalesce(moves, F.lit(False)).alias("token_movement_selector_surface"),
+        F.coalesce(F.array_contains(selectors, APPROVAL_SELECTOR), F.lit(False)).alias("approval_selector_surface"),
+        any_of(*CREATES, "SELFDESTRUCT").alias("code_lifecycle_surface"),
     )
 
 
+def evidence(ops: Column, selectors: Column, size: Column) -> Column:
+    """What the risk factors rest on: sizes, counts of the tokens they name, and selectors."""
+    counted = (*CALLS, "SSTORE", *CREATES, "SELFDESTRUCT")
+    moves = F.array_sort(F.array_intersect(selectors, F.array(*map(F.lit, MOVEMENT_SELECTORS))))
+    return F.struct(
+        size.alias("code_bytes"),
+        F.size(ops).alias("opcode_count"),
+        F.struct(*[_n(ops, n).alias(n) for n in counted]).alias("opcode_counts"),
+        moves.alias("token_movement_selectors"),
+        F.when(F.array_contains(selectors, APPROVAL_SELECTOR), APPROVAL_SELECTOR).alias("approval_selector"),
+        risk_factors(ops, selectors).alias("observed_factors"),
+    )
+
+
+def featurize(programs: DataFrame, id_col: str, code_col: str, vocabulary: tuple[str, ...], buckets: int = 512, sensitive: tuple[str, ...] = SENSITIVE_SELECTORS) -> DataFrame:
+    """(id, dense, ngram): token shares in vocabulary order with the structural features, and hashed 4-grams.
+
+    Both are arrays; ``feature_views`` names parts of them. A row is a program
+    of its own, so ids should differ. A program without tokens has zeros only.
+    """
+    from quern.functions import bytecode
+
+    hexes = bytecode.normalize(F.col(code_col))
+    own = programs.select(id_col, hexes.alias("h")).withColumn("d", bytecode.disassemble(bytecode.to_bytes(F.col("h"))))
+    own = own.select(id_col, "h", F.col("d.ops").alias("ops"), F.col("d.push_sizes").alias("p"), F.col("d.selectors").alias("s"))
+    place = {v: k for k, v in enumerate(vocabulary)}
+
+    def shares(ops: list[str] | None) -> list[tuple]:
+        v = [0.0] * len(vocabulary)
+        for op, n in Counter(ops or ()).items():
+            if op in place:
+                v[place[op]] = n / len(ops)
+        g = [0.0] * buckets
+        if ops:
+            for b, x in ngram_shares(ops, buckets):
+                g[b] = x
+        return [(v, g)]
+
+    vectors = _rows_of(own, id_col, "ops", "hist [double], ngram [double]", shares)
+    flat = structural(F.col("ops"), F.col("p"), F.col("s"), bytecode.code_bytes(F.col("h")), bytecode.is_pointer(F.col("h")), sensitive)
+    rest = own.select(id_col, flat.alias("t")).select(id_col, F.array(*[F.col(f"t.{n}") for n in STRUCTURAL]).alias("struct"))
+    return vectors.join(rest, id_col).select(id_col, F.concat("hist", "struct").alias("dense"), "ngram")
+
+
+def feature_views(vocabulary: tuple[str, ...]) -> dict[str, list[int]]:
+    """Places of the parts of ``dense``: hist, struct, dense, sel (selectors and calls) and length."""
+    names = [*(f"op_{v}" for v in vocabulary), *STRUCTURAL]
+    sel = ("n_selectors", "n_sensitive_selectors", "n_call_family", "n_delegatecall")
+    return {
+        "hist": list(range(len(vocabulary))),
+        "struct": list(range(len(vocabulary), len(names))),
+        "dense": list(range(len(names))),
+        "sel": [k for k, n in enumerate(names) if n.startswith("has_") or n in sel],
+        "length": [names.index("code_bytes"), names.index("n_ops")],
+    }
+
+
+def view(vector: Column, places: list[int]) -> Column:
+    """The values at some places of an array, in their order."""
+    return bind(vector, lambda v: F.transform(F.array(*map(F.lit, places)), lambda k: F.get(v, k)))
+
+
+def collate(chunks: DataFrame, chunk_col: str, batch: Column) -> DataFrame:
+    """Chunk lists filled up to the longest of their batch, with a mask: (*columns, batch, chunk_mask).
+
+    An added chunk is all zeros, the padding id; the mask is true for real ones.
+    """
+    df = chunks.withColumn("batch", batch)
+    most = df.groupBy("batch").agg(F.max(F.size(chunk_col)).alias("__most"))
+    out = df.join(most, "batch")
+    width = F.size(F.get(chunk_col, F.lit(0)))
+    missing = F.col("__most") - F.size(chunk_col)
+    blank = F.transform(F.get(chunk_col, F.lit(0)), lambda x: x * 0)
+    mask = F.concat(F.array_repeat(F.lit(True), F.size(chunk_col)), F.array_repeat(F.lit(False), missing))
+    return out.withColumns({"chunk_mask": mask, chunk_col: F.when(width >= 0, F.concat(chunk_col, F.array_repeat(blank, missing))).otherwise(F.col(chunk_col))}).drop("__most")
+
+
 def encode_tokens(ops: Column, vocabulary: tuple[str, ...]) -> Column:
     """Vocabulary place + 2; 0 is padding and 1 unknown."""
     ids = F.create_map(*[x for k, v in enumerate(vocabulary) for x in (F.lit(v), F.lit(k + 2))])
@@ -200,9 +305,10 @@ def random_chunk(ids: Column, key: Column, width: int, stride: int) -> Column:
     return F.slice(ids, (F.pmod(F.xxhash64(key), places) * stride + 1).cast("int"), width)
 
 
-def dual_view(full: Column, restricted: Column) -> Column:
-    """Full vector, restricted vector and their difference in one."""
-    return F.concat(full, restricted, F.zip_with(full, restricted, lambda a, b: a - b))
+def dual_view(full: Column, restricted: Column, stats: Column | None = None) -> Column:
+    """Full vector, restricted vector, their difference and, if given, statistics of what was left out, in one."""
+    both = F.concat(full, restricted, F.zip_with(full, restricted, lambda a, b: a - b))
+    return both if stats is None else F.concat(both, stats)
 
 
 def image(h: Column, side: int = 224) -> Column:

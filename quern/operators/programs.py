@@ -30,9 +30,9 @@ def block_numbers(instr: DataFrame, id_col: str) -> DataFrame:
 def direct_jumps(instr: DataFrame, id_col: str) -> DataFrame:
     """(id, pc, target): jumps whose target is pushed just before and is a JUMPDEST."""
     own = Window.partitionBy(id_col).orderBy("pos")
-    j = instr.withColumns({"__t": F.lag("token").over(own), "__i": F.lag("immediate").over(own)}).where("token in ('JUMP', 'JUMPI') and __t in ('PUSH', 'PUSH0')")
-    short = F.length(F.regexp_replace(F.coalesce("__i", F.lit("00")), "^0+", "")) <= 7
-    j = j.where(short).select(id_col, "pc", F.conv(F.coalesce("__i", F.lit("00")), 16, 10).cast("int").alias("target"))
+    j = instr.withColumns({"__t": F.lag("token").over(own), "__i": F.lag("immediate").over(own)}).where("token in ('JUMP', 'JUMPI') and __t = 'PUSH'")
+    short = F.length(F.regexp_replace("__i", "^0+", "")) <= 7
+    j = j.where(short).select(id_col, "pc", F.conv("__i", 16, 10).cast("int").alias("target"))
     dest = instr.where("token = 'JUMPDEST'").select(id_col, F.col("pc").alias("target"))
     return j.join(dest, [id_col, "target"]).select(id_col, "pc", "target")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.operators.graph import transitive_closure
 
@@ -61,12 +62,36 @@ def siblings(df: DataFrame, group: str, member: str) -> DataFrame:
 def selector_matches(relations: DataFrame, selectors: DataFrame) -> DataFrame:
     """(target, related, shared): related contracts that share selectors with a target.
 
-    relations: target, related array; selectors: address, selectors array.
+    relations: target, related; selectors: address, selector. Related contracts
+    may be in an array, and so may the selectors of a row (then ``selectors``).
+    Addresses are lowered. Pairs meet on target, then on related
+    and selector, so no contract's selectors are gathered before they match.
     """
-    a = selectors.select(F.lower("address").alias("target"), F.col("selectors").alias("s1"))
-    b = selectors.select(F.lower("address").alias("related"), F.col("selectors").alias("s2"))
-    pairs = relations.select(F.lower("target").alias("target"), F.explode("related").alias("related")).withColumn("related", F.lower("related"))
-    return pairs.join(a, "target").join(b, "related").select("target", "related", F.array_sort(F.array_intersect("s1", "s2")).alias("shared")).where(F.size("shared") > 0)
+    one = F.explode("selectors").alias("selector") if "selectors" in selectors.columns else F.col("selector")
+    own = selectors.select(F.lower("address").alias("address"), one).distinct()
+    listed = isinstance(relations.schema["related"].dataType, T.ArrayType)
+    pairs = relations.select("target", (F.explode("related") if listed else F.col("related")).alias("related"))
+    pairs = pairs.select(F.lower("target").alias("target"), F.lower("related").alias("related")).distinct()
+    wanted = pairs.join(own.withColumnRenamed("address", "target"), "target")
+    hit = wanted.join(own.withColumnRenamed("address", "related"), ["related", "selector"])
+    return hit.groupBy("target", "related").agg(F.array_sort(F.collect_list("selector")).alias("shared"))
+
+
+def projection(df: DataFrame, column: str, values: dict, names: list[str]) -> DataFrame:
+    """``df`` with columns looked up by the value of one: a tuple of ``names`` for each; null where there is none.
+
+    The dictionary is a dimension of a few rows, written into the plan.
+    """
+    kinds = {n: F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v[i]))]) for i, n in enumerate(names)}
+    return df.withColumns({n: m[F.col(column)] for n, m in kinds.items()})
+
+
+def finite(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in which all the columns are numbers: not null, NaN or infinite."""
+    keep = F.lit(True)
+    for c in columns:
+        keep = keep & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    return df.where(keep)
 
 
 def prefix_matches(df: DataFrame, column: str, rules: DataFrame, prefix: str) -> DataFrame:

@@ -23,15 +23,80 @@ def sibling_relation(spark, sf_dir):
     "selector_overlap_match",
     """WITH p AS (SELECT l_suppkey AS s, list(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1),
     n AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey)
-    SELECT n.a AS target, n.b AS related, CAST(len(list_intersect(x.parts, y.parts)) AS INTEGER) AS n_shared FROM n JOIN p x ON x.s = n.a JOIN p y ON y.s = n.b WHERE len(list_intersect(x.parts, y.parts)) > 0""",
+    SELECT 's' || n.a AS target, 's' || n.b AS related, array_to_string(list_sort(list_intersect(x.parts, y.parts)), ',') AS shared FROM n JOIN p x ON x.s = n.a JOIN p y ON y.s = n.b WHERE len(list_intersect(x.parts, y.parts)) > 0""",
 )
 def selector_overlap_match(spark, sf_dir):
-    """Suppliers of one nation that sell the same parts, by an equi join on parts."""
-    parts = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("nation"))
-    own = parts.join(s, "s")
-    a, b = own.withColumnRenamed("s", "target"), own.withColumnRenamed("s", "related")
-    return a.join(b, ["nation", "p"]).where("target < related").groupBy("target", "related").agg(F.count("*").cast("int").alias("n_shared"))
+    """Suppliers of one nation that sell the same parts, as related contracts that share selectors."""
+    name = lambda c: F.concat(F.lit("S"), F.col(c).cast("string"))
+    sold = table(spark, sf_dir, "lineitem").select(name("l_suppkey").alias("address"), F.col("l_partkey").alias("selector")).distinct()
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    other = s.select(F.col("s_suppkey").alias("o"), "s_nationkey")
+    near = s.join(other, "s_nationkey").where("s_suppkey < o").select(name("s_suppkey").alias("target"), name("o").alias("related"))
+    out = relational.selector_matches(near, sold)
+    return out.select("target", "related", F.array_join("shared", ",").alias("shared"))
+
+
+@query(
+    "designator_resolution",
+    """WITH c AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'a' ELSE 'b' END AS chain, c_nationkey || '-' || c_custkey % 40 AS address, CASE WHEN c_custkey % 4 = 0 THEN 'ef' ELSE substr(sha256(c_name), 1, 1) END AS code, c_custkey % 4 = 0 AS is_designator FROM customer),
+    r AS (SELECT chain, address, CASE WHEN count(DISTINCT code) = 1 THEN min(code) END AS runtime FROM c WHERE NOT is_designator AND code <> '' GROUP BY 1, 2)
+    SELECT c.chain, c.address, coalesce(r.runtime, 'unresolved') AS runtime, count(*) AS n FROM c LEFT JOIN r ON r.chain = c.chain AND r.address = c.address WHERE is_designator GROUP BY 1, 2, 3""",
+)
+def designator_resolution(spark, sf_dir):
+    """Runtime code of designators: the one code of the same chain and address, else unresolved."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(
+        F.when(k % 5 == 0, "a").otherwise("b").alias("chain"),
+        F.concat(F.col("c_nationkey").cast("string"), F.lit("-"), (k % 40).cast("string")).alias("address"),
+        F.when(k % 4 == 0, "ef").otherwise(F.substring(F.sha2("c_name", 256), 1, 1)).alias("code"),
+        (k % 4 == 0).alias("is_designator"),
+    )
+    out = relational.resolve_designators(c)
+    return out.groupBy("chain", "address", F.coalesce("runtime", F.lit("unresolved")).alias("runtime")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "call_rules",
+    """WITH RECURSIVE f AS (SELECT DISTINCT p_size AS func FROM part), pub AS (SELECT DISTINCT p_size AS func, 'sel' || p_size AS sel FROM part WHERE p_size % 3 = 0),
+    e AS (SELECT func AS src, (func * 5 + 1) % 50 + 1 AS dst FROM f), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src),
+    reach AS (SELECT src, dst FROM c UNION SELECT func, func FROM pub),
+    calls AS (SELECT p_partkey AS stmt, p_size AS func, CASE WHEN p_partkey % 2 = 0 THEN 'sig' || p_partkey % 6 ELSE 'UnkownCall' END AS sig FROM part WHERE p_partkey % 4 IN (0, 1))
+    SELECT pub.func, pub.sel, count(stmt) AS n_calls, coalesce(array_to_string(list_sort(list(DISTINCT sig) FILTER (WHERE sig IS NOT NULL)), ','), '') AS targets FROM pub JOIN reach ON reach.src = pub.func LEFT JOIN calls ON calls.func = reach.dst GROUP BY 1, 2""",
+)
+def call_rules(spark, sf_dir):
+    """Public functions and the external calls that they reach; facts are derived from parts."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    size, key = F.col("p_size"), F.col("p_partkey")
+    func = p.select(size.alias("func")).distinct()
+    facts = {
+        "public": func.where("func % 3 = 0").select("func", F.concat(F.lit("sel"), F.col("func").cast("string")).alias("sel")),
+        "in_function": func.select(F.col("func").alias("block"), "func"),
+        "call_edge": func.select(F.col("func").alias("block"), ((F.col("func") * 5 + 1) % 50 + 1).alias("func")),
+        "opcode": p.select(key.alias("stmt"), F.when(key % 4 == 0, "CALL").when(key % 4 == 1, "STATICCALL").otherwise("ADD").alias("op")),
+        "statement": p.select(key.alias("stmt"), size.alias("func")),
+        "target": p.where(key % 2 == 0).select(key.alias("stmt"), F.concat(F.lit("sig"), (key % 6).cast("string")).alias("sig")),
+    }
+    out = relational.call_rules(facts)
+    return out.select("func", "sel", "n_calls", F.array_join("targets", ",").alias("targets"))
+
+
+@query("attached_threshold", "SELECT o_orderkey, c_acctbal AS threshold, o_totalprice >= c_acctbal AS above FROM orders JOIN customer ON o_custkey = c_custkey")
+def attached_threshold(spark, sf_dir):
+    """Each order with its customer's balance as a threshold; an order without one would fail."""
+    t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("threshold"))
+    out = relational.attach_or_fail(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), t, ["o_custkey"], "threshold")
+    return out.select("o_orderkey", "threshold", (F.col("o_totalprice") >= F.col("threshold")).alias("above"))
+
+
+@query(
+    "conflict_categories",
+    """WITH g AS (SELECT l_partkey, count(DISTINCT l_returnflag) AS n_labels, count(DISTINCT l_suppkey) AS n_addresses, count(DISTINCT l_linenumber) AS n_chains, count(DISTINCT l_linestatus) AS n_sources FROM lineitem GROUP BY 1)
+    SELECT CASE WHEN n_labels <= 1 THEN 'none' WHEN n_addresses = 1 THEN 'same_address' WHEN n_chains > 1 THEN 'cross_chain' WHEN n_sources > 1 THEN 'cross_source' ELSE 'same_source' END AS category, count(*) AS n FROM g GROUP BY 1""",
+)
+def conflict_categories(spark, sf_dir):
+    """Why parts have several return flags."""
+    g = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(*[F.count_distinct(c).alias(n) for c, n in (("l_returnflag", "n_labels"), ("l_suppkey", "n_addresses"), ("l_linenumber", "n_chains"), ("l_linestatus", "n_sources"))])
+    return relational.conflict_category(g).groupBy("category").agg(F.count("*").alias("n"))
 
 
 _RULES = (("STANDARD", "std"), ("STANDARD ANODIZED", "std-anodized"), ("PROMO", "promo"), ("ECONOMY", "eco"), ("SMALL", "small"))

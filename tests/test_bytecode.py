@@ -104,8 +104,9 @@ def test_first_stop(spark):
 def test_feature_columns(spark):
     df = spark.createDataFrame([(1, ["PUSH", "SSTORE", "CALL", "STOP"], [4], ["a9059cbb"]), (2, [], [], [])], "id long, ops array<string>, p array<int>, s array<string>")
     r = {x.id: x for x in df.select("id", features.risk_factors(F.col("ops"), F.col("s")).alias("f"), features.kgrams(F.col("ops")).alias("g"), features.structural(F.col("ops"), F.col("p"), F.col("s"), F.lit(8)).alias("t")).collect()}
-    assert (r[1].f.external_call, r[1].f.state_write, r[1].f.token_movement, r[1].f.self_destruct) == (True, True, True, False)
-    assert r[1].g == ["PUSH SSTORE CALL STOP"] and r[2].g == ["<EMPTY>"] and r[1].t.n_calls == 1 and r[2].t.d_calls == 0.0
+    assert tuple(r[1].f) == (True, True, False, True, False, False) and tuple(r[2].f) == (False,) * 6
+    assert r[1].g == ["PUSH SSTORE CALL STOP"] and r[2].g == ["<EMPTY>"] and r[1].t.n_call_family == 1 and r[2].t.call_density == 0.0
+    assert tuple(r[1].t.asDict()) == features.STRUCTURAL and len(features.STRUCTURAL) == 36 and (r[1].t.n_push4, r[1].t.has_transfer, r[1].t.has_owner) == (1, 1, 0)
     v = {x.id: x.vector for x in features.histogram_vector(df, "id", "ops", opcodes.vocabulary()).collect()}
     assert len(v[1]) == 225 and abs(sum(v[1]) - 1) < 1e-12 and sum(v[2]) == 0
 

@@ -40,3 +40,42 @@ def test_row_operators(spark):
     assert programs.one_hot(a, "f", ["f1"]).agg(F.sum("f_f1")).first()[0] == 1
     e = spark.createDataFrame([(1, True), (0, False)], "e int, s boolean")
     assert programs.error_concentration(e, "e", "s").first().ratio == 2.0
+
+
+def test_featurize_and_views(spark):
+    from collections import Counter
+
+    from quern.functions import features, opcodes
+
+    codes = ["0x63a9059cbb600456005b00f1", "", "ef0100" + "ab" * 20, None]
+    vocab = opcodes.vocabulary()
+    rows = {r.id: r for r in features.featurize(spark.createDataFrame(list(enumerate(codes)), "id int, c string"), "id", "c", vocab).collect()}
+    views = features.feature_views(vocab)
+    assert len(views["struct"]) == 36 and len(rows[0].dense) == len(vocab) + 36 == len(views["dense"]) and len(rows[0].ngram) == 512
+    ops = ["PUSH", "PUSH", "JUMP", "STOP", "JUMPDEST", "STOP", "CALL"]
+    assert {vocab[k]: round(x * 7) for k, x in enumerate(rows[0].dense[: len(vocab)]) if x} == Counter(ops)
+    struct = dict(zip(features.STRUCTURAL, rows[0].dense[len(vocab) :]))
+    assert (struct["code_bytes"], struct["n_push4"], struct["has_transfer"], struct["n_sensitive_selectors"], struct["mean_push_size"]) == (12, 1, 1, 1, 2.5)
+    grams = {" ".join(ops[i : i + 4]) for i in range(4)}
+    want = Counter(int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8, salt=(2).to_bytes(8, "little")).digest(), "little") % 512 for g in grams)
+    assert {k: round(x * 4) for k, x in enumerate(rows[0].ngram) if x} == want
+    assert not any(rows[1].dense) and not any(rows[1].ngram) and not any(rows[3].dense) and rows[2].dense[len(vocab) + 3] == 1.0
+    got = spark.createDataFrame([([5.0, 6.0, 7.0],)], "v array<double>").select(features.view(F.col("v"), [2, 0]).alias("x")).first().x
+    assert got == [7.0, 5.0]
+
+
+def test_collate(spark):
+    from quern.functions import features
+
+    df = spark.createDataFrame([(1, [[1, 2], [3, 4]]), (2, [[5, 6]]), (3, [[7, 8]])], "id int, chunks array<array<int>>")
+    got = {r.id: (r.chunks, r.chunk_mask) for r in features.collate(df, "chunks", F.floor(F.col("id") / 3)).collect()}
+    assert got == {1: ([[1, 2], [3, 4]], [True, True]), 2: ([[5, 6], [0, 0]], [True, False]), 3: ([[7, 8]], [True])}
+
+
+def test_projection_and_finite(spark):
+    from quern.operators import relational
+
+    df = spark.createDataFrame([("a", 1.0), ("z", float("nan")), (None, float("inf")), ("b", None)], "k string, v double")
+    out = relational.projection(df, "k", {"a": (1, "x"), "b": (2, "y")}, ["n", "t"])
+    assert sorted(((r.k, r.n, r.t) for r in out.collect()), key=str) == sorted([("a", 1, "x"), ("z", None, None), (None, None, None), ("b", 2, "y")], key=str)
+    assert [r.k for r in relational.finite(df, "v").collect()] == ["a"]
