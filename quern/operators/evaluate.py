@@ -220,3 +220,26 @@ def z_scores(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
     stats = train.agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     out = df.crossJoin(F.broadcast(stats))  # one row
     return out.select(*df.columns, *[((F.col(c) - F.col(f"__m_{c}")) / (F.col(f"__s_{c}") + 1e-9)).alias(f"z_{c}") for c in columns])
+
+
+def rule_score(df: DataFrame, column: str) -> DataFrame:
+    """score 1 where a count or flag is above zero, else 0: the name and structure rules."""
+    return df.withColumn("score", F.when(F.col(column).cast("double") > 0, 1.0).otherwise(0.0))
+
+
+def oracle_score(df: DataFrame, label: str, bad: str) -> DataFrame:
+    """score 1 where the label is the given one, else 0."""
+    return df.withColumn("score", F.when(F.col(label) == bad, 1.0).otherwise(0.0))
+
+
+def condition_grid(df: DataFrame, condition: str, by: tuple[str, ...] = (), y: str = "y", score: str = "score", pred: str = "pred") -> DataFrame:
+    """Confusion counts, rates and average precision of each condition (and ``by``) in one pass each."""
+    keys = (*by, condition)
+    return confusion(df, y, pred, keys).join(average_precision(df, y, score, keys), list(keys))
+
+
+def condition_deltas(grid: DataFrame, condition: str, base: str, values: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Each condition's values less those of the base condition, beside the values: <value>_delta."""
+    first = grid.where(F.col(condition) == base).select(*by, *[F.col(v).alias(f"__{v}") for v in values])
+    out = grid.join(first, list(by)) if by else grid.crossJoin(F.broadcast(first))  # one row
+    return out.select(*by, condition, *values, *[(F.col(v) - F.col(f"__{v}")).alias(f"{v}_delta") for v in values])

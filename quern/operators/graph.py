@@ -42,14 +42,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 def transitive_closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """All (src, dst) reachable by one or more steps, cycles included.
 
-    Semi-naive: each round joins only the pairs found last with the edges and
-    keeps what is new, so cyclic input ends.
+    Each round joins all pairs found with each other, so paths double in
+    length and the rounds grow with the logarithm of the longest. A round
+    writes one table; it ends when a round finds nothing new.
     """
-    edge = materialize(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).dropna().distinct(), "closure")
-    found = fresh = edge
-    step = edge.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    while not fresh.isEmpty():
-        nxt = fresh.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
-        fresh = materialize(nxt.join(found, ["src", "dst"], "left_anti"), "closure")
-        found = found.unionByName(fresh)
+    found = materialize(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).dropna().distinct(), "closure")
+    n = found.count()
+    while n:
+        step = found.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+        longer = found.join(step, "dst").select("src", F.col("next").alias("dst"))
+        found = materialize(found.unionByName(longer).distinct(), "closure")
+        before, n = n, found.count()
+        if n == before:
+            break
     return found

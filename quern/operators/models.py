@@ -44,6 +44,19 @@ def platt(df: DataFrame, y: str = "y"):
     return Pipeline(stages=[prepare, VectorAssembler(inputCols=["__l"], outputCol="__v"), LogisticRegression(featuresCol="__v", labelCol=y)]).fit(df)
 
 
+def calibrated(train: DataFrame, hold: DataFrame, columns: list[str], kind: str = "svm", y: str = "y", seed: int = 7702):
+    """A function that scores rows by a model whose margin or probability is passed through a logistic
+    fit on rows that the model didn't see; use it for the SVM, whose margin is no probability."""
+    model = fit(train, columns, kind, y, seed)
+    own = score(model, hold).withColumnRenamed("score", "__margin")
+    link = Pipeline(stages=[VectorAssembler(inputCols=["__margin"], outputCol="__v"), LogisticRegression(featuresCol="__v", labelCol=y)]).fit(own)
+
+    def scored(df: DataFrame) -> DataFrame:
+        return score(link, score(model, df).withColumnRenamed("score", "__margin")).drop("__margin")
+
+    return scored
+
+
 def isotonic(df: DataFrame, y: str = "y"):
     """A monotone fit of the label on the score."""
     return Pipeline(stages=[VectorAssembler(inputCols=["score"], outputCol="__v"), IsotonicRegression(featuresCol="__v", labelCol=y, predictionCol="calibrated")]).fit(df)

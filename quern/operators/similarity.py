@@ -75,6 +75,18 @@ def similar_pairs(sig: DataFrame, id_col: str, sig_col: str, threshold: float, p
     return a.join(b, "band").where((F.col("a") < F.col("b")) & (same >= need)).select("a", "b", (same / positions).alias("similarity")).distinct()
 
 
+def banded_pairs(sig: DataFrame, id_col: str, sig_col: str, threshold: float, prefix: int = 4) -> DataFrame:
+    """(a, b, similarity) of rows whose signatures begin alike and agree enough, a < b.
+
+    One bucket by the first ``prefix`` values: cheap, and it loses pairs that
+    differ there; ``similar_pairs`` loses none.
+    """
+    cls = representatives(sig, id_col, sig_col).withColumn("band", F.slice("sig", 1, prefix))
+    a = cls.select("band", F.col("rep").alias("a"), F.col("sig").alias("sa"))
+    b = cls.select("band", F.col("rep").alias("b"), F.col("sig").alias("sb"))
+    return a.join(b, "band").where(F.col("a") < F.col("b")).select("a", "b", agreement(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
 def representatives(sig: DataFrame, id_col: str, sig_col: str) -> DataFrame:
     """(rep, sig): the smallest id of each distinct signature."""
     return sig.groupBy(F.col(sig_col).alias("sig")).agg(F.min(id_col).alias("rep"))

@@ -148,6 +148,132 @@ def holm(p: DataFrame, key: str, value: str) -> DataFrame:
     return running(own, [("__k", False)], {"adjusted": ("__raw", "max")}).drop("__raw", "__k", "__m")
 
 
+def _weights(seed: int, lot: int, unit: int, n: int) -> np.ndarray:
+    """How often a unit is drawn in each of n replicates; it depends on nothing else."""
+    return np.random.default_rng([seed, lot, unit & 0xFFFFFFFFFFFFFFFF]).poisson(1.0, n)
+
+
+def _replicates(rows: DataFrame, size: int, reps: int, chunk: int, seed: int) -> DataFrame:
+    """(rep, k, v): sums of the values of the drawn units, from rows (h: a unit's hash, v: its ``size`` values).
+
+    Each task draws for its own units and keeps one sum per replicate of a
+    chunk; replicates are summed over tasks afterwards. No table of draws
+    exists, and results don't depend on partitions.
+    """
+    lots = -(-reps // chunk)
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((lots, chunk, size))
+        for pdf in frames:
+            for h, v in zip(pdf["h"], pdf["v"]):
+                v = np.asarray(v, float)
+                for lot in range(lots):
+                    total[lot] += _weights(seed, lot, int(h), chunk)[:, None] * v
+        flat = total.reshape(lots * chunk, size)[:reps]
+        yield pd.DataFrame({"rep": np.arange(len(flat)), "v": list(flat)})
+
+    drawn = rows.mapInPandas(draw, "rep long, v array<double>").select("rep", F.posexplode("v").alias("k", "x"))
+    return drawn.groupBy("rep", "k").agg(F.sum("x").alias("x")).groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("v"))
+
+
+def _summed_units(df: DataFrame, unit: str, strata: str | None, values: list[Column]) -> DataFrame:
+    """(h, v) of each unit; with strata, units of different ones are drawn apart."""
+    keys = [F.col(unit).cast("string")] + ([F.col(strata).cast("string")] if strata else [])
+    sums = df.groupBy(F.xxhash64(*keys).alias("h"), *[F.col(c).alias(f"__{c}") for c in [unit, *([strata] if strata else [])]]).agg(*[F.sum(x.cast("double")).alias(f"__v{k}") for k, x in enumerate(values)])
+    return sums.select("h", F.array(*[F.coalesce(f"__v{k}", F.lit(0.0)) for k in range(len(values))]).alias("v"))
+
+
+def _interval(reps: DataFrame, point: DataFrame, stats: dict[str, Column]) -> DataFrame:
+    """(metric, estimate, low, high, below): percentile intervals and the share of replicates at or below zero."""
+    out = None
+    for name, value in stats.items():
+        q = reps.select(value.alias("x")).agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((F.col("x") <= 0).cast("double")).alias("below"))
+        row = point.select(value.alias("estimate")).crossJoin(q).select(F.lit(name).alias("metric"), "estimate", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "below")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def paired_bootstrap(df: DataFrame, unit: str, y: str = "y", a: str = "pred_a", b: str = "pred_b", reps: int = 10_000, chunk: int = 500, seed: int = 7702, strata: str | None = None) -> DataFrame:
+    """Recall and false positive rate of two models, and their differences, when whole units are drawn again.
+
+    ``unit`` is a row's id (independent rows) or its family (clusters); with
+    ``strata`` units are drawn within folds. Returns (metric, estimate, low,
+    high, below); metrics are recall_a, recall_b, recall_diff and the same of
+    fpr. Units are drawn by Poisson weights of mean one.
+    """
+    pos, hit = F.col(y) == 1, lambda c: F.col(c) == 1
+    as_ = lambda c: F.when(c, 1.0).otherwise(0.0)
+    values = [as_(pos), as_(~pos), as_(pos & hit(a)), as_(pos & hit(b)), as_(~pos & hit(a)), as_(~pos & hit(b))]
+    rows = materialize(_summed_units(df, unit, strata, values), "units")
+    reps_ = materialize(_replicates(rows, len(values), reps, chunk, seed), "replicates")
+    point = rows.select(F.posexplode("v").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).agg(F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("v"))
+    v = lambda k: F.col("v")[k]
+    stats = {}
+    for name, top, base in (("recall", (2, 3), 0), ("fpr", (4, 5), 1)):
+        x, z = (F.try_divide(v(k), v(base)) for k in top)
+        stats |= {f"{name}_a": x, f"{name}_b": z, f"{name}_diff": x - z}
+    return _interval(reps_, point, stats)
+
+
+def precision_bootstrap(df: DataFrame, unit: str, y: str = "y", a: str = "score_a", b: str = "score_b", reps: int = 1000, chunk: int = 100, bins: int = 256, seed: int = 7702, strata: str | None = None) -> DataFrame:
+    """Average precision of two models and the difference when whole units are drawn again.
+
+    Scores from 0 to 1 count in ``bins`` equal bins, whose rows tie; with no
+    more distinct scores than that, on the bins' grid, the result is exact.
+    Units, strata and the result are as in ``paired_bootstrap``.
+    """
+    place = lambda c: F.least(F.floor(F.col(c) * bins), F.lit(bins - 1)).cast("int")
+    keys = [F.col(unit).cast("string")] + ([F.col(strata).cast("string")] if strata else [])
+    # a unit has few rows, so its histogram is kept as the bins that it has
+    slot = F.when(F.col(y) == 1, 0).otherwise(bins)
+    rows = df.select(F.xxhash64(*keys).alias("h"), F.explode(F.array(slot + place(a), slot + place(b) + 2 * bins)).alias("k"))
+    rows = materialize(rows.groupBy("h", "k").agg(F.count("*").alias("n")), "units")
+    lots = -(-reps // chunk)
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((lots, chunk, 4 * bins))
+        own = np.zeros(4 * bins)
+        for pdf in frames:
+            for h, k, n in zip(pdf["h"], pdf["k"], pdf["n"]):
+                own[k] += n
+                for lot in range(lots):
+                    total[lot, :, k] += n * _weights(seed, lot, int(h), chunk)
+        yield pd.DataFrame({"rep": np.arange(-1, reps), "v": [own, *total.reshape(-1, 4 * bins)[:reps]]})
+
+    def precision(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for v in pdf["v"]:
+                x, two = np.asarray(v, float).reshape(2, 2, bins)[:, :, ::-1], []
+                for p, n in x:
+                    tp, all_ = np.cumsum(p), np.cumsum(p + n)
+                    two.append(float((np.divide(tp, all_, out=np.zeros(bins), where=all_ > 0) * p).sum() / tp[-1]) if tp[-1] else None)
+                out.append(two)
+            yield pd.DataFrame({"rep": pdf["rep"], "a": [x for x, _ in out], "b": [x for _, x in out]})
+
+    part = rows.mapInPandas(draw, "rep long, v array<double>").select("rep", F.posexplode("v").alias("k", "x")).groupBy("rep", "k").agg(F.sum("x").alias("x"))
+    whole = part.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda r: r["x"]).alias("v"))
+    both = materialize(whole.mapInPandas(precision, "rep long, a double, b double"), "replicates")
+    stats = {"average_precision_a": F.col("a"), "average_precision_b": F.col("b"), "average_precision_diff": F.col("a") - F.col("b")}
+    return _interval(both.where("rep >= 0"), both.where("rep < 0"), stats)
+
+
+def dunn(df: DataFrame, value: str, group: str) -> DataFrame:
+    """(a, b, z, p_value, adjusted) of all pairs of groups by mean ranks, with ties, adjusted step by step."""
+    v = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    v = materialize(running(v, [("v", False)], {"upto": ("c", "sum")}).select("v", "c", (F.col("upto") - F.col("c") + (F.col("c") + 1) / 2).alias("rank")), "ranks")
+    ties = v.agg(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"), F.sum("c").alias("n"))
+    g = materialize(df.join(v, df[value] == v["v"]).groupBy(F.col(group).alias("g")).agg(F.avg("rank").alias("r"), F.count("*").alias("m")), "groups")
+    a, b = g.toDF("a", "ra", "ma"), g.toDF("b", "rb", "mb")
+    # groups are compared pair by pair: their number, not the rows', is squared
+    pairs = a.join(b, F.col("a") < F.col("b")).crossJoin(F.broadcast(ties))  # one row
+    n = F.col("n")
+    spread = (n * (n + 1) / 12 - F.col("ties") / (12 * (n - 1))) * (1 / F.col("ma") + 1 / F.col("mb"))
+    out = pairs.select("a", "b", ((F.col("ra") - F.col("rb")) / F.sqrt(spread)).alias("z"))
+    out = materialize(out.withColumn("p_value", normal_tail(F.col("z"))).withColumn("__pair", F.concat_ws("|", "a", "b")), "pairs")
+    return holm(out, "__pair", "p_value").select("a", "b", "z", "p_value", "adjusted")
+
+
 def clustered_bootstrap(df: DataFrame, cluster: str, num: str, den: str, reps: int = 10_000, chunk: int = 500, seed: int = 7702) -> DataFrame:
     """(estimate, low, high) of a ratio of sums when whole clusters are drawn again.
 

@@ -129,12 +129,6 @@ def warning_tiers(spark, sf_dir):
     return s.groupBy(evaluate.warning_tier(F.col("score"), 0.4, 0.8).alias("tier")).agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
 
 
-@query("group_kfold_assign")
-def group_kfold_assign(spark, sf_dir):
-    """Folds of sources, balanced by rows."""
-    return evaluate.group_folds(table(spark, sf_dir, "documents"), "source")
-
-
 @query(
     "blocklist_flag",
     """WITH bad AS (SELECT DISTINCT sha256(text) AS h FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)
@@ -170,11 +164,11 @@ def family_bootstrap_ci(spark, sf_dir):
 
 @query("learned_scores")
 def learned_scores(spark, sf_dir):
-    """Logistic scores of labels from text shape, each fold held out in turn."""
+    """Logistic scores of labels from text shape, each fold of sources held out in turn."""
     from quern.operators import models
 
     s = scored(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.size(F.split("text", " ")).alias("n_words"), F.size(F.split("text", "\n")).alias("n_lines")), "doc_id")
-    s = evaluate.random_folds(s.drop("score"), "doc_id", 3)
+    s = s.drop("score").join(evaluate.group_folds(s, "source", 3), "source")
     columns = ["n_chars", "n_words", "n_lines"]
     out = evaluate.leave_family_out(s, lambda t: models.fit(t, columns), models.score, 3)
     return out.select("doc_id", "turn", "score", "threshold", "pred")

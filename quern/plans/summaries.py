@@ -216,10 +216,3 @@ def tumbling_event_counts(spark, sf_dir):
     from quern.streaming.windows import windowed_counts
 
     return windowed_counts(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
-
-
-@query("even_sample", None)
-def even_sample(spark, sf_dir):
-    """Ten documents of each language at even distances by length."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return relational.evenly_spaced(docs, ["lang"], ["n_chars", "doc_id"], 10)

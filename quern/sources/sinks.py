@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +47,48 @@ def verify_manifest(now: DataFrame, then: DataFrame) -> DataFrame:
 def remaining(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Work that a table of completed keys doesn't list, to resume from."""
     return work.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def write_json_document(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """An aggregate of at most ``most`` rows as one JSON array in one file."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows in a document")
+    rows = F.array_sort(F.collect_list(F.struct(*df.columns)))
+    df.agg(F.to_json(rows).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_json_document(spark: SparkSession, path: str) -> list[dict]:
+    return json.loads("".join(r.value for r in spark.read.text(path).collect()))  # one document
+
+
+def write_hex_files(df: DataFrame, path: str, chain: str = "chain", address: str = "address", code: str = "code") -> DataFrame:
+    """One file per row, ``<path>/<chain>/<address>.hex``: (chain, address, length) of those written.
+
+    ``path`` is one that ``pyarrow.fs`` opens (local, HDFS, S3) and that all
+    executors share. A file appears whole or not at all, so a repeated task
+    writes the same again. Rows without chain, address or code are left out.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        made: set[str] = set()
+        for batch in batches:
+            for c, a, h in zip(*(x.to_pylist() for x in batch.columns)):
+                if c not in made:
+                    store.create_dir(f"{root}/{c}", recursive=True)
+                    made.add(c)
+                with store.open_output_stream(f"{root}/{c}/.{a}.part") as f:
+                    f.write(h.encode())
+                store.move(f"{root}/{c}/.{a}.part", f"{root}/{c}/{a}.hex")
+            size = pa.array([len(h) for h in batch.column(2).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size], ["chain", "address", "length"])
+
+    rows = df.select(F.col(chain).cast("string").alias("chain"), F.lower(address).alias("address"), F.col(code).cast("string").alias("code")).dropna()
+    return rows.mapInArrow(of, "chain string, address string, length long")
+
+
+def write_arrays(df: DataFrame, path: str, columns: list[str]) -> None:
+    """Named array columns with their row's key columns as Parquet, in place of an array store."""
+    df.select(*[c for c in df.columns if c not in columns], *columns).write.mode("overwrite").parquet(path)
