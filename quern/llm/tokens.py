@@ -4,11 +4,13 @@ The byte-level pre-tokenizer never joins a character that isn't white space
 with white space after it, nor a letter with a sign after it (but for an
 apostrophe). A text without adjacent white space may therefore be cut before
 spaces, around line ends and between letters and signs; the pieces' ids, one
-after another, are the text's. Texts with adjacent white space are encoded whole.
+after another, are the text's. Texts with adjacent white space are encoded whole,
+and so is every text where the tokenizer has another pre-tokenizer or a normalizer.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 
@@ -19,7 +21,7 @@ import pyarrow.compute as pc
 from quern.llm.common import trim
 
 #: Characters of text cut at once, and pieces kept in each of two generations.
-BATCH_BYTES, KEPT = 6 << 20, 200_000
+BATCH_BYTES, KEPT = 4 << 20, 150_000
 _WIDE_GAP = r"[\s\x0b\x{85}\p{Z}]{2}|[\x00\x01]"
 _SIGNS = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:%$#*&|]+)"
 _NUL, _CUT = "\x00", "\x01"
@@ -43,6 +45,10 @@ class Encoder:
         self.nul = self.model.encode(_NUL, add_special_tokens=False).ids
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        # the cuts are right for the byte-level pre-tokenizer's own pattern and without a normalizer
+        spec = json.loads(self.model.to_str())
+        pre = spec.get("pre_tokenizer") or {}
+        self.cuts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         # pieces may be told apart by NUL only where no token but its own holds it
         own = [v for k, v in self.model.get_vocab().items() if self.model.decoder and _NUL in self.model.decoder.decode([k])]
         self.by_nul = len(self.nul) == 1 and own == self.nul
@@ -109,6 +115,9 @@ class Encoder:
         self.kept.update(zip(rest, self.whole(rest)))
 
     def _some(self, texts: list[str | None], i: int, j: int, out: list[bytes]) -> None:
+        if not self.cuts:
+            out[i:j] = self.whole([t or "" for t in texts[i:j]])
+            return
         part = pa.array(["" if t is None else t for t in texts[i:j]], pa.large_string())
         odd = pc.match_substring_regex(part, _WIDE_GAP).to_numpy(zero_copy_only=False)
         for k in np.flatnonzero(odd):
@@ -117,21 +126,29 @@ class Encoder:
         if not len(usual):
             return
         marked = pc.replace_substring(part.take(pa.array(usual)), " ", _CUT + " ")
+        del part
         marked = pc.replace_substring(marked, "\n", f"{_CUT}\n{_CUT}")
         cut = pc.split_pattern(pc.replace_substring_regex(marked, _SIGNS, rf"\1{_CUT}\2"), _CUT)
+        del marked
         counts = pc.list_value_length(cut).to_numpy()
         coded = cut.flatten().dictionary_encode()
-        known, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        first = np.concatenate([[0], np.cumsum(counts)])[:-1]
+        del cut
+        known, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        del coded
         self._learn(known)
         ids = list(map(self.kept.__getitem__, known))
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        pool, begin = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(size)])[:-1]
+        del known
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // np.int32(4)
+        pool, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size, dtype=np.int32) - size
+        del ids
         each = size[index]
-        total = np.concatenate([[0], np.cumsum(each)])
-        place = np.repeat(begin[index] - total[:-1], each) + np.arange(total[-1])
+        total = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        # a batch has far fewer than 2**31 ids
+        place = np.repeat(begin[index] - total[:-1].astype(np.int32), each)
+        place += np.arange(len(place), dtype=np.int32)
         raw = pool[place].tobytes()
-        ends = 4 * total[np.concatenate([first, [len(index)]])]
+        del place, pool, each, index
+        ends = 4 * total[np.concatenate([[0], np.cumsum(counts)])]
         for k, a, b in zip(usual.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
             out[i + k] = raw[a:b]
 
