@@ -29,13 +29,21 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(16 << 20))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_ids(ids: DataFrame) -> DataFrame:
     """A table of ids, with a broadcast hint where it is small enough."""
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
-def spread_join(rows: DataFrame, table: DataFrame, on: list[str], n: str, *, counts: DataFrame | None = None) -> DataFrame:
-    """Inner join of many rows with a table of one row per key.
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], n: str, *, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """Inner (or left) join of many rows with a table of one row per key.
 
     ``n`` in the table tells how many rows a key has; ``counts`` has the keys
     and ``n`` alone where the table is costly to compute. Rows of a key that has more than SPREAD_ROWS are dealt
@@ -52,7 +60,7 @@ def spread_join(rows: DataFrame, table: DataFrame, on: list[str], n: str, *, cou
     many = rows.join(hot, on, "left").withColumn("__lot", lot).drop("__lots")
     each = F.when(F.col(n) > per, F.sequence(F.lit(0), lots - 1)).otherwise(F.array(F.lit(0)))
     table = table.withColumn("__lot", F.explode(each))
-    return many.join(table, [*on, "__lot"]).drop("__lot")
+    return many.join(table, [*on, "__lot"], how).drop("__lot")
 
 
 def trim() -> None:

@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded_batches, chunks, crc_mod, hash01, summed, trim
+from quern.llm.common import bounded_batches, chunks, crc_mod, hash01, small_ids, summed, trim
+from quern.plans.materialize import materialize
 
 BITS = 12
 DIM = 1 << BITS
@@ -24,7 +25,7 @@ DIM = 1 << BITS
 SAMPLE, CENTROIDS = 1500, 4
 #: A text is rejected below SLACK times the smallest cosine of sampled texts with
 #: as many trigrams (by powers of two), or below FLOOR where few were sampled.
-SLACK, FLOOR, MOST_LANGUAGES = 0.6, 0.02, 5000
+SLACK, FLOOR = 0.6, 0.02
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
@@ -174,15 +175,13 @@ def _learned(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds:
     mod = crc_mod(F.col(id_col), folds)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(mod == held_out, F.lit(False)).alias("held_out"))
     learn = src.where("not held_out and id is not null and lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in learn.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = materialize(learn.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     langs, owner, model, floors, idf = [], np.zeros(0, int), np.zeros((0, DIM), np.float32), np.zeros((0, 0)), np.ones(DIM, np.float32)
-    if sizes:
+    if not sizes.isEmpty():
         df = summed(learn.select("text").mapInArrow(_document_frequency, "v binary"), DIM + 1)
         idf = (np.log((1 + df[DIM]) / (1 + df[:DIM])) + 1).astype(np.float32)
-        share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, sample / n)])
-        few = learn.where(hash01(F.col("id"), 11) < share[F.col("lang")]).select("lang", "text")
+        # one row per language
+        few = learn.join(small_ids(sizes), "lang").where(hash01(F.col("id"), 11) < sample / F.col("n")).select("lang", "text")
         schema = "lang string, centroids binary, floors binary"
         rows = sorted(few.groupBy("lang").applyInArrow(_fit_language(idf, centroids), schema).collect(), key=lambda r: r.lang)
         parts = [np.frombuffer(r.centroids, np.float32).reshape(-1, DIM) for r in rows]

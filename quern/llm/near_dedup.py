@@ -23,19 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_bytes, bounded_batches, chunks, mix, shingle_hashes, shingle_sets, small_ids, trim, word_hashes
+from quern.llm.common import as_bytes, bounded_batches, chunks, mix, shingle_hashes, shingle_sets, small_ids, spread_join, trim, word_hashes
 from quern.operators.graph import connected_components
 from quern.plans.materialize import materialize
 
-#: Members outside a bucket's main component above which its key is joined with a further one.
+#: Members outside a bucket's main component above which its key is joined with a further one;
+#: None never does. A pair then has to share two such keys.
 WIDE_BUCKET = 512
-#: Partial keys that a pair must share before its texts are compared. Of 16 with
+#: Partial keys that a pair must share before its texts are compared; 1 compares all. Of 16 with
 #: two rows each, a pair of similarity 0.8 shares ten on average, and fewer than
 #: four once in 10,000 times.
 SHARED_KEYS = 4
-#: Sketch words of 64 bits; bits that may differ; set size from which sketches count.
-#: Sets of similarity 0.8 differ in 15 of 100 bits; 375 of 2048 is four standard errors more.
-SKETCH_WORDS, MOST_BITS, SKETCHED_SIZE = 32, 375, 64
+#: Bits of a sketch that may differ; None doesn't look at sketches. Sets of similarity 0.8 differ in
+#: 15 of 100 bits; 375 of 2048 is four standard errors more.
+MOST_BITS = 375
+#: Sketch words of 64 bits; set size from which sketches count.
+SKETCH_WORDS, SKETCHED_SIZE = 32, 64
 
 
 def _salts(n: int) -> np.ndarray:
@@ -148,7 +151,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     need = pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id"))).distinct()
     own = _texts_of(need, texts)
     full = pairs.join(own.select(F.col("id").alias("dst"), F.col("text").alias("dst_text")), "dst")
-    full = full.join(own.select(F.col("id").alias("src"), F.col("text").alias("src_text")), "src")
+    many = materialize(pairs.groupBy("src").agg(F.count("*").alias("rows")), "sources")
+    heads = own.select(F.col("id").alias("src"), F.col("text").alias("src_text")).join(many, "src")
+    full = spread_join(full, heads, ["src"], "rows", counts=many).sortWithinPartitions("src")
     return full.select("src", "dst", "src_text", "dst_text").mapInArrow(_verifier(width, percent), "src long, dst long, ok boolean").where("ok").select("src", "dst")
 
 
@@ -169,13 +174,16 @@ def _similar_size(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, tables: int = 8, rows: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, tables: int = 8, rows: int = 2, wide_bucket: int | None = WIDE_BUCKET, shared_keys: int = SHARED_KEYS, most_bits: int | None = MOST_BITS) -> DataFrame:
     """Component of near duplicates of each row: (id, n_shingles, component_id, kept).
 
     Rows are linked when the Jaccard similarity of their sets of distinct
     ``width``-word shingles is at least ``percent`` hundredths, confirmed on
     the full sets. Words are runs without ASCII white space, A-Z lowered.
     component_id is the smallest id reachable; kept marks the row that has it.
+    ``wide_bucket``, ``shared_keys`` and ``most_bits`` spare comparisons that
+    can hardly succeed; with None, 1 and None every pair that shares a table
+    key is compared, unless it is linked already.
 
     Null or empty texts and texts without a word have no shingles, are linked
     with nothing and are kept. A row with null id keeps a null component unless
@@ -189,48 +197,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, n long, f1 long, f2 long, keys array<long>"
     sig = materialize(texts.mapInArrow(_signatures(width, tables, rows), schema), "signatures")
-    classes = sig.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
+    classes = sig.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), F.count("*").alias("rows"))
     classes = materialize(classes, "classes")
     table = materialize(_table_keys(classes.select("rep", "n", "keys"), tables), "tables")
     heads = table.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("c")).where("c > 1")
-    near = table.join(heads.select("key", "head"), "key").where(F.col("rep") != F.col("head.rep"))
+    near = spread_join(table, materialize(heads, "heads"), ["key"], "c").where(F.col("rep") != F.col("head.rep"))
     near = near.where(_similar_size("n", "head.n", percent)).select(F.col("head.rep").alias("src"), F.col("rep").alias("dst")).distinct()
-    tried = materialize(_plausible(near, classes), "pairs")
+    tried = materialize(_plausible(near, classes, shared_keys), "pairs")
     links = materialize(_verified(tried, texts, width, percent), "links")
     comp = connected_components(links)
-    rest = _cross_pairs(table, classes, comp, texts, width, percent, tables).join(tried, ["src", "dst"], "left_anti")
+    rest = _cross_pairs(table, classes, comp, texts, width, percent, tables, wide_bucket, most_bits).join(tried, ["src", "dst"], "left_anti")
     rest = materialize(rest, "pairs")
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, texts, width, percent))
         comp = connected_components(links)
-    own = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = sig.select("id", "n", "f1", "f2").join(own, ["f1", "f2", "n"], "left")
+    own = classes.drop("keys").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", "rows", F.coalesce("component", "rep").alias("component_id"))
+    out = spread_join(sig.select("id", "n", "f1", "f2"), materialize(own, "components"), ["f1", "f2", "n"], "rows", how="left")
     comp_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp_id.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def _alike():
+def _alike(most_bits: int | None):
     """Whether the sketches b1 and b2 allow the similarity, or a set is too small to have one."""
+    if most_bits is None:
+        return F.lit(True)
     differ = F.lit(0)
     for k in range(SKETCH_WORDS):
         differ = differ + F.bit_count(F.col("b1")[k].bitwiseXOR(F.col("b2")[k]))
-    return (F.least("n1", "n2") < SKETCHED_SIZE) | (differ <= MOST_BITS)
+    return (F.least("n1", "n2") < SKETCHED_SIZE) | (differ <= most_bits)
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _plausible(pairs: DataFrame, classes: DataFrame, shared_keys: int) -> DataFrame:
     """Pairs that share partial keys enough."""
     dst = classes.select(F.col("rep").alias("dst"), F.col("keys").alias("k2"))
     src = classes.select(F.col("rep").alias("src"), F.col("keys").alias("k1"))
     out = pairs.join(dst, "dst").join(src, "src")
-    return out.where(F.size(F.array_intersect("k1", "k2")) >= SHARED_KEYS).select("src", "dst")
+    return out.where(F.size(F.array_intersect("k1", "k2")) >= shared_keys).select("src", "dst")
 
 
-def _cross_pairs(table: DataFrame, classes: DataFrame, comp: DataFrame, texts: DataFrame, width: int, percent: int, tables: int) -> DataFrame:
+def _cross_pairs(table: DataFrame, classes: DataFrame, comp: DataFrame, texts: DataFrame, width: int, percent: int, tables: int, wide_bucket: int | None, most_bits: int | None) -> DataFrame:
     """Pairs of sets that share a table key but no component yet.
 
     In each bucket the members outside its main component meet all others.
-    Where they are more than WIDE_BUCKET, the key is first joined with the
+    Where they are more than ``wide_bucket``, the key is first joined with the
     other such keys of the same set: a linked pair shares many keys, sets that
     only share a passage share few. Sketches are compared inside the join, so
     only plausible pairs leave it, and a pair leaves only the first of the
@@ -240,7 +250,8 @@ def _cross_pairs(table: DataFrame, classes: DataFrame, comp: DataFrame, texts: D
     mixed = materialize(_mixed(member), "members")
     need = _texts_of(mixed.select(F.col("rep").alias("id")).distinct(), texts)
     known = need.mapInArrow(_sketches(width), "rep long, bits array<long>").join(classes.select("rep", "n", "keys"), "rep")
-    wide = mixed.where(F.col("others") > WIDE_BUCKET)
+    is_wide = F.lit(False) if wide_bucket is None else F.col("others") > wide_bucket
+    wide = mixed.where(is_wide)
     spread = wide.select("rep").distinct().withColumn("wide", F.lit(True))
     known = materialize(known.join(spread, "rep", "left"), "sketches")
     other = wide.select("rep", F.col("key").alias("other"))
@@ -248,17 +259,17 @@ def _cross_pairs(table: DataFrame, classes: DataFrame, comp: DataFrame, texts: D
     first = F.xxhash64(F.array_intersect(F.slice("k1", 1, tables), F.slice("k2", 1, tables))[0], F.array_intersect(F.slice("k1", tables + 1, tables), F.slice("k2", tables + 1, tables))[0])
     # the first bucket of a set that is in a wide one may be split, so any counts
     once = F.coalesce("wide", F.lit(False)) | (F.col("key1") == first)
-    narrow = _meet(mixed.where(F.col("others") <= WIDE_BUCKET), known, percent, once)
-    return narrow.unionByName(_meet(_mixed(split), known, percent, F.lit(True))).distinct()
+    narrow = _meet(mixed.where(~is_wide), known, percent, once, most_bits)
+    return narrow.unionByName(_meet(_mixed(split), known, percent, F.lit(True), most_bits)).distinct()
 
 
-def _meet(member: DataFrame, known: DataFrame, percent: int, once) -> DataFrame:
+def _meet(member: DataFrame, known: DataFrame, percent: int, once, most_bits: int | None) -> DataFrame:
     """Pairs of members of a bucket in different components, one of them outside the main one."""
     full = member.join(known, "rep")
     a = full.where("component != main").select(F.col("key").alias("key1"), F.col("rep").alias("src"), F.col("n").alias("n1"), F.col("component").alias("c1"), F.col("bits").alias("b1"), F.col("keys").alias("k1"), "wide")
     b = full.select("key", F.col("rep").alias("dst"), F.col("n").alias("n2"), F.col("component").alias("c2"), "main", F.col("bits").alias("b2"), F.col("keys").alias("k2"))
     order = (F.col("c2") == F.col("main")) | (F.col("src") < F.col("dst"))
-    on = (F.col("key1") == F.col("key")) & (F.col("c1") != F.col("c2")) & order & _similar_size("n1", "n2", percent) & _alike() & once
+    on = (F.col("key1") == F.col("key")) & (F.col("c1") != F.col("c2")) & order & _similar_size("n1", "n2", percent) & _alike(most_bits) & once
     return a.join(b, on).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
 

@@ -46,7 +46,7 @@ def features(texts: list[bytes]) -> Iterator[np.ndarray]:
         codes, at = _codes(texts[i:j])
         for k in range(j - i):
             seen[codes[:, at[k] : at[k] + len(texts[i + k])]] = True
-            own = np.flatnonzero(seen)
+            own = np.flatnonzero(seen).astype(np.int32)
             seen[own] = False
             yield own
 
@@ -70,11 +70,13 @@ def fit_hinge(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np
     """Dual coordinate descent for the hinge loss; the last weight is the bias."""
     w = np.zeros(DIM + 1)
     alpha = np.zeros(len(rows))
-    data = [(own, ratio[own] / max(np.sqrt((ratio[own] ** 2).sum()), 1e-12)) for own in rows]
+    ratio = ratio.astype(np.float64)
+    scale = [1 / max(np.sqrt((ratio[own] ** 2).sum()), 1e-12) for own in rows]
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         for i in rng.permutation(len(rows)):
-            own, x = data[i]
+            own = rows[i]
+            x = ratio[own] * scale[i]
             grad = y[i] * (w[own] @ x + w[DIM]) - 1
             new = min(max(alpha[i] - grad / 2, 0.0), cost[i])  # each row and the bias have length one
             if new != alpha[i]:

@@ -119,7 +119,10 @@ def shingles(text, width):
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
 
 
-def test_near_duplicates(spark, sf, docs):
+@pytest.mark.parametrize("way", ["query", "wide", "exact"])
+def test_near_duplicates(spark, sf, docs, way):
+    from quern.llm.near_dedup import near_duplicates
+
     sets = {k: shingles(v, 4) for k, v in docs.items()}
     root = {k: k for k in docs}
 
@@ -133,7 +136,13 @@ def test_near_duplicates(spark, sf, docs):
             if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    rows = queries()["op10_near_dedup"](spark, sf).collect()
+    data = spark.read.parquet(f"{sf}/documents.parquet")
+    if way == "query":
+        rows = queries()["op10_near_dedup"](spark, sf).collect()
+    elif way == "wide":  # buckets are wide from their third member outside the main component
+        rows = near_duplicates(data, width=4, wide_bucket=2).collect()
+    else:  # no comparison is spared
+        rows = near_duplicates(data, width=4, wide_bucket=None, shared_keys=1, most_bits=None).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == {k: (len(sets[k]), find(k), find(k) == k) for k in docs}
 
 
