@@ -2,9 +2,11 @@
 
 Numbers, names and units become typed placeholders, so a question asked again
 with other values has the same template. Hashed windows of the benchmark's
-templates are looked up for every place of every document; hits on one
-alignment of an item and a document are joined, and the values in their slots
-must map onto each other one to one.
+templates, and of its literal text, are joined with those of the documents by
+equality; a bit set of bounded size tells beforehand which windows of a document
+can have a partner, so few leave the scan. Pairs of a text and an item with
+windows enough on one alignment are verified on their tokens, and the values in
+their slots must map onto each other one to one.
 """
 
 from __future__ import annotations
@@ -16,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_bytes, bounded_batches, chunks, mix, powers, trim
+from quern.llm.common import as_bytes, bounded_batches, chunks, mix, powers, small_ids, trim, unused
+from quern.plans.materialize import materialize
 
 #: Tokens of a window, how many of them must be words, tokens that must match in a row,
 #: and the share of an item that suffices where the item is shorter.
 WINDOW, LITERALS, RUN, SHARE = 8, 4, 13, 0.8
-#: Benchmark windows looked up in one pass over the documents.
-INDEX_BLOCK = 1_000_000
+#: Bits of the set of benchmark windows for each window, and at most (a power of two): 64 MB.
+BITS_EACH, MOST_BITS = 16, 1 << 29
 
 # Words that stand for numbers and units of measure.
 NUMBER_WORDS = """zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen
@@ -182,19 +185,111 @@ class Index:
         return changed
 
 
-def _blocks(bench: DataFrame, id_col: str, text_col: str, block: int) -> list[Index]:
-    """Indexes of bounded size over all items, read one after another."""
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, kind, item, place, size) of all windows of items (key, text); ``kind`` is their length, negative for literal ones."""
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+            index = Index([key], [text])
+            for (literal, n), (w, _, place) in index.tables.items():
+                m = len(w)
+                kind, size = np.full(m, -n if literal else n, np.int32), np.full(m, len(index.hashes[0]), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(_keyed(w, literal, n).view(np.int64)), pa.array(kind), pa.array(np.full(m, key, np.int64)), pa.array(place), pa.array(size)], ["w", "kind", "item", "place", "size"])
+
+
+def _keyed(w: np.ndarray, literal: bool, n: int) -> np.ndarray:
+    """Window hashes told apart by kind."""
+    return mix(w ^ np.uint64(2 * n + literal))
+
+
+def _bit_set(windows: DataFrame, bits: int) -> np.ndarray:
+    """A set of ``bits`` bits with those of all windows, joined in two rounds."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(np.uint64) & np.uint64(bits - 1)
+            np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8), dtype=np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["v"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for v in batch.column(0):
+                out |= np.frombuffer(v.as_py(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["v"])
+
+    lots = max(1, min(32, (1 << 32) // bits))
+    row = windows.select("w").repartition(lots).mapInArrow(mark, "v binary").repartition(1).mapInArrow(join, "v binary").first()  # one row of at most MOST_BITS / 8 bytes
+    return np.frombuffer(row.v, np.uint8)
+
+
+def _hits(kinds: list[int], bits: np.ndarray):
+    """(h1, h2, w, place) of windows of texts whose bit is set."""
+    mask = np.uint64(8 * len(bits.value) - 1)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = bits.value
+        for batch in batches:
+            texts = as_bytes(batch.column("text"))
+            names = [batch.column(c).to_numpy() for c in ("h1", "h2")]
+            for i, j in chunks(texts):
+                h, typ, own, _ = tokens(texts[i:j])
+                t = _template(h, typ)
+                begin = np.searchsorted(own, np.arange(j - i))
+                for kind in kinds:
+                    literal, n = kind < 0, abs(kind)
+                    w, place = _windows(h if literal else t, own, typ, n, 0 if literal else LITERALS)
+                    w = _keyed(w, literal, n)
+                    at = w & mask
+                    hit = np.flatnonzero(table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                    if len(hit):
+                        text = own[place[hit]]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(x[i + text]) for x in names), pa.array(w[hit].view(np.int64)), pa.array(place[hit] - begin[text])], ["h1", "h2", "w", "place"])
+        trim()
+
+    return of
+
+
+_PAIR = "h1 long, h2 long, item long, matched long, coverage double, changed_slots long, start_byte long, end_byte long"
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept: dict[int, Index] = {}
+    for batch in batches:
+        rows = []
+        texts, items = as_bytes(batch.column("text")), as_bytes(batch.column("item_text"))
+        for k, (h1, h2, item) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "item")))):
+            if item not in kept:
+                if len(kept) >= 256:
+                    kept.clear()
+                kept[item] = Index([item], [items[k]])
+            rows += [(h1, h2, item, n, n / size, changed, a, b) for _, _, a, n, size, changed, b in _found(kept[item], [texts[k]])]
+        types = [pa.int64()] * 4 + [pa.float64()] + [pa.int64()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], x) for i, x in enumerate(types)], [f.split()[0] for f in _PAIR.split(", ")])
+    trim()
+
+
+def _contaminated(src: DataFrame, bench: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """(h1, h2, item_id, ...) of each contaminated text of ``src`` (h1, h2, text) and item; None where the benchmark has no words."""
+    spark = src.sparkSession
     items = bench.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").distinct()
-    out, ids, texts, size = [], [], [], 0
-    for r in items.orderBy("i", "t").toLocalIterator():
-        raw = r.t.encode()
-        if size and size + len(raw) > block * 4:
-            out.append(Index(ids, texts))
-            ids, texts, size = [], [], 0
-        ids.append(r.i)
-        texts.append(raw)
-        size += len(raw)
-    return [*out, Index(ids, texts)] if ids else out
+    items = materialize(items.withColumn("item", F.xxhash64("i", "t")), "items")
+    windows = materialize(items.select("item", "t").mapInArrow(_item_windows, "w long, kind int, item long, place long, size long"), "windows")
+    kinds = {r.kind: r.n for r in windows.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # at most two for each length up to WINDOW
+    if not kinds:
+        return None
+    bits = min(MOST_BITS, 1 << max(10, (BITS_EACH * sum(kinds.values()) - 1).bit_length()))
+    table = spark.sparkContext.broadcast(_bit_set(windows, bits))  # MOST_BITS / 8 bytes at most
+    hits = materialize(src.mapInArrow(_hits(sorted(kinds), table), "h1 long, h2 long, w long, place long").distinct(), "hits")
+    met = hits.withColumnRenamed("place", "p").join(windows, "w")
+    lined = met.groupBy("h1", "h2", "item", "kind", (F.col("p") - F.col("place")).alias("shift")).agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    # no alignment covers more tokens than its windows have
+    enough = F.col("n") * F.abs("kind") >= F.least(F.lit(RUN), F.ceil(F.col("size") * SHARE))
+    pairs = materialize(lined.where(enough).select("h1", "h2", "item").distinct(), "pairs")
+    texts = src.join(small_ids(pairs.select("h1", "h2").distinct()), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    full = pairs.join(texts, ["h1", "h2"]).join(items.select("item", "i", F.col("t").alias("item_text")), "item")
+    found = full.select("h1", "h2", "item", "text", "item_text").mapInArrow(_verify, _PAIR)
+    return found.join(items.select("item", F.col("i").alias("item_id")), "item").drop("item")
 
 
 def _found(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int, int, int]]:
@@ -210,7 +305,7 @@ def _found(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, int, in
 _SCHEMA = "doc_id long, item_id long, matched long, coverage double, changed_slots long, start_byte long, end_byte long"
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, block: int = INDEX_BLOCK) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Documents that hold a benchmark item or ask it again with other values.
 
     One row per document and item: doc_id, item_id, matched (tokens of the item
@@ -223,50 +318,34 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     Null and empty texts match nothing. Items with fewer than LITERALS tokens
     or windows without as many plain words are looked for by value only; an
     item shorter than a window has to be there whole. Rows with a null
-    id are reported with it; repeated rows are reported each. Repeated items
-    count once. The benchmark is read in blocks of bounded size, each a pass
-    over the documents. Other columns are ignored; empty tables give an empty
-    result.
+    id are reported with it; repeated rows are reported each, and equal texts
+    are compared once. Repeated items count once; items without an id or a text
+    don't. Other columns are ignored; empty tables give an empty result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    def finder(index: Index):
-        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-                rows = [(ids[t], index.items[k], n, n / size, c, a, b) for t, k, a, n, size, c, b in _found(index, as_bytes(batch.column(1)))]
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], x) for i, x in enumerate(types)], ["doc_id", "item_id", "matched", "coverage", "changed_slots", "start_byte", "end_byte"])
-
-        return of
-
-    out = None
-    for index in _blocks(benchmark, item_col, item_text_col, block):
-        part = src.mapInArrow(finder(index), _SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], _SCHEMA) if out is None else out
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, block: int = INDEX_BLOCK) -> DataFrame:
-    """``docs`` without rows that ``contaminations`` reports, in a pass per block and no shuffle."""
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where("text is not null")
+    src = src.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+    found = _contaminated(src.drop("doc_id"), benchmark, item_col, item_text_col)
+    if found is None:
+        return spark.createDataFrame([], _SCHEMA)
+    out = src.drop("text").join(small_ids(materialize(found, "found")), ["h1", "h2"])
+    return out.select(*[f.split()[0] for f in _SCHEMA.split(", ")])
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without rows whose text ``contaminations`` reports; columns keep names and order."""
     bounded_batches(docs.sparkSession)
-    at, schema = docs.columns.index(text_col), docs.schema
-
-    def keeper(index: Index):
-        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                keep[[r[0] for r in _found(index, as_bytes(batch.column(at)))]] = False
-                yield batch.filter(pa.array(keep))
-            trim()
-
-        return of
-
-    for index in _blocks(benchmark, item_col, item_text_col, block):
-        docs = docs.mapInArrow(keeper(index), schema)
-    return docs
+    text = F.col(text_col).cast("string")
+    h1, h2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    src = docs.select(h1.alias("h1"), h2.alias("h2"), text.alias("text")).where("text is not null")
+    found = _contaminated(src, benchmark, item_col, item_text_col)
+    if found is None:
+        return docs
+    x, y = unused(docs, "__h1"), unused(docs, "__h2")
+    bad = materialize(found.select(F.col("h1").alias(x), F.col("h2").alias(y)).distinct(), "contaminated")
+    return docs.join(small_ids(bad), (h1 == F.col(x)) & (h2 == F.col(y)) & text.isNotNull(), "left_anti")
 
 
 def op8_template_decontamination(spark, sf_dir: str) -> DataFrame:

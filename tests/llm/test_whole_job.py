@@ -171,3 +171,46 @@ def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(common, "SPREAD_ROWS", 4)
     assert sorted(substring_dedup.repeated_passages(df).collect()) == sorted(usual)
     assert {r.doc_id for r in usual} == set(range(1, 40)) and all(not uncovered(usual, k, k, k + 60) for k in range(1, 40))
+
+
+def asked_again(rng, text):
+    """The text with other values in its slots: numbers, and names that don't begin a sentence, one to one."""
+    import re
+
+    names = {}
+    text = re.sub(r"\d+", lambda m: names.setdefault(m[0], str(rng.randrange(10**6, 10**7))), text)
+    return re.sub(r"(?<=[a-z,] )[A-Z][a-z]+", lambda m: names.setdefault(m[0], "N" + "".join(rng.choice("abcdefgh") for _ in range(8))), text)
+
+
+def test_questions_asked_again_and_brute_force(spark):
+    """Items verbatim, re-asked, re-asked with a conflict, and cut, among prose, against every item for every text."""
+    from quern.llm import decontaminate as d
+
+    rng = random.Random(12)
+    verbs = [f"verb{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    items = []
+    for k in range(60):
+        w = [rng.choice(verbs) for _ in range(rng.randint(6, 40))]
+        for at in range(2, len(w), 5):
+            w[at] = rng.choice([str(rng.randint(1, 40)), "Tom", "Mary", "kg", "3.5"])
+        items.append((k, " ".join(w)))
+    items += [(60, items[0][1]), (0, items[0][1]), (61, "short 7 kg"), (62, None), (None, "no id here at all")]
+    docs = []
+    for k, t in items[:60]:
+        prose = lambda: " ".join(rng.choice(verbs) + "x" for _ in range(30))
+        docs.append(f"{prose()} {t} {prose()}")
+        docs.append(f"{prose()} {asked_again(rng, t)} {prose()}")
+        docs.append(f"{prose()} {t.replace('Tom', 'Mary')} {prose()}")
+        docs.append(f"{prose()} {' '.join(t.split()[: len(t.split()) // 2])} {prose()}")
+    docs += ["they sold Short 7 kg yesterday", docs[0], None, ""]
+    df = spark.createDataFrame([(k if k % 9 else None, t) for k, t in enumerate(docs)], "doc_id long, text string")
+    got = sorted(map(tuple, d.contaminations(df, spark.createDataFrame(items, "item_id long, text string")).collect()), key=str)
+    want = []
+    for i, t in sorted({(i, t) for i, t in items if t is not None and i is not None}):
+        index = d.Index([i], [t.encode()])
+        for k, text in enumerate(docs):
+            want += [(k if k % 9 else None, i, n, n / size, c, a, b) for _, _, a, n, size, c, b in d._found(index, [(text or "").encode()])]
+    assert got == sorted(want, key=str) and any(r[4] > 0 for r in got) and len({r[1] for r in got}) >= 55
+    kept = d.drop_contaminated(df.withColumn("extra", df.doc_id), spark.createDataFrame(items, "item_id long, text string"))
+    bad = {docs[k] for k, text in enumerate(docs) if any(list(d._found(d.Index([i], [t.encode()]), [(text or "").encode()])) for i, t in items if t is not None and i is not None)}
+    assert kept.columns == ["doc_id", "text", "extra"] and sorted((r.text for r in kept.collect()), key=str) == sorted((t for t in docs if t not in bad), key=str)
