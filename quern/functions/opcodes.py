@@ -6,18 +6,89 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-# First byte of each run of opcodes, with (name, pops, pushes, gas) in byte order.
-_RUNS: dict[int, str] = {
-    0x00: "STOP 0 0 0|ADD 2 1 3|MUL 2 1 5|SUB 2 1 3|DIV 2 1 5|SDIV 2 1 5|MOD 2 1 5|SMOD 2 1 5|ADDMOD 3 1 8|MULMOD 3 1 8|EXP 2 1 10|SIGNEXTEND 2 1 5",
-    0x10: "LT 2 1 3|GT 2 1 3|SLT 2 1 3|SGT 2 1 3|EQ 2 1 3|ISZERO 1 1 3|AND 2 1 3|OR 2 1 3|XOR 2 1 3|NOT 1 1 3|BYTE 2 1 3|SHL 2 1 3|SHR 2 1 3|SAR 2 1 3",
-    0x20: "KECCAK256 2 1 30",
-    0x30: "ADDRESS 0 1 2|BALANCE 1 1 100|ORIGIN 0 1 2|CALLER 0 1 2|CALLVALUE 0 1 2|CALLDATALOAD 1 1 3|CALLDATASIZE 0 1 2|CALLDATACOPY 3 0 3|CODESIZE 0 1 2|CODECOPY 3 0 3|GASPRICE 0 1 2|EXTCODESIZE 1 1 100|EXTCODECOPY 4 0 100|RETURNDATASIZE 0 1 2|RETURNDATACOPY 3 0 3|EXTCODEHASH 1 1 100",
-    0x40: "BLOCKHASH 1 1 20|COINBASE 0 1 2|TIMESTAMP 0 1 2|NUMBER 0 1 2|PREVRANDAO 0 1 2|GASLIMIT 0 1 2|CHAINID 0 1 2|SELFBALANCE 0 1 5|BASEFEE 0 1 2|BLOBHASH 1 1 3|BLOBBASEFEE 0 1 2",
-    0x50: "POP 1 0 2|MLOAD 1 1 3|MSTORE 2 0 3|MSTORE8 2 0 3|SLOAD 1 1 100|SSTORE 2 0 100|JUMP 1 0 8|JUMPI 2 0 10|PC 0 1 2|MSIZE 0 1 2|GAS 0 1 2|JUMPDEST 0 0 1|TLOAD 1 1 100|TSTORE 2 0 100|MCOPY 3 0 3|PUSH0 0 1 2",
-    0xF0: "CREATE 3 1 32000|CALL 7 1 100|CALLCODE 7 1 100|RETURN 2 0 0|DELEGATECALL 6 1 100|CREATE2 4 1 32000",
-    0xFA: "STATICCALL 6 1 100",
-    0xFD: "REVERT 2 0 0|INVALID 0 0 0|SELFDESTRUCT 1 0 5000",
-}
+# Opcode, name, values taken from the stack and put on it, gas.
+_ROWS = (
+    (0x00, "STOP", 0, 0, 0),
+    (0x01, "ADD", 2, 1, 3),
+    (0x02, "MUL", 2, 1, 5),
+    (0x03, "SUB", 2, 1, 3),
+    (0x04, "DIV", 2, 1, 5),
+    (0x05, "SDIV", 2, 1, 5),
+    (0x06, "MOD", 2, 1, 5),
+    (0x07, "SMOD", 2, 1, 5),
+    (0x08, "ADDMOD", 3, 1, 8),
+    (0x09, "MULMOD", 3, 1, 8),
+    (0x0A, "EXP", 2, 1, 10),
+    (0x0B, "SIGNEXTEND", 2, 1, 5),
+    (0x10, "LT", 2, 1, 3),
+    (0x11, "GT", 2, 1, 3),
+    (0x12, "SLT", 2, 1, 3),
+    (0x13, "SGT", 2, 1, 3),
+    (0x14, "EQ", 2, 1, 3),
+    (0x15, "ISZERO", 1, 1, 3),
+    (0x16, "AND", 2, 1, 3),
+    (0x17, "OR", 2, 1, 3),
+    (0x18, "XOR", 2, 1, 3),
+    (0x19, "NOT", 1, 1, 3),
+    (0x1A, "BYTE", 2, 1, 3),
+    (0x1B, "SHL", 2, 1, 3),
+    (0x1C, "SHR", 2, 1, 3),
+    (0x1D, "SAR", 2, 1, 3),
+    (0x20, "KECCAK256", 2, 1, 30),
+    (0x30, "ADDRESS", 0, 1, 2),
+    (0x31, "BALANCE", 1, 1, 100),
+    (0x32, "ORIGIN", 0, 1, 2),
+    (0x33, "CALLER", 0, 1, 2),
+    (0x34, "CALLVALUE", 0, 1, 2),
+    (0x35, "CALLDATALOAD", 1, 1, 3),
+    (0x36, "CALLDATASIZE", 0, 1, 2),
+    (0x37, "CALLDATACOPY", 3, 0, 3),
+    (0x38, "CODESIZE", 0, 1, 2),
+    (0x39, "CODECOPY", 3, 0, 3),
+    (0x3A, "GASPRICE", 0, 1, 2),
+    (0x3B, "EXTCODESIZE", 1, 1, 100),
+    (0x3C, "EXTCODECOPY", 4, 0, 100),
+    (0x3D, "RETURNDATASIZE", 0, 1, 2),
+    (0x3E, "RETURNDATACOPY", 3, 0, 3),
+    (0x3F, "EXTCODEHASH", 1, 1, 100),
+    (0x40, "BLOCKHASH", 1, 1, 20),
+    (0x41, "COINBASE", 0, 1, 2),
+    (0x42, "TIMESTAMP", 0, 1, 2),
+    (0x43, "NUMBER", 0, 1, 2),
+    (0x44, "PREVRANDAO", 0, 1, 2),
+    (0x45, "GASLIMIT", 0, 1, 2),
+    (0x46, "CHAINID", 0, 1, 2),
+    (0x47, "SELFBALANCE", 0, 1, 5),
+    (0x48, "BASEFEE", 0, 1, 2),
+    (0x49, "BLOBHASH", 1, 1, 3),
+    (0x4A, "BLOBBASEFEE", 0, 1, 2),
+    (0x50, "POP", 1, 0, 2),
+    (0x51, "MLOAD", 1, 1, 3),
+    (0x52, "MSTORE", 2, 0, 3),
+    (0x53, "MSTORE8", 2, 0, 3),
+    (0x54, "SLOAD", 1, 1, 100),
+    (0x55, "SSTORE", 2, 0, 100),
+    (0x56, "JUMP", 1, 0, 8),
+    (0x57, "JUMPI", 2, 0, 10),
+    (0x58, "PC", 0, 1, 2),
+    (0x59, "MSIZE", 0, 1, 2),
+    (0x5A, "GAS", 0, 1, 2),
+    (0x5B, "JUMPDEST", 0, 0, 1),
+    (0x5C, "TLOAD", 1, 1, 100),
+    (0x5D, "TSTORE", 2, 0, 100),
+    (0x5E, "MCOPY", 3, 0, 3),
+    (0x5F, "PUSH0", 0, 1, 2),
+    (0xF0, "CREATE", 3, 1, 32000),
+    (0xF1, "CALL", 7, 1, 100),
+    (0xF2, "CALLCODE", 7, 1, 100),
+    (0xF3, "RETURN", 2, 0, 0),
+    (0xF4, "DELEGATECALL", 6, 1, 100),
+    (0xF5, "CREATE2", 4, 1, 32000),
+    (0xFA, "STATICCALL", 6, 1, 100),
+    (0xFD, "REVERT", 2, 0, 0),
+    (0xFE, "INVALID", 0, 0, 0),
+    (0xFF, "SELFDESTRUCT", 1, 0, 5000),
+)
 TERMINATORS = frozenset({"STOP", "RETURN", "REVERT", "INVALID", "SELFDESTRUCT", "JUMP"})
 HALTS = TERMINATORS - {"JUMP"}
 
@@ -25,11 +96,7 @@ HALTS = TERMINATORS - {"JUMP"}
 @lru_cache(maxsize=1)
 def table() -> dict[int, tuple[str, int, int, int]]:
     """Byte -> (name, pops, pushes, gas); the numbered families follow a rule."""
-    out = {}
-    for start, run in _RUNS.items():
-        for k, entry in enumerate(run.split("|")):
-            name, pops, pushes, gas = entry.split()
-            out[start + k] = (name, int(pops), int(pushes), int(gas))
+    out = {b: (name, pops, pushes, gas) for b, name, pops, pushes, gas in _ROWS}
     for n in range(1, 33):
         out[0x5F + n] = (f"PUSH{n}", 0, 1, 3)
     for n in range(1, 17):

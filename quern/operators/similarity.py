@@ -68,11 +68,14 @@ def similar_pairs(sig: DataFrame, id_col: str, sig_col: str, threshold: float, p
     edges = [positions * k // bands for k in range(bands + 1)]
     key = [F.xxhash64(F.lit(k), F.slice("sig", edges[k] + 1, edges[k + 1] - edges[k])) for k in range(bands)]
     cls = representatives(sig, id_col, sig_col)
-    banded = cls.select("rep", "sig", F.explode(F.array(*key)).alias("band"))
-    a = banded.select("band", F.col("rep").alias("a"), F.col("sig").alias("sa"))
-    b = banded.select("band", F.col("rep").alias("b"), F.col("sig").alias("sb"))
+    # only ids meet in the bands; a pair's signatures are looked up once
+    cls = materialize(cls, "classes")
+    banded = cls.select("rep", F.explode(F.array(*key)).alias("band"))
+    a, b = banded.withColumnRenamed("rep", "a"), banded.withColumnRenamed("rep", "b")
+    pairs = a.join(b, "band").where("a < b").select("a", "b").distinct()
+    full = pairs.join(cls.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(cls.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    return a.join(b, "band").where((F.col("a") < F.col("b")) & (same >= need)).select("a", "b", (same / positions).alias("similarity")).distinct()
+    return full.where(same >= need).select("a", "b", (same / positions).alias("similarity"))
 
 
 def banded_pairs(sig: DataFrame, id_col: str, sig_col: str, threshold: float, prefix: int = 4) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quern.schemas import kind
+
 _LFS = "version https://git-lfs"
 
 
@@ -36,11 +41,39 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType, keep_bad: boo
     return row if keep_bad else row.where(F.col("_bad").isNull()).drop("_bad")
 
 
-def read_json_objects(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """JSON lines that may hold several objects, with or without commas between them."""
-    parts = spark.read.text(path).select(F.explode(F.split(F.regexp_replace("value", r"\}\s*,?\s*\{", "}\u0001{"), "\u0001")).alias("value"))
-    text = F.regexp_replace(F.trim("value"), ",\\s*$", "")
-    return parts.where(text != "").select(F.from_json(text, schema).alias("r")).where("r is not null").select("r.*")
+@F.pandas_udf(kind("[string]"))
+def json_objects(lines: pd.Series) -> pd.Series:
+    """The objects of each line as text; what doesn't parse is one text from there to the line's end."""
+    read = json.JSONDecoder().raw_decode
+
+    def split(line: str | None) -> list[str]:
+        out, at = [], 0
+        while line is not None:
+            while at < len(line) and line[at] in " \t\r\n,":
+                at += 1
+            if at == len(line):
+                break
+            try:
+                _, end = read(line, at)
+            except ValueError:
+                end = len(line)
+            out.append(line[at:end])
+            at = end
+        return out
+
+    return lines.map(split)
+
+
+def read_json_objects(spark: SparkSession, path: str, schema: StructType, keep_bad: bool = False) -> DataFrame:
+    """JSON lines that may hold several objects, with or without commas between them.
+
+    A text within an object may hold anything. What isn't an object of the
+    schema goes, or stays in ``_bad``.
+    """
+    parts = spark.read.text(path).select(F.explode(json_objects("value")).alias("value"))
+    full = StructType(list(schema.fields)).add("_bad", "string")
+    row = parts.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
+    return row if keep_bad else row.where(F.col("_bad").isNull()).drop("_bad")
 
 
 def read_addresses_from_jsonl(spark: SparkSession, path: str) -> DataFrame:

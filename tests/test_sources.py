@@ -26,6 +26,14 @@ def test_several_objects_in_a_line(spark, tmp_path):
     assert [r.address for r in readers.read_json_objects(spark, path, schemas.struct("address string")).orderBy("address").collect()] == ["0x1", "0x2", "0x3", "0x4"]
 
 
+def test_braces_within_texts_and_bad_objects(spark, tmp_path):
+    path = write(tmp_path, "c.jsonl", '{"address": "}{"} {"address": "a},{b"},{"address": "x" oops\n[1]\n{"address": "last"}')
+    schema = schemas.struct("address string")
+    assert sorted(r.address for r in readers.read_json_objects(spark, path, schema).collect()) == ["a},{b", "last", "}{"]
+    kept = readers.read_json_objects(spark, path, schema, keep_bad=True).where("_bad is not null").collect()
+    assert sorted(r["_bad"] for r in kept) == ['[1]', '{"address": "x" oops']
+
+
 def test_hex_directory(spark, tmp_path):
     write(tmp_path, "d/eth/0xAA.hex", "6000\n")
     write(tmp_path, "d/bsc/0xBB.hex", "00")
