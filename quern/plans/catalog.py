@@ -1,3 +1,3 @@
 """Importing this module registers all queries."""
 
-from quern.plans import comparisons, evaluation, lineage, programs, relations, sequences, summaries  # noqa: F401
+from quern.plans import comparisons, evaluation, lineage, programs, relations, sequences, storage, summaries  # noqa: F401
