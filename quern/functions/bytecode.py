@@ -210,6 +210,17 @@ def stack_and_gas(instr: DataFrame, id_col: str) -> DataFrame:
     return full.groupBy(id_col).agg(F.sum(F.coalesce(F.col("pushes") - F.col("pops"), F.lit(0))).alias("stack_balance"), F.sum(F.coalesce("gas", F.lit(0))).alias("gas"))
 
 
+def full_rows(instr: DataFrame) -> DataFrame:
+    """Instructions with their own name (PUSH4, not PUSH), what they take and put, gas and kind.
+
+    Bytes without an instruction keep their token, take and put nothing and cost nothing.
+    """
+    dim = F.broadcast(opcodes.dimension(instr.sparkSession))  # at most 256 rows
+    out = instr.join(dim, "code", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("pops", "pushes", "gas")}
+    return out.withColumns({"name": F.coalesce("name", "token"), "category": F.coalesce("category", F.lit("unknown")), **zero}).select(*instr.columns, "name", "pops", "pushes", "gas", "category")
+
+
 def assemble(instr: DataFrame, id_col: str) -> DataFrame:
     """Hex of each program from its instructions, in the order of their places."""
     part = F.concat(F.lower(F.lpad(F.hex("code"), 2, "0")), F.coalesce("immediate", F.lit("")))

@@ -119,6 +119,19 @@ def vocabulary() -> tuple[str, ...]:
     return tuple(names)
 
 
+def category(code: int) -> str:
+    """What an instruction works on, by its range."""
+    if code == 0x20:
+        return "hash"
+    if code in (0x54, 0x55, 0x5C, 0x5D):
+        return "storage"
+    if code in (0x56, 0x57, 0x58, 0x5B, 0x00, 0xF3, 0xFD, 0xFE, 0xFF):
+        return "control"
+    kinds = ("arithmetic", "logic", "hash", "environment", "block", "memory", "push", "push", "stack", "stack", "log")
+    return kinds[code >> 4] if code >> 4 < len(kinds) else "call"
+
+
 def dimension(spark: SparkSession) -> DataFrame:
-    """(code, name, pops, pushes, gas), one row per instruction: at most 256."""
-    return spark.createDataFrame([(b, *v) for b, v in sorted(table().items())], "code int, name string, pops int, pushes int, gas int")
+    """(code, name, pops, pushes, gas, category), one row per instruction: at most 256."""
+    rows = [(b, *v, category(b)) for b, v in sorted(table().items())]
+    return spark.createDataFrame(rows, "code int, name string, pops int, pushes int, gas int, category string")

@@ -27,6 +27,12 @@ def size_buckets(df: DataFrame, group: str) -> DataFrame:
     return g.agg(F.count_if(n == 1).alias("b1"), F.count_if(n == 2).alias("b2"), F.count_if(n.between(3, 5)).alias("b3_5"), F.count_if(n.between(6, 10)).alias("b6_10"), F.count_if(n > 10).alias("b_more"))
 
 
+def family_block(df: DataFrame, family: str, label: str) -> DataFrame:
+    """(label, rows, families, singletons, largest) of each class: how its rows fall into families."""
+    g = df.groupBy(label, family).agg(F.count("*").alias("n"))
+    return g.groupBy(label).agg(F.sum("n").alias("rows"), F.count("*").alias("families"), F.count_if(F.col("n") == 1).alias("singletons"), F.max("n").alias("largest"))
+
+
 def stage_ledger(stages: list[tuple[str, DataFrame]], y: str) -> DataFrame:
     """(stage, rows, positives) of a construction, stage by stage."""
     out = None

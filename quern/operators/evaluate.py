@@ -16,10 +16,11 @@ def _div(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
-def confusion(df: DataFrame, y: str = "y", pred: str = "pred", by: tuple[str, ...] = ()) -> DataFrame:
-    """tp, fp, fn, tn, precision, recall, fpr, f1; a ratio without cases is 0."""
+def confusion(df: DataFrame, y: str = "y", pred: str = "pred", by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """tp, fp, fn, tn, precision, recall, fpr, f1; a ratio without cases is 0. With a weight, rows count as much as it says."""
     t, p = F.col(y) == 1, F.col(pred) == 1
-    out = df.groupBy(*by).agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"))
+    n = F.count_if if weight is None else lambda c: F.coalesce(F.sum(F.when(c, F.col(weight).cast("double"))), F.lit(0.0))
+    out = df.groupBy(*by).agg(n(t & p).alias("tp"), n(~t & p).alias("fp"), n(t & ~p).alias("fn"), n(~t & ~p).alias("tn"))
     out = out.withColumns({"precision": _div(F.col("tp"), F.col("tp") + F.col("fp")), "recall": _div(F.col("tp"), F.col("tp") + F.col("fn")), "fpr": _div(F.col("fp"), F.col("fp") + F.col("tn"))})
     return out.withColumn("f1", _div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 

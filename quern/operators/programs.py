@@ -51,10 +51,15 @@ def explanations(factors: dict[str, Column]) -> Column:
 def loss_table(profiles: DataFrame, capabilities: DataFrame) -> DataFrame:
     """(profile, capability, loss): each profile's assets that a capability reaches.
 
-    profiles: profile, asset, amount; capabilities: capability, asset. Both are
-    small dimensions and meet on the asset.
+    profiles: profile, asset, amount; capabilities: capability, asset, which is a
+    fixed dimension: more than 1,000 capabilities are an error. Every profile has
+    a row for each.
     """
-    pairs = profiles.select("profile").distinct().crossJoin(F.broadcast(capabilities.select("capability").distinct()))
+    named = capabilities.select("capability").distinct().limit(1001).collect()
+    if len(named) > 1000:
+        raise ValueError("more than 1000 capabilities")
+    all_ = F.array(*[F.lit(r.capability) for r in named]).cast("array<string>")
+    pairs = profiles.select("profile").distinct().withColumn("capability", F.explode(all_))
     hit = profiles.join(capabilities, "asset").groupBy("profile", "capability").agg(F.sum("amount").alias("loss"))
     return pairs.join(hit, ["profile", "capability"], "left").withColumn("loss", F.coalesce("loss", F.lit(0)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import bytecode, features
-from quern.operators import evaluate, models, programs, relational, similarity, statistics
+from quern.operators import audit, evaluate, models, programs, relational, similarity, statistics
 from quern.plans.evaluation import _SCORED, predicted, scored
 from quern.plans.registry import query, table
 
@@ -112,6 +112,25 @@ def session_windows(spark, sf_dir):
     return sessions(table(spark, sf_dir, "events")).select("user_id", "start", "n")
 
 
+@query(
+    "weighted_rates",
+    f"""WITH {_SCORED}, w AS (SELECT lang, y, score >= 0.5 AS p, (1 + doc_id % 3)::DOUBLE AS w FROM s), c AS (SELECT lang, coalesce(sum(w) FILTER (WHERE y = 1 AND p), 0) AS tp, coalesce(sum(w) FILTER (WHERE y <> 1 AND p), 0) AS fp, coalesce(sum(w) FILTER (WHERE y = 1 AND NOT p), 0) AS fn, coalesce(sum(w) FILTER (WHERE y <> 1 AND NOT p), 0) AS tn FROM w GROUP BY lang)
+    SELECT lang, tp, fp, fn, tn, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 9) AS recall, round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0 END, 9) AS fpr FROM c""",
+)
+def weighted_rates(spark, sf_dir):
+    """Rates of each language in which rows have weights."""
+    p = predicted(spark, sf_dir).withColumn("w", 1 + F.col("doc_id") % 3)
+    c = evaluate.confusion(p, by=("lang",), weight="w")
+    return c.select("lang", "tp", "fp", "fn", "tn", F.round("recall", 9).alias("recall"), F.round("fpr", 9).alias("fpr"))
+
+
+@query("family_structure", "WITH g AS (SELECT lang, sha256(text) AS h, count(*) AS n FROM documents GROUP BY 1, 2) SELECT lang, CAST(sum(n) AS BIGINT) AS rows, count(*) AS families, count(*) FILTER (WHERE n = 1) AS singletons, max(n) AS largest FROM g GROUP BY lang")
+def family_structure(spark, sf_dir):
+    """Families of equal texts in each language."""
+    d = table(spark, sf_dir, "documents").select("lang", bytecode.code_hash(F.col("text")).alias("h"))
+    return audit.family_block(d, "h", "lang")
+
+
 @query("novelty_classes", "SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN 'exact_overlap' WHEN s >= 0.85 THEN 'near_085' WHEN s >= 0.80 THEN 'near_080' ELSE 'novel' END AS class FROM (SELECT vec_id, (vec_id % 50) / 50 AS s FROM embeddings)")
 def novelty_classes(spark, sf_dir):
     """The cascade from exact overlap to novelty."""

@@ -72,6 +72,13 @@ def program_stack_and_gas(spark, sf_dir):
     return bytecode.stack_and_gas(instructions(spark, sf_dir), "id")
 
 
+@query("full_disassembly", f"{_BASE} SELECT id, pos, CASE WHEN code BETWEEN 96 AND 127 THEN 'PUSH' || (code - 95) ELSE token END AS name, coalesce(immediate, '') AS operand, pops, pushes, gas FROM t")
+def full_disassembly(spark, sf_dir):
+    """Each instruction with its own name, operand, stack effect and gas."""
+    full = bytecode.full_rows(instructions(spark, sf_dir))
+    return full.select("id", "pos", "name", F.coalesce("immediate", F.lit("")).alias("operand"), "pops", "pushes", "gas")
+
+
 @query("program_assembled", f"WITH {_CODE} SELECT id, h AS hex FROM code")
 def program_assembled(spark, sf_dir):
     """Instructions put together again."""
