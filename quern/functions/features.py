@@ -6,6 +6,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,10 +86,20 @@ def _rows_of(df: DataFrame, id_col: str, ops_col: str, fields: str, each) -> Dat
 def histogram(df: DataFrame, id_col: str, ops_col: str) -> DataFrame:
     """(id, op, n, share): tokens of each row and their share of its tokens."""
 
-    def each(ops: list[str] | None) -> list[tuple]:
-        return [(op, n, n / len(ops)) for op, n in Counter(ops).items()] if ops else []
-
-    return _rows_of(df, id_col, ops_col, "op string, n long, share double", each)
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):
+                batch = whole.slice(first, 1000)
+                lists = batch.column(1)
+                n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                coded = lists.flatten().dictionary_encode()
+                kinds = max(len(coded.dictionary), 1)
+                own = np.repeat(np.arange(len(n)), n)
+                key, count = np.unique(own * kinds + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                row = key // kinds
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), coded.dictionary.take(pa.array(key % kinds)), pa.array(count), pa.array(count / n[row])], [id_col, "op", "n", "share"])
+
+    return df.select(id_col, ops_col).mapInArrow(of, T.StructType([df.schema[id_col], *struct("op string, n long, share double").fields]))
 
 
 def histogram_vector(df: DataFrame, id_col: str, ops_col: str, vocabulary: tuple[str, ...]) -> DataFrame:
