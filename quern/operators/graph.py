@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.plans.materialize import materialize
@@ -21,16 +21,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     cur = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     cur = materialize(cur, "edges")
     before = None
+    own = Window.partitionBy("u")
     while True:
         # large star: every larger neighbour of u points at u's smallest neighbour
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        large = both.withColumn("m", F.least(F.min("v").over(own), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         # small star: u and its smaller neighbours point at the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        small = large.withColumn("m", F.min("v").over(own)).select("m", F.explode(F.array("u", "v")).alias("u"))
+        cur = materialize(small.where("u != m").select("u", F.col("m").alias("v")).distinct(), "edges")
         state = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             break
