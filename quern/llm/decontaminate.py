@@ -25,7 +25,7 @@ from quern.plans.materialize import materialize
 #: and the share of an item that suffices where the item is shorter.
 WINDOW, LITERALS, RUN, SHARE = 8, 4, 13, 0.8
 #: Bits of the set of benchmark windows for each window, and at most (a power of two): 64 MB.
-BITS_EACH, MOST_BITS = 16, 1 << 29
+BITS_EACH, MOST_BITS = 512, 1 << 29
 
 # Words that stand for numbers and units of measure.
 NUMBER_WORDS = """zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen
