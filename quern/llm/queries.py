@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from quern.llm import merkle
 from quern.llm.ann import op9_collision_counting
 from quern.llm.binary import op5_pfor_tokens
 from quern.llm.decontaminate import op8_template_decontamination
 from quern.llm.langid import op2_language_id
 from quern.llm.licenses import op4_license_scan
+from quern.llm.merkle import op11_merkle_manifest
 from quern.llm.near_dedup import op10_near_dedup
 from quern.llm.packing import op3_best_fit_packing
 from quern.llm.quality import op1_quality_classifier
@@ -24,6 +26,7 @@ _QUERIES = (
     op8_template_decontamination,
     op9_collision_counting,
     op10_near_dedup,
+    op11_merkle_manifest,
 )
 
 
@@ -32,5 +35,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of these can be expressed in SQL; their tests use brute force."""
-    return {}
+    """Those that SQL can express; the tests of the others use brute force."""
+    return {"op11_merkle_manifest": merkle.ORACLE_SQL}
