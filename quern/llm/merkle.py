@@ -15,12 +15,13 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quern.llm.common import crc_mod
+from quern.llm.places import placed
 from quern.plans.materialize import materialize
 
 ARITY = 8
@@ -145,25 +146,6 @@ def _block_paths(done: int, schema: pa.Schema):
     return of
 
 
-def placed(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` with ``idx``, the place in their group ``g`` from 0, and ``n``, the group's size.
-
-    Rows are dealt into ranges of (g, order), counted there, and numbered from
-    the counts of the ranges before; a group may span any number of ranges.
-    """
-    # written before the ranges are sampled: the digests are computed once
-    rows = materialize(rows, "leaves")
-    keys = [F.col("g"), *[F.col(c).asc_nulls_first() for c in order]]
-    dealt = materialize(rows.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()), "ranges")
-    counts = dealt.groupBy("g", "__range").agg(F.count("*").alias("__c"))
-    own = Window.partitionBy("g")
-    before = F.coalesce(F.sum("__c").over(own.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("g", "__range", before.alias("__before"), F.sum("__c").over(own).alias("n"))
-    inside = Window.partitionBy("g", "__range").orderBy(*keys[1:])
-    numbered = dealt.withColumn("__k", F.row_number().over(inside))
-    return numbered.join(counts, ["g", "__range"]).withColumn("idx", F.col("__before") + F.col("__k") - 1).drop("__k", "__before", "__range")
-
-
 def _trees(rows: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Nodes of each round, from the leaves (g, idx, n, digest, ...) up, and the root of each group."""
     rounds = [materialize(rows, "nodes")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import merkle, rules
+from quern.llm import merkle, rules, trie
 from quern.llm.ann import op9_collision_counting
 from quern.llm.binary import op5_pfor_tokens
 from quern.llm.decontaminate import op8_template_decontamination
@@ -15,6 +15,7 @@ from quern.llm.quality import op1_quality_classifier
 from quern.llm.rules import op13_rule_ledger
 from quern.llm.sharding import op7_sampled_splitters
 from quern.llm.substring_dedup import op6_substring_dedup
+from quern.llm.trie import op12_conversation_trie
 
 _QUERIES = (
     op1_quality_classifier,
@@ -28,6 +29,7 @@ _QUERIES = (
     op9_collision_counting,
     op10_near_dedup,
     op11_merkle_manifest,
+    op12_conversation_trie,
     op13_rule_ledger,
 )
 
@@ -38,4 +40,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Those that SQL can express; the tests of the others use brute force."""
-    return {"op11_merkle_manifest": merkle.ORACLE_SQL, "op13_rule_ledger": rules.ORACLE_SQL}
+    return {"op11_merkle_manifest": merkle.ORACLE_SQL, "op12_conversation_trie": trie.ORACLE_SQL, "op13_rule_ledger": rules.ORACLE_SQL}
