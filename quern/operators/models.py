@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators import boosting
 from quern.operators.evaluate import logit, sigmoid
 from quern.plans.materialize import materialize
 
@@ -19,11 +20,12 @@ QUERY_BYTES = 8 << 20
 
 
 def fit(df: DataFrame, columns: list[str], kind: str = "logistic", y: str = "y", seed: int = 7702):
-    """A fitted pipeline: logistic, forest, boosted or svm."""
+    """A fitted model: logistic, forest, boosted or svm; boosted trees draw equal rows alike."""
+    if kind == "boosted":
+        return boosting.fit(df, columns, F.xxhash64(*columns), y, seed=seed)
     model = {
         "logistic": lambda: LogisticRegression(featuresCol="scaled", labelCol=y, maxIter=100, regParam=1e-3),
         "forest": lambda: RandomForestClassifier(featuresCol="raw", labelCol=y, numTrees=300, seed=seed),
-        "boosted": lambda: GBTClassifier(featuresCol="raw", labelCol=y, maxIter=100, maxDepth=6, stepSize=0.1, subsamplingRate=0.9, featureSubsetStrategy="0.8", seed=seed),
         "svm": lambda: LinearSVC(featuresCol="scaled", labelCol=y, maxIter=100, regParam=1e-3),
     }[kind]()
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), model]).fit(df)
@@ -31,6 +33,8 @@ def fit(df: DataFrame, columns: list[str], kind: str = "logistic", y: str = "y",
 
 def score(model, df: DataFrame) -> DataFrame:
     """``df`` with ``score``: the positive probability, or the margin where a model has none."""
+    if isinstance(model, boosting.Boosted):
+        return model.score(df).select(*df.columns, F.get("scores", F.lit(0)).alias("score"))
     out = model.transform(df)
     source = "probability" if "probability" in out.columns else "rawPrediction"
     return out.withColumn("score", vector_to_array(source)[1]).select(*df.columns, "score")

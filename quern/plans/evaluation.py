@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import evaluate, relational, statistics
+from quern.plans.materialize import materialize
 from quern.plans.registry import query, table
 
 _SCORED = """s AS (SELECT doc_id, quality AS y, lang, source, (n_chars % 97) / 97.0 AS score FROM labels JOIN documents USING (doc_id))"""
@@ -172,3 +173,20 @@ def learned_scores(spark, sf_dir):
     columns = ["n_chars", "n_words", "n_lines"]
     out = evaluate.leave_family_out(s, lambda t: models.fit(t, columns), models.score, 3)
     return out.select("doc_id", "turn", "score", "threshold", "pred")
+
+
+@query("boosted_family_scores")
+def boosted_family_scores(spark, sf_dir):
+    """Features to decisions: labelled texts read as byte programs, boosted trees on their token shares and structure,
+    each fold of sources held out in turn, thresholds from the fold after it."""
+    from quern.functions import features, opcodes
+    from quern.operators import boosting
+
+    own = scored(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex("text")).alias("code")), "doc_id")
+    dense = features.featurize(own, "doc_id", "code", opcodes.vocabulary()).select("doc_id", "dense")
+    s = own.drop("score", "code").join(evaluate.group_folds(own, "source", 5), "source").join(dense, "doc_id")
+    columns = [f"f{k}" for k in range(len(features.feature_views(opcodes.vocabulary())["dense"]))]
+    s = materialize(s.select("doc_id", "y", "fold", *[F.get("dense", F.lit(k)).alias(c) for k, c in enumerate(columns)]), "featurized")
+    out = materialize(boosting.leave_fold_out(s, columns, "doc_id", 5, rounds=20).select("doc_id", "y", "turn", "role", "score"), "scored")
+    limit = evaluate.max_f1_threshold(out.where("role = 'validation'"), by=("turn",)).select("turn", "threshold")
+    return out.where("role = 'test'").join(limit, "turn").select("doc_id", "y", "turn", "score", "threshold", (F.col("score") >= F.col("threshold")).cast("int").alias("pred"))
