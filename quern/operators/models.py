@@ -8,15 +8,15 @@ from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomFores
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators import boosting
 from quern.operators.evaluate import logit, sigmoid
-from quern.plans.materialize import materialize
+from quern.operators.neighbours import BLOCK_BYTES, search
 
-#: Bytes of query vectors that are searched for in one pass of ``nearest``.
-QUERY_BYTES = 8 << 20
+#: Bytes of query vectors that meet a cell of rows at once in ``nearest``.
+QUERY_BYTES = BLOCK_BYTES
 
 
 def fit(df: DataFrame, columns: list[str], kind: str = "logistic", y: str = "y", seed: int = 7702):
@@ -93,37 +93,5 @@ def escalation(df: DataFrame, parts: list[str], train: DataFrame, conflict: str,
 
 
 def nearest(left: DataFrame, right: DataFrame, id_col: str, vec_col: str, k: int = 1) -> DataFrame:
-    """(id, neighbour, distance, rank): each left row against all right rows, in blocks.
-
-    The left side may have any size: it is read in blocks of about QUERY_BYTES,
-    each a pass over the right side, in which each task keeps k rows per query.
-    """
-    asked = left.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    size = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
-    lots, found = max(1, -(-size.n * max(1, size.dim or 1) * 8 // QUERY_BYTES)), None
-    for lot in range(lots):
-        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(lots)) == lot).collect() if lots > 1 else asked.collect()
-        part = _nearest_block([r[0] for r in rows], np.array([r[1] for r in rows], float), right.select(id_col, vec_col), k)
-        part = materialize(part, "near") if lots > 1 else part
-        found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _nearest_block(ids: list, q: np.ndarray, right: DataFrame, k: int) -> DataFrame:
-    import pandas as pd
-
-    def of(frames):
-        best = [[] for _ in ids]
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            v, names = np.stack(pdf.iloc[:, 1]).astype(float), pdf.iloc[:, 0].to_numpy()
-            for at, own in enumerate(ids):
-                d = np.sqrt(((v - q[at]) ** 2).sum(1))
-                d[names == own] = np.inf
-                top = np.lexsort((names, d))[:k]
-                best[at] = sorted([*best[at], *((float(d[j]), int(names[j])) for j in top if np.isfinite(d[j]))])[:k]
-        yield pd.DataFrame([(i, n, d) for i, b in zip(ids, best) for d, n in b], columns=["id", "neighbour", "distance"])
-
-    return right.mapInPandas(of, "id long, neighbour long, distance double")
+    """(id, neighbour, distance, rank): each left row's k nearest right rows, exact; see ``neighbours.search``."""
+    return search(left, right, id_col, vec_col, k, block_bytes=QUERY_BYTES)[0]

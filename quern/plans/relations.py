@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators import models, relational
+from quern.operators import models, neighbours, relational
 from quern.operators.graph import transitive_closure
 from quern.plans.registry import query, table
 
@@ -230,3 +230,29 @@ def knn_mean_distance(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     near = models.nearest(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 5)
     return near.groupBy("id").agg(F.round(F.avg("distance"), 9).alias("mean_distance"))
+
+
+@query(
+    "knn_scaled_distance",
+    """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS k FROM embeddings),
+    s AS (SELECT k, avg(x) AS m, stddev_pop(x) AS s FROM x WHERE vec_id % 5 <> 0 GROUP BY k),
+    z AS (SELECT vec_id, list((x - m) / CASE WHEN s = 0 THEN 1 ELSE s END ORDER BY k) AS v FROM x JOIN s USING (k) GROUP BY vec_id),
+    d AS (SELECT q.vec_id AS id, e.vec_id AS neighbour, sqrt(list_sum(list_transform(list_zip(q.v, e.v), lambda x: (x[1] - x[2]) ** 2))) AS distance
+      FROM z q JOIN z e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0 AND e.vec_id % 5 <> 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS rank FROM d)
+    SELECT id, round(avg(distance), 8) AS mean_distance FROM r WHERE rank <= 5 GROUP BY id""",
+)
+def knn_scaled_distance(spark, sf_dir):
+    """Mean distance of every vector whose id is divisible by 100 to its five nearest training vectors, in the training vectors' scale."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    train = e.where("vec_id % 5 <> 0")
+    ask, known = (neighbours.scaled(x, train, "embedding") for x in (e.where("vec_id % 100 = 0"), train))
+    near = models.nearest(ask, known, "vec_id", "embedding", 5)
+    return near.groupBy("id").agg(F.round(F.avg("distance"), 8).alias("mean_distance"))
+
+
+@query("neighbour_search_share")
+def neighbour_search_share(spark, sf_dir):
+    """What the exact search for the five nearest of every hundredth vector compares: queries, rows and pairs."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 5)[1]
