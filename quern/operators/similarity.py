@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,9 @@ from quern.schemas import kind
 
 #: Positions of a signature.
 POSITIONS = 128
+#: Members of a band that are compared pair by pair at once, those that still are when components are known,
+#: and rows of a lot of what stays hot.
+FEW, HOT, LOT = 8, 64, 256
 
 
 def salts(n: int) -> list[int]:
@@ -95,14 +99,104 @@ def representatives(sig: DataFrame, id_col: str, sig_col: str) -> DataFrame:
     return sig.groupBy(F.col(sig_col).alias("sig")).agg(F.min(id_col).alias("rep"))
 
 
+def family_edges(cls: DataFrame, threshold: float, positions: int = POSITIONS) -> DataFrame:
+    """(a, b) of similar rows of (rep, sig), enough of them for the components to be those of all similar pairs.
+
+    Bands are as in ``similar_pairs``. A small band gives its pairs. In a larger
+    one every member is compared with the smallest; only members of different
+    components are compared further. A band that stays hot is split again on the
+    positions outside of it: two rows that agree in the band and differ in d
+    places outside share one of d + 1 parts of the rest. What is hot even then is
+    compared in blocks of bounded size, and only links leave a block.
+    """
+    need = -(-int(round(threshold * positions * 1000)) // 1000)
+    bands = positions - need + 1
+    edges = [positions * k // bands for k in range(bands + 1)]
+    key = [F.xxhash64(F.lit(k), F.slice("sig", edges[k] + 1, edges[k + 1] - edges[k])) for k in range(bands)]
+    rows = materialize(cls.select("rep", F.posexplode(F.array(*key)).alias("band", "key")), "bands")
+    linked = None
+    for level in (1, 2):
+        rows = _counted(rows.withColumn("comp", F.col("rep")) if linked is None else _with_component(rows, linked))
+        first = rows.where(F.col("n") > FEW).where("comp != head_comp").select(F.col("head").alias("a"), F.col("rep").alias("b"))
+        own = _pairs(rows.where(F.col("n") <= FEW)).unionByName(first).distinct()
+        linked = _verified(own, cls, need) if linked is None else linked.unionByName(_verified(own, cls, need))
+        rows = rows.where(F.col("n") > FEW)
+        if rows.isEmpty():
+            return linked
+        rows = _counted(_with_component(rows.select("rep", "band", "key"), linked))
+        linked = linked.unionByName(_verified(_pairs(rows.where(F.col("n") <= HOT)).distinct(), cls, need))
+        rows = rows.where(F.col("n") > HOT)
+        if level == 1 and not rows.isEmpty():
+            place = F.array(*map(F.lit, edges))
+            own = rows.select("rep", "band", "key").join(cls, "rep")
+            rest = F.concat(F.slice("sig", F.lit(1), F.get(place, F.col("band"))), F.slice("sig", F.get(place, F.col("band") + 1) + 1, F.lit(positions)))
+            cut = lambda j: F.floor(F.size("rest") * j / bands).cast("int")
+            parts = [F.xxhash64("key", F.lit(j), F.slice("rest", cut(j) + 1, cut(j + 1) - cut(j))) for j in range(bands)]
+            rows = materialize(own.withColumn("rest", rest).select("rep", "band", F.explode(F.array(*parts)).alias("key")), "parts")
+    return linked if rows.isEmpty() else linked.unionByName(_in_blocks(rows, cls, need))
+
+
+def _with_component(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    comp = connected_components(edges, "a", "b").select(F.col("node").alias("rep"), "component")
+    return rows.join(comp, "rep", "left").select("rep", "band", "key", F.coalesce("component", "rep").alias("comp"))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Rows of keys with several components, with the key's size, smallest row and that row's component."""
+    size = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "comp")).alias("h"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y")
+    # one row per key: Spark splits a hot key's side of this join by itself
+    return materialize(rows.join(size.select("key", "n", F.col("h.rep").alias("head"), F.col("h.comp").alias("head_comp")), "key"), "open")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b, of rows with one key and different components; keys have few rows."""
+    a = rows.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"))
+    b = rows.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
+    return a.join(b, "key").where("a < b and ca != cb").select("a", "b")
+
+
+def _verified(pairs: DataFrame, cls: DataFrame, need: int) -> DataFrame:
+    full = pairs.join(cls.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(cls.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+    return materialize(full.where(same >= need).select("a", "b"), "links")
+
+
+def _in_blocks(rows: DataFrame, cls: DataFrame, need: int) -> DataFrame:
+    """Links between rows of one key and different components, two lots of a key at a time."""
+    lots = F.ceil(F.col("n") / LOT).cast("int")
+    own = rows.select("key", "rep", "comp", lots.alias("lots"), F.pmod(F.xxhash64("rep"), lots).cast("int").alias("lot")).join(cls, "rep")
+    both = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    both = both.select("key", F.least("lot", "other").alias("i"), F.greatest("lot", "other").alias("j"), "rep", "comp", "sig")
+
+    def links(table: pa.Table) -> pa.Table:
+        sig = table["sig"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+        rep, comp = table["rep"].to_numpy(), table["comp"].to_numpy()
+        out: list[list] = [[], []]
+        for k in range(len(rep) - 1):
+            apart = k + 1 + np.flatnonzero(comp[k + 1 :] != comp[k])
+            near = apart[(sig[apart] == sig[k]).sum(1) >= need]
+            near = near[np.unique(comp[near], return_index=True)[1]]  # one link to each component
+            out[0] += np.minimum(rep[near], rep[k]).tolist()
+            out[1] += np.maximum(rep[near], rep[k]).tolist()
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return materialize(both.groupBy("key", "i", "j").applyInArrow(links, "a long, b long"), "links")
+
+
 def families(sig: DataFrame, id_col: str, sig_col: str, threshold: float) -> DataFrame:
     """(id, family): the smallest id of each row's component at a threshold."""
     cls = materialize(representatives(sig, id_col, sig_col), "classes")
-    comp = connected_components(similar_pairs(sig, id_col, sig_col, threshold), "a", "b")
+    own = cls.withColumn("rep", F.col("rep").cast("long"))
+    comp = connected_components(family_edges(own, threshold, _length(cls)), "a", "b")
     named = cls.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("family"))
     return sig.select(id_col, F.col(sig_col).alias("sig")).join(named, "sig").select(id_col, "family")
 
 
+def _length(cls: DataFrame) -> int:
+    row = cls.select(F.size("sig").alias("n")).first()
+    return row.n if row else POSITIONS
+
+
 def relabel(fam: DataFrame, id_col: str, order: str) -> DataFrame:
     """(id, family_id): F00001 and so on by first appearance of each family."""
     first = fam.groupBy("family").agg(F.min(order).alias("first"))
