@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quern.plans.materialize import materialize
 
+#: Rows that pass one node in one task of the closure.
+HUB = 1000
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Smallest node of each connected component: (node, component).
@@ -40,17 +43,31 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 def transitive_closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """All (src, dst) reachable by one or more steps, cycles included.
 
-    Each round joins all pairs found with each other, so paths double in
-    length and the rounds grow with the logarithm of the longest. A round
-    writes one table; it ends when a round finds nothing new.
+    Pairs keep the length of their shortest way. A round takes the pairs that are
+    exactly as long as the rounds before could reach and goes on from their ends
+    by all pairs found, which gives the pairs of up to twice that length, so the
+    rounds grow with the logarithm of the longest, and pairs found before are not
+    joined with each other again. Rows that pass a hub are dealt over several tasks.
     """
-    found = materialize(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).dropna().distinct(), "closure")
-    n = found.count()
-    while n:
-        step = found.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-        longer = found.join(step, "dst").select("src", F.col("next").alias("dst"))
-        found = materialize(found.unionByName(longer).distinct(), "closure")
-        before, n = n, found.count()
-        if n == before:
-            break
-    return found
+    first = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).dropna().distinct()
+    found = materialize(first.withColumn("steps", F.lit(1).cast("long")), "closure")
+    reach = 1
+    while True:
+        front = found.where(F.col("steps") == reach).select("src", F.col("dst").alias("mid"))
+        longer = _onwards(front, found.select(F.col("src").alias("mid"), "dst", "steps"))
+        longer = longer.groupBy("src", "dst").agg((F.min("steps") + reach).alias("steps"))
+        new = materialize(longer.join(found, ["src", "dst"], "left_anti"), "closure")
+        if new.isEmpty():
+            return found.select("src", "dst")
+        found = found.unionByName(new)
+        reach *= 2
+
+
+def _onwards(front: DataFrame, onward: DataFrame) -> DataFrame:
+    """Join on ``mid``; the rows of front at a hub meet copies of its onward rows in several tasks."""
+    hubs = front.groupBy("mid").agg(F.count("*").alias("n")).where(F.col("n") > HUB)
+    hubs = F.broadcast(materialize(hubs.select("mid", F.ceil(F.col("n") / HUB).cast("int").alias("lots")), "hubs"))  # at most one for HUB rows
+    lots = F.coalesce("lots", F.lit(1))
+    a = front.join(hubs, "mid", "left").select("src", "mid", F.pmod(F.xxhash64("src"), lots).cast("int").alias("lot"))
+    b = onward.join(hubs, "mid", "left").select("mid", "dst", "steps", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"))
+    return a.join(b, ["mid", "lot"]).select("src", "dst", "steps")

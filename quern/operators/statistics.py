@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.draws import poisson
 from quern.operators.ranges import ranked, running
 from quern.plans.materialize import materialize
 from quern.schemas import kind
@@ -148,11 +149,6 @@ def holm(p: DataFrame, key: str, value: str) -> DataFrame:
     return running(own, [("__k", False)], {"adjusted": ("__raw", "max")}).drop("__raw", "__k", "__m")
 
 
-def _weights(seed: int, lot: int, unit: int, n: int) -> np.ndarray:
-    """How often a unit is drawn in each of n replicates; it depends on nothing else."""
-    return np.random.default_rng([seed, lot, unit & 0xFFFFFFFFFFFFFFFF]).poisson(1.0, n)
-
-
 def _replicates(rows: DataFrame, size: int, reps: int, chunk: int, seed: int) -> DataFrame:
     """(rep, k, v): sums of the values of the drawn units, from rows (h: a unit's hash, v: its ``size`` values).
 
@@ -160,17 +156,14 @@ def _replicates(rows: DataFrame, size: int, reps: int, chunk: int, seed: int) ->
     chunk; replicates are summed over tasks afterwards. No table of draws
     exists, and results don't depend on partitions.
     """
-    lots = -(-reps // chunk)
-
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((lots, chunk, size))
+        total = np.zeros((reps, size))
         for pdf in frames:
-            for h, v in zip(pdf["h"], pdf["v"]):
-                v = np.asarray(v, float)
-                for lot in range(lots):
-                    total[lot] += _weights(seed, lot, int(h), chunk)[:, None] * v
-        flat = total.reshape(lots * chunk, size)[:reps]
-        yield pd.DataFrame({"rep": np.arange(len(flat)), "v": list(flat)})
+            if len(pdf):
+                v, h = np.stack(pdf["v"]).astype(float), pdf["h"].to_numpy()
+                for i in range(0, reps, chunk):
+                    total[i : i + chunk] += poisson(h[:, None], seed, np.arange(i, min(i + chunk, reps))).T @ v
+        yield pd.DataFrame({"rep": np.arange(reps), "v": list(total)})
 
     drawn = rows.mapInPandas(draw, "rep long, v array<double>").select("rep", F.posexplode("v").alias("k", "x"))
     return drawn.groupBy("rep", "k").agg(F.sum("x").alias("x")).groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("v"))
@@ -215,47 +208,126 @@ def paired_bootstrap(df: DataFrame, unit: str, y: str = "y", a: str = "pred_a",
     return _interval(reps_, point, stats)
 
 
-def precision_bootstrap(df: DataFrame, unit: str, y: str = "y", a: str = "score_a", b: str = "score_b", reps: int = 1000, chunk: int = 100, bins: int = 256, seed: int = 7702, strata: str | None = None) -> DataFrame:
-    """Average precision of two models and the difference when whole units are drawn again.
+#: Edges between the ranges of scores in which replicates are summed.
+SCORE_RANGES = 32
+
+
+def precision_bootstrap(df: DataFrame, unit: str, y: str = "y", a: str = "score_a", b: str = "score_b", reps: int = 1000, chunk: int = 100, bins: int | None = None, seed: int = 7702, strata: str | None = None) -> DataFrame:
+    """Average precision of two models and the difference when whole units are drawn again; exact, ties in groups.
 
-    Scores from 0 to 1 count in ``bins`` equal bins, whose rows tie; with no
-    more distinct scores than that, on the bins' grid, the result is exact.
-    Units, strata and the result are as in ``paired_bootstrap``.
+    Rows are dealt by ranges of their score. One pass sums each replicate's
+    weights per range, a second one walks each range from its highest score with
+    the sums of the ranges above. Scores that are an edge between ranges are
+    ranges of their own, so that many equal scores never come to one task.
+    With ``bins``, scores from 0 to 1 count in as many equal bins, whose rows
+    tie. Rows with a null label or score count nothing. Units, strata and the
+    result are as in ``paired_bootstrap``.
     """
-    place = lambda c: F.least(F.floor(F.col(c) * bins), F.lit(bins - 1)).cast("int")
     keys = [F.col(unit).cast("string")] + ([F.col(strata).cast("string")] if strata else [])
-    # a unit has few rows, so its histogram is kept as the bins that it has
-    slot = F.when(F.col(y) == 1, 0).otherwise(bins)
-    rows = df.select(F.xxhash64(*keys).alias("h"), F.explode(F.array(slot + place(a), slot + place(b) + 2 * bins)).alias("k"))
-    rows = materialize(rows.groupBy("h", "k").agg(F.count("*").alias("n")), "units")
-    lots = -(-reps // chunk)
+    value = lambda c: F.col(c).cast("double") if bins is None else F.least(F.floor(F.col(c) * bins), F.lit(bins - 1)).cast("double")
+    rows = df.select(F.xxhash64(*keys).alias("h"), (F.col(y) == 1).alias("y"), value(a).alias("a"), value(b).alias("b")).dropna()
+    # rows of a unit that tie are one row
+    each = rows.select("h", "y", F.posexplode(F.array("a", "b")).alias("model", "score")).where("not isnan(score)")
+    each = each.groupBy("model", "score", "h").agg(F.count_if("y").cast("double").alias("p"), F.count_if(~F.col("y")).cast("double").alias("n"))
+    each = materialize(each, "scored")
+    share = [k / SCORE_RANGES for k in range(1, SCORE_RANGES)]
+    found = each.groupBy("model").agg(F.percentile_approx("score", share).alias("q")).collect()  # two rows
+    edges = {r.model: np.unique(r.q) for r in found}
+    total = {m: np.zeros((2 * len(e) + 1, 2, reps + 1)) for m, e in edges.items()}
+    sums = each.mapInPandas(_range_sums(edges, reps, chunk, seed), "model int, place int, v binary")
+    lots = min(SCORE_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    for r in sums.repartition(lots, "model", "place").mapInPandas(_summed_ranges, "model int, place int, v binary").collect():  # one row per range
+        total[r.model][r.place] = np.frombuffer(r.v).reshape(2, reps + 1)
+    out = {}
+    place = F.lit(None).cast("int")
+    for m, e in edges.items():  # from the highest scores on: an edge is above the range below it
+        at = [F.lit(float(x)) for x in e]
+        below = sum([F.when(F.col("score") > x, 2).when(F.col("score") == x, 1).otherwise(0) for x in at], F.lit(0))
+        place = F.when(F.col("model") == m, below).otherwise(place)
+        above = np.cumsum(total[m][::-1], 0)[::-1] - total[m]
+        tied = total[m][1::2] + above[1::2]  # the places of edges
+        out[m] = (np.divide(tied[:, 0], tied.sum(1), out=np.zeros_like(tied[:, 0]), where=tied.sum(1) > 0) * total[m][1::2, 0]).sum(0)
+        total[m] = (above, total[m][:, 0].sum(0))
+    between = each.withColumn("place", place).where("place % 2 = 0")
+    between = between.repartition(lots, "model", "place").sortWithinPartitions("model", "place", F.desc("score"))
+    walked = between.mapInPandas(_walked({m: above for m, (above, _) in total.items()}, reps, chunk, seed), "model int, v binary").collect()  # one row per task and model
+    for r in walked:
+        out[r.model] = out[r.model] + np.frombuffer(r.v)
+    both = [[None if not pos else float(x / pos) for x, pos in zip(out[m], total[m][1])] if m in out else [None] * (reps + 1) for m in (0, 1)]
+    both = df.sparkSession.createDataFrame([(k - 1, p, q) for k, (p, q) in enumerate(zip(*both))], "rep long, a double, b double")
+    stats = {"average_precision_a": F.col("a"), "average_precision_b": F.col("b"), "average_precision_diff": F.col("a") - F.col("b")}
+    return _interval(both.where("rep >= 0"), both.where("rep < 0"), stats)
 
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((lots, chunk, 4 * bins))
-        own = np.zeros(4 * bins)
+
+def _drawn(h: np.ndarray, reps: int, chunk: int, seed: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """Weights (unit, replicate) of some replicates at a time; number 0 is the table as it is."""
+    yield slice(0, 1), np.ones((len(h), 1))
+    for i in range(0, reps, chunk):
+        j = min(i + chunk, reps)
+        yield slice(i + 1, j + 1), poisson(h[:, None], seed, np.arange(i, j)).astype(float)
+
+
+def _range_sums(edges: dict[int, np.ndarray], reps: int, chunk: int, seed: int):
+    """(model, place, v): a task's positives and negatives of each range in each replicate."""
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple[int, int], np.ndarray] = {}
         for pdf in frames:
-            for h, k, n in zip(pdf["h"], pdf["k"], pdf["n"]):
-                own[k] += n
-                for lot in range(lots):
-                    total[lot, :, k] += n * _weights(seed, lot, int(h), chunk)
-        yield pd.DataFrame({"rep": np.arange(-1, reps), "v": [own, *total.reshape(-1, 4 * bins)[:reps]]})
+            for m, own in pdf.groupby("model"):
+                score, v = own["score"].to_numpy(), own[["p", "n"]].to_numpy()
+                place = np.searchsorted(edges[m], score, "left") + np.searchsorted(edges[m], score, "right")
+                some, which = np.unique(place, return_inverse=True)
+                for at, w in _drawn(own["h"].to_numpy(), reps, chunk, seed):
+                    for k, c in enumerate(some):
+                        total.setdefault((m, int(c)), np.zeros((2, reps + 1)))[:, at] += v[which == k].T @ w[which == k]
+        yield pd.DataFrame([(m, c, x.tobytes()) for (m, c), x in total.items()], columns=["model", "place", "v"])
+
+    return of
+
+
+def _summed_ranges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for pdf in frames:
+        for m, c, v in zip(pdf["model"], pdf["place"], pdf["v"]):
+            total[m, c] = total.get((m, c), 0.0) + np.frombuffer(v)
+    yield pd.DataFrame([(m, c, x.tobytes()) for (m, c), x in total.items()], columns=["model", "place", "v"])
+
+
+def _walked(above: dict[int, np.ndarray], reps: int, chunk: int, seed: int, step: int = 2048):
+    """(model, v): what rows sorted by model, range and falling score add to each replicate's sum of precision times positives."""
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: dict[int, np.ndarray] = {}
+        key, upto, tie, group = None, None, None, None
+
+        def close() -> None:  # a group of equal scores counts with all of its rows
+            if group is not None:
+                upto[:] += group
+                out.setdefault(key[0], np.zeros(reps + 1))[:] += np.divide(upto[0], upto.sum(0), out=np.zeros(reps + 1), where=upto.sum(0) > 0) * group[0]
 
-    def precision(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = []
-            for v in pdf["v"]:
-                x, two = np.asarray(v, float).reshape(2, 2, bins)[:, :, ::-1], []
-                for p, n in x:
-                    tp, all_ = np.cumsum(p), np.cumsum(p + n)
-                    two.append(float((np.divide(tp, all_, out=np.zeros(bins), where=all_ > 0) * p).sum() / tp[-1]) if tp[-1] else None)
-                out.append(two)
-            yield pd.DataFrame({"rep": pdf["rep"], "a": [x for x, _ in out], "b": [x for _, x in out]})
-
-    part = rows.mapInPandas(draw, "rep long, v array<double>").select("rep", F.posexplode("v").alias("k", "x")).groupBy("rep", "k").agg(F.sum("x").alias("x"))
-    whole = part.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda r: r["x"]).alias("v"))
-    both = materialize(whole.mapInPandas(precision, "rep long, a double, b double"), "replicates")
-    stats = {"average_precision_a": F.col("a"), "average_precision_b": F.col("b"), "average_precision_diff": F.col("a") - F.col("b")}
-    return _interval(both.where("rep >= 0"), both.where("rep < 0"), stats)
+            for i in range(0, len(pdf), step):
+                own = pdf.iloc[i : i + step]
+                names = list(zip(own["model"], own["place"], own["score"]))
+                new = np.array([0] + [k for k in range(1, len(names)) if names[k] != names[k - 1]])
+                sums = np.empty((2, len(new), reps + 1))
+                v = own[["p", "n"]].to_numpy()
+                for at, w in _drawn(own["h"].to_numpy(), reps, chunk, seed):
+                    for j in (0, 1):
+                        sums[j][:, at] = np.add.reduceat(v[:, j : j + 1] * w, new, axis=0)
+                for k, first in enumerate(new):
+                    m, c, s = names[first]
+                    if (m, c) == key and s == tie:
+                        group = group + sums[:, k]
+                        continue
+                    close()
+                    if (m, c) != key:
+                        key, upto = (m, c), above[m][c].copy()
+                    tie, group = s, sums[:, k].copy()
+        close()
+        yield pd.DataFrame([(m, x.tobytes()) for m, x in out.items()], columns=["model", "v"])
+
+    return of
 
 
 def dunn(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -288,11 +360,8 @@ def clustered_bootstrap(df: DataFrame, cluster: str, num: str, den: str, reps: i
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for lot, own in pdf.groupby("lot"):
-                a, b = np.zeros(chunk), np.zeros(chunk)
-                for x, y, h in zip(own["a"], own["b"], own["h"]):
-                    w = np.random.default_rng([seed, int(lot), int(h) & 0xFFFFFFFFFFFFFFFF]).poisson(1.0, chunk)
-                    a += w * x
-                    b += w * y
+                w = poisson(own["h"].to_numpy()[:, None], seed, lot * chunk + np.arange(chunk))
+                a, b = own["a"].to_numpy() @ w, own["b"].to_numpy() @ w
                 yield pd.DataFrame({"rep": lot * chunk + np.arange(chunk), "a": a, "b": b})
 
     drawn = part.mapInPandas(draw, "rep long, a double, b double").groupBy("rep").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("rep") < reps)
