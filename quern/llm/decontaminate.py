@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_bytes, bounded_batches, chunks, mix, powers, small_ids, trim, unused
+from quern.llm.common import as_bytes, bounded_batches, chunks, mix, powers, small_ids, spread_join, trim, unused
 from quern.plans.materialize import materialize
 
 #: Tokens of a window, how many of them must be words, tokens that must match in a row,
@@ -26,6 +26,8 @@ from quern.plans.materialize import materialize
 WINDOW, LITERALS, RUN, SHARE = 8, 4, 13, 0.8
 #: Bits of the set of benchmark windows for each window, and at most (a power of two): 64 MB.
 BITS_EACH, MOST_BITS = 512, 1 << 29
+#: Items that hold a window, beyond which it doesn't tell them apart.
+MOST_ITEMS = 32
 
 # Words that stand for numbers and units of measure.
 NUMBER_WORDS = """zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen
@@ -269,6 +271,59 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
+def _runs(places: Column, n: Column) -> Column:
+    """(longest, total): tokens covered by windows of n tokens at the places (ascending), in a row and in all."""
+
+    def add(acc: Column, p: Column) -> Column:
+        fresh = p > acc["end"]
+        more = F.when(fresh, n).otherwise(p + n - acc["end"])
+        run = F.when(fresh, n).otherwise(acc["run"] + more)
+        return F.struct((p + n).alias("end"), run.alias("run"), F.greatest(acc["longest"], run).alias("longest"), (acc["total"] + more).alias("total"))
+
+    zero = F.lit(0).cast("long")
+    return F.aggregate(places, F.struct(F.lit(-1).cast("long").alias("end"), zero.alias("run"), zero.alias("longest"), zero.alias("total")), add)
+
+
+def _enough(lined: DataFrame) -> Column:
+    """True where the places of an alignment, or of an item, cover RUN tokens in a row or SHARE of the item."""
+    runs = _runs(F.array_sort("places"), F.abs("kind").cast("long"))
+    return (runs["longest"] >= RUN) | (runs["total"] >= F.col("size") * SHARE)
+
+
+def _candidates(hits: DataFrame, windows: DataFrame) -> DataFrame:
+    """(h1, h2, item) of texts and items with windows enough on one alignment.
+
+    Windows that more than MOST_ITEMS items hold, such as those of a common
+    opening, don't find an item where they could not suffice alone: then any
+    find has another window, too, and they only count for what that one brings.
+    Windows that many texts hold are dealt over several tasks.
+    """
+    common = windows.groupBy("w").agg(F.count_distinct("item").alias("items")).where(F.col("items") > MOST_ITEMS).select("w", F.lit(True).alias("common"))
+    own = materialize(windows.join(common, "w", "left").withColumn("common", F.coalesce("common", F.lit(False))), "windows")
+    by = ["item", "kind"]
+    alone = own.where("common").groupBy(*by).agg(F.collect_set("place").alias("places"), F.first("size").alias("size"))
+    alone = alone.select(*by, (~_enough(alone)).alias("partial"))
+    own = materialize(own.join(alone, by, "left").withColumn("partial", F.coalesce("partial", F.lit(False))), "windows")
+    finds = own.where("not (common and partial)")
+    # items of a window in lists of bounded length
+    lists = finds.select("w", F.struct("item", "kind", "place", "size", "partial").alias("x")).withColumn("part", F.pmod(F.xxhash64("x.item"), F.ceil(F.count("*").over(Window.partitionBy("w")) / MOST_ITEMS)))
+    lists = lists.groupBy("w", "part").agg(F.collect_list("x").alias("xs"))
+    many = hits.groupBy("w").agg(F.count("*").alias("n"))
+    lists = materialize(lists.join(many, "w"), "lists")
+    parts = F.broadcast(lists.groupBy("w").agg(F.count("*").alias("parts")).where("parts > 1"))  # windows of many items that suffice alone: few
+    asked = hits.withColumnRenamed("place", "p").join(parts, "w", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    met = spread_join(asked, lists, ["w", "part"], "n").select("h1", "h2", "p", F.explode("xs").alias("x")).select("h1", "h2", "p", "x.*")
+    met = met.withColumn("shift", F.col("p") - F.col("place"))
+    line = ["h1", "h2", *by, "shift"]
+    whole = met.where("not partial").groupBy(*line).agg(F.collect_set("place").alias("places"), F.first("size").alias("size"))
+    # where common windows were left out, they are counted now
+    again = met.where("partial").select(*line).distinct().join(own.where("partial").select(*by, "w", "place", "size"), by).withColumn("p", F.col("place") + F.col("shift"))
+    again = again.join(hits.withColumnRenamed("place", "p"), ["h1", "h2", "w", "p"], "left_semi")
+    again = again.groupBy(*line).agg(F.collect_set("place").alias("places"), F.first("size").alias("size"))
+    lined = whole.unionByName(again)
+    return lined.where(_enough(lined)).select("h1", "h2", "item").distinct()
+
+
 def _contaminated(src: DataFrame, bench: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
     """(h1, h2, item_id, ...) of each contaminated text of ``src`` (h1, h2, text) and item; None where the benchmark has no words."""
     spark = src.sparkSession
@@ -281,11 +336,7 @@ def _contaminated(src: DataFrame, bench: DataFrame, id_col: str, text_col: str)
     bits = min(MOST_BITS, 1 << max(10, (BITS_EACH * sum(kinds.values()) - 1).bit_length()))
     table = spark.sparkContext.broadcast(_bit_set(windows, bits))  # MOST_BITS / 8 bytes at most
     hits = materialize(src.mapInArrow(_hits(sorted(kinds), table), "h1 long, h2 long, w long, place long").distinct(), "hits")
-    met = hits.withColumnRenamed("place", "p").join(windows, "w")
-    lined = met.groupBy("h1", "h2", "item", "kind", (F.col("p") - F.col("place")).alias("shift")).agg(F.count("*").alias("n"), F.first("size").alias("size"))
-    # no alignment covers more tokens than its windows have
-    enough = F.col("n") * F.abs("kind") >= F.least(F.lit(RUN), F.ceil(F.col("size") * SHARE))
-    pairs = materialize(lined.where(enough).select("h1", "h2", "item").distinct(), "pairs")
+    pairs = materialize(_candidates(hits, windows), "pairs")
     texts = src.join(small_ids(pairs.select("h1", "h2").distinct()), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("text").alias("text"))
     full = pairs.join(texts, ["h1", "h2"]).join(items.select("item", "i", F.col("t").alias("item_text")), "item")
     found = full.select("h1", "h2", "item", "text", "item_text").mapInArrow(_verify, _PAIR)
