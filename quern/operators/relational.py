@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.operators.graph import transitive_closure
+from quern.operators.ranges import ranked
+from quern.plans.materialize import materialize
 
 #: Rows of a rule dimension that may be sent to every executor.
 BROADCAST_ROWS = 100_000
@@ -200,21 +202,39 @@ def pairwise_disjoint(df: DataFrame, part: str, value: str) -> DataFrame:
     return a.join(b, value).where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def donors(recipients: DataFrame, pool: DataFrame, family: str, fold: str, n: int, seed: int = 7702) -> DataFrame:
-    """n donors of another family in the same fold for each recipient.
+def unique_donors(pool: DataFrame, sid: str, code_hash: str) -> DataFrame:
+    """The row with the smallest id of each code, so that no code stands in two pools; rows without a hash go."""
+    first = pool.where(F.col(code_hash).isNotNull()).groupBy(code_hash).agg(F.min(sid).alias(sid))
+    return pool.join(first, [code_hash, sid], "left_semi")
+
+
+def donor_ledger(recipients: DataFrame, pool: DataFrame, family: str, fold: str, n: int, seed: int = 7702) -> DataFrame:
+    """n different donors of another family for each recipient, drawn from the whole pool of its fold, with the draw.
 
-    A fold's donors are first thinned to n per family by a hash, then to the
-    families a recipient needs (n + 1 cannot all be its own), so the join has
-    at most n * (n + 1) rows per recipient.
+    (sid, rank, fold, family, donor, donor_family, pool_size, place): a fold's
+    donors are numbered by family and id, so a family's places are a range that
+    is left out for its own recipients; ``pool_size`` is what is left. The draws
+    are equally far apart and begin at a place told by md5(sid|seed), so each
+    donor is as likely as any other. With fewer donors than n, all are drawn. Ids (``sid``) must differ within the pool. A
+    recipient without a fold, or whose fold has no other family, gets none; a
+    null family is another than all.
     """
-    d = pool.select(F.col("sid").alias("donor"), F.col(family).alias("donor_family"), F.col(fold).alias("fold_"))
-    draw = F.xxhash64("donor", F.lit(seed))
-    d = d.withColumn("k", F.row_number().over(Window.partitionBy("fold_", "donor_family").orderBy(draw, "donor"))).where(F.col("k") <= n)
-    fams = d.groupBy("fold_", "donor_family").agg(F.min(draw).alias("f")).withColumn("r", F.row_number().over(Window.partitionBy("fold_").orderBy("f", "donor_family"))).where(F.col("r") <= n + 1)
-    d = d.join(fams.select("fold_", "donor_family"), ["fold_", "donor_family"])
-    j = recipients.join(d, (recipients[fold] == d["fold_"]) & (recipients[family] != d["donor_family"]))
-    pick = Window.partitionBy("sid").orderBy(F.xxhash64("sid", "donor", F.lit(seed)), "donor")
-    return j.withColumn("rank", F.row_number().over(pick)).where(F.col("rank") <= n).select("sid", "donor", "rank")
+    d = pool.select(F.col("sid").alias("donor"), F.col(family).alias("donor_family"), F.col(fold).alias("fold")).where("fold is not null")
+    d = materialize(ranked(d, [("donor_family", False), ("donor", False)], "place", by=("fold",)).withColumn("place", F.col("place") - 1), "donors")
+    folds = d.groupBy("fold").agg(F.count("*").alias("all"))
+    own = d.groupBy("fold", F.col("donor_family").alias("family")).agg(F.min("place").alias("first"), F.count("*").alias("many"))
+    r = recipients.select("sid", F.col(family).alias("family"), F.col(fold).alias("fold")).join(F.broadcast(folds), "fold").join(own, ["fold", "family"], "left")
+    many = F.coalesce("many", F.lit(0))
+    r = r.withColumn("pool_size", F.col("all") - many).where("pool_size > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(n), "pool_size") - 1)))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("sid").cast("string"), F.lit(str(seed)))), 1, 12), 16, 10).cast("double") / 2.0**48
+    place = F.floor((F.col("k") + u) * F.col("pool_size") / F.least(F.lit(n), "pool_size"))
+    r = r.withColumn("place", place).withColumn("place", F.when(F.col("place") >= F.col("first"), F.col("place") + many).otherwise(F.col("place")))
+    return r.join(d, ["fold", "place"]).select("sid", (F.col("k") + 1).alias("rank"), "fold", "family", "donor", "donor_family", "pool_size", "place")
+
+
+def donors(recipients: DataFrame, pool: DataFrame, family: str, fold: str, n: int, seed: int = 7702) -> DataFrame:
+    """(sid, donor, rank) of ``donor_ledger``."""
+    return donor_ledger(recipients, pool, family, fold, n, seed).select("sid", "donor", F.col("rank").cast("int").alias("rank"))
 
 
 def call_rules(facts: dict[str, DataFrame]) -> DataFrame:

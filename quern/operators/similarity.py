@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.features import digest60, kgrams
 from quern.operators.graph import connected_components
 from quern.operators.ranges import ranked
 from quern.plans.materialize import materialize
@@ -24,35 +24,55 @@ POSITIONS = 128
 FEW, HOT, LOT = 8, 64, 256
 
 
-def salts(n: int) -> list[int]:
-    """Fixed 60-bit salts of the permutations, by a linear congruence."""
-    out, x = [], 7702
-    for _ in range(n):
-        x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
-        out.append(x >> 4)
-    return out
+#: Grams whose hashes a task holds at once.
+CACHED = 1 << 20
+
+
+def _blake(data: bytes, seed: int) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+
+
+def salts(n: int) -> np.ndarray:
+    """Fixed 64-bit salts of the positions: blake2b under seed 1 of the position's four little-endian bytes."""
+    return np.array([_blake(k.to_bytes(4, "little"), 1) for k in range(n)], np.uint64)
 
 
-def signatures(df: DataFrame, id_col: str, grams: Column, positions: int = POSITIONS) -> DataFrame:
-    """(id, sig): minimum of hash xor salt per position, as 60-bit numbers.
+def grams(tokens: list[str], k: int) -> set[str]:
+    """Distinct k-grams; a shorter sequence whole; <EMPTY> for none."""
+    if len(tokens) >= k:
+        return set(map(" ".join, zip(*(tokens[i:] for i in range(k)))))
+    return {" ".join(tokens) or "<EMPTY>"}
 
-    The hashes are made in the JVM; the outer xor works on Arrow batches, since
-    nested lambdas would be interpreted ``positions`` times for each gram.
+
+def token_signature(df: DataFrame, id_col: str, ops: Column, k: int = 4, positions: int = POSITIONS) -> DataFrame:
+    """(id, sig): of each position, the smallest of the grams' hashes xor the position's salt.
+
+    A gram's hash is its 64-bit blake2b under seed 0; the smallest is taken of
+    unsigned numbers, which are kept as longs of the same bits. Few different
+    grams make up most sequences, so a task hashes each once as long as it has
+    no more than CACHED. A null sequence counts as empty.
     """
-    salt = np.array(salts(positions), np.int64)
+    salt = salts(positions)
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
         for pdf in frames:
             out = []
-            for h in pdf["h"]:
-                low = np.full(positions, np.iinfo(np.int64).max)
-                for k in range(0, len(h), 4096):  # a long text's hashes meet the salts in bounded pieces
-                    low = np.minimum(low, np.bitwise_xor.outer(salt, np.asarray(h[k : k + 4096], np.int64)).min(1))
-                out.append(low)
+            for tokens in pdf["__ops"]:
+                own = grams([] if tokens is None else list(tokens), k)
+                if len(known) > CACHED:
+                    known.clear()
+                for g in own.difference(known):
+                    known[g] = _blake(g.encode(), 0)
+                h = np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
+                low = np.full(positions, np.iinfo(np.uint64).max, np.uint64)
+                for i in range(0, len(h), 4096):  # a long text's hashes meet the salts in bounded pieces
+                    low = np.minimum(low, np.bitwise_xor.outer(salt, h[i : i + 4096]).min(1))
+                out.append(low.view(np.int64))
             yield pd.DataFrame({id_col: pdf[id_col], "sig": out})
 
-    hashed = df.select(id_col, F.transform(grams, digest60).alias("h"))
-    return hashed.mapInPandas(of, T.StructType([df.schema[id_col], T.StructField("sig", kind("[long]"))]))
+    rows = df.select(id_col, ops.alias("__ops"))
+    return rows.mapInPandas(of, T.StructType([df.schema[id_col], T.StructField("sig", kind("[long]"))]))
 
 
 def agreement(a: Column, b: Column) -> Column:
@@ -223,10 +243,6 @@ def selector_family(selectors: Column) -> Column:
     return F.when(F.size(selectors) == 0, "NO_SELECTORS").otherwise(F.substring(F.sha2(F.array_join(F.array_sort(selectors), ","), 256), 1, 16))
 
 
-def token_signature(df: DataFrame, id_col: str, ops: Column, k: int = 4) -> DataFrame:
-    return signatures(df, id_col, kgrams(ops, k))
-
-
 def novelty(exact: Column, similarity: Column) -> Column:
     """exact_overlap, near_085, near_080 or novel."""
     return F.when(exact, "exact_overlap").when(similarity >= 0.85, "near_085").when(similarity >= 0.80, "near_080").otherwise("novel")

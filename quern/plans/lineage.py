@@ -52,6 +52,24 @@ def z_scores(spark, sf_dir):
     return evaluate.z_scores(d, d.where("lang = 'en'"), ["n_chars"]).select("doc_id", F.round("z_n_chars", 6).alias("z"))
 
 
+_DONORS_SQL = """WITH d AS (SELECT doc_id AS sid, source AS family, doc_id % 5 AS fold, text FROM documents),
+    u AS (SELECT * FROM d WHERE sid IN (SELECT min(sid) FROM d GROUP BY text)),
+    p AS (SELECT sid AS donor, family AS donor_family, fold, row_number() OVER (PARTITION BY fold ORDER BY family, sid) - 1 AS place FROM u),
+    f AS (SELECT fold, count(*) AS n FROM p GROUP BY fold), o AS (SELECT fold, donor_family AS family, min(place) AS first, count(*) AS many FROM p GROUP BY 1, 2),
+    r AS (SELECT sid, d.family, d.fold, n - coalesce(many, 0) AS pool_size, first, coalesce(many, 0) AS many FROM d JOIN f USING (fold) LEFT JOIN o ON o.fold = d.fold AND o.family = d.family WHERE sid IN (SELECT doc_id FROM labels)),
+    k AS (SELECT *, unnest(range(least(2, pool_size))) AS k FROM r),
+    x AS (SELECT *, CAST(floor((k + CAST('0x' || substr(md5(concat(sid, '|7702')), 1, 12) AS BIGINT)::DOUBLE / 281474976710656.0) * pool_size / least(2, pool_size)) AS BIGINT) AS i FROM k),
+    y AS (SELECT *, CASE WHEN i >= first THEN i + many ELSE i END AS place FROM x)"""
+
+
+@query("donor_ledger", f"{_DONORS_SQL} SELECT sid, k + 1 AS rank, fold, family, donor, donor_family, pool_size, place FROM y JOIN p USING (fold, place)")
+def donor_ledger(spark, sf_dir):
+    """Two donors of another source and the same fold for each labelled document, no text being a donor twice, with each draw."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sid"), F.col("source").alias("family"), (F.col("doc_id") % 5).cast("int").alias("fold"), F.sha2("text", 256).alias("h"))
+    wanted = d.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("sid")), "sid", "left_semi")
+    return relational.donor_ledger(wanted, relational.unique_donors(d, "sid", "h"), "family", "fold", 2)
+
+
 @query("isolated_donors")
 def isolated_donors(spark, sf_dir):
     """Two donors of another source and the same fold for each labelled document."""

@@ -1,5 +1,7 @@
 """Families by agreement against all pairs, with bands that many signatures share."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +97,18 @@ def test_no_rows_and_one_row(spark):
     for rows in ([], [(5, [1, 2, 3, 4])]):
         out = similarity.families(spark.createDataFrame(rows, "id long, sig array<long>"), "id", "sig", 0.85).collect()
         assert [(r.id, r.family) for r in out] == [(i, i) for i, _ in rows]
+
+
+def test_signatures_are_salted_minima_of_blake2b(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "CACHED", 5)
+    rows = [(1, ["PUSH", "ADD", "PUSH", "ADD", "MUL", "STOP"]), (2, ["PUSH"]), (3, []), (4, None), (5, [f"T{k % 900}" for k in range(9000)])]
+    got = {r.id: r.sig for r in similarity.token_signature(spark.createDataFrame(rows, "id long, ops array<string>"), "id", F.col("ops")).collect()}
+
+    def hashed(data, seed):
+        return int.from_bytes(hashlib.blake2b(data, digest_size=8, salt=bytes([seed]) + bytes(7)).digest(), "little")
+
+    for i, ops in rows:
+        own = [" ".join(ops[j : j + 4]) for j in range(max(1, len(ops) - 3))] if ops else ["<EMPTY>"]
+        h = [hashed(g.encode(), 0) for g in own]
+        want = [min(x ^ hashed(p.to_bytes(4, "little"), 1) for x in h) for p in range(128)]
+        assert [x % 2**64 for x in got[i]] == want
