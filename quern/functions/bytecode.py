@@ -121,6 +121,30 @@ def hex_number(c: Column) -> Column:
     return F.when(F.length(F.regexp_replace(c, "^0x", "")) <= 30, half(F.substring(h, 1, 15)) * F.lit(16**15) + half(F.substring(h, 16, 15)))
 
 
+def hex_decimal(c: Column) -> Column:
+    """Hex digits of any number, with or without 0x, as the text of the decimal number; null if there is none or another sign.
+
+    Seven digits are taken at a time into limbs of nine decimal digits.
+    """
+    h = F.regexp_replace(F.lower(c), "^0x", "")
+    parts = F.ceil(F.length(h) / 7).cast("int")
+    full = F.lpad(h, parts * 7, "0")
+    digits = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.conv(F.substring(full, i * 7 + 1, F.lit(7)), 16, 10).cast("long"))
+    empty = F.array().cast("array<bigint>")
+
+    def carried(s: Column, v: Column) -> Column:
+        low = v % 10**9
+        return F.struct(F.round((v - low) / 10**9).cast("long").alias("carry"), F.array_append(s["out"], low).alias("out"))
+
+    def times(limbs: Column, x: Column) -> Column:
+        return F.aggregate(limbs, F.struct(x.alias("carry"), empty.alias("out")), lambda s, limb: carried(s, limb * 16**7 + s["carry"]), lambda s: s["out"])
+
+    limbs = F.aggregate(digits, F.array_repeat(F.lit(0).cast("long"), F.ceil(F.length(h) * 0.134).cast("int") + 1), times)
+    text = F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
+    text = F.regexp_replace(text, "^0+(?=.)", "")
+    return F.when(h.rlike("^[0-9a-f]+$"), text)
+
+
 def hex_chunks(h: Column, width: int, length: int) -> Column:
     """Non-overlapping chunks, the remainder dropped, filled up to ``length`` with zeros."""
     parts = F.slice(F.regexp_extract_all(h, F.lit(f"(.{{{width}}})"), F.lit(1)), 1, length)

@@ -360,16 +360,44 @@ def interleaved(instr: DataFrame, id_col: str, pos_col: str, op_col: str, operan
     return instr.groupBy(id_col).agg(flat.alias("t")).select(id_col, F.concat(cut, F.array_repeat(F.lit("<PAD>"), F.lit(length) - F.size(cut))).alias("tokens"))
 
 
-def tfidf(df: DataFrame, tokens_col: str, most: int = 4, vocab: int = 20_000, min_df: int = 3):
-    """Fitted pipeline of word 1..most-grams: counts over one vocabulary, then inverse document frequency.
+def gram_counts(df: DataFrame, id_col: str, tokens: Column, most: int = 4) -> DataFrame:
+    """(id, gram, n): how often a row has each 1- to ``most``-gram of its tokens; null and empty sequences have none."""
 
-    The ``vocab`` most frequent of all n-grams that ``min_df`` rows have are kept.
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, grams, n = [], [], []
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(grams, pa.string()), pa.array(n, pa.int64())], [id_col, "gram", "n"])
+
+            for i in range(batch.num_rows):
+                own = batch.column(1)[i].as_py() or []
+                count = Counter(g for k in range(1, most + 1) for g in map(" ".join, zip(*(own[j:] for j in range(k)))))
+                at += [i] * len(count)
+                grams += count.keys()
+                n += count.values()
+                if len(at) > 100_000:  # a batch of long rows leaves in pieces
+                    yield out()
+                    at, grams, n = [], [], []
+            yield out()
+
+    return df.select(id_col, tokens.alias("__tokens")).mapInArrow(of, T.StructType([df.schema[id_col], T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())]))
+
+
+def tfidf_terms(train: DataFrame, id_col: str, tokens: Column, most: int = 4, vocab: int = 20_000, min_df: int = 3) -> DataFrame:
+    """(gram, idf) learnt from training rows: ln((1 + rows) / (1 + rows with the gram)) + 1.
+
+    Kept are the ``vocab`` most frequent of the grams that ``min_df`` rows have,
+    ties by the gram. Ids must differ.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, CountVectorizer, NGram, SQLTransformer
-
-    names = [f"{tokens_col}_{n}" for n in range(1, most + 1)]
-    stages = [NGram(n=n, inputCol=tokens_col, outputCol=name) for n, name in enumerate(names, 1)]
-    stages += [SQLTransformer(statement=f"SELECT *, concat({', '.join(names)}) AS {tokens_col}_all FROM __THIS__")]
-    stages += [CountVectorizer(inputCol=f"{tokens_col}_all", outputCol="tf", minDF=min_df, vocabSize=vocab), IDF(inputCol="tf", outputCol="tfidf")]
-    return Pipeline(stages=stages).fit(df)
+    rows = train.count()
+    grams = gram_counts(train, id_col, tokens, most).groupBy("gram").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
+    top = grams.where(F.col("df") >= min_df).orderBy(F.desc("n"), "gram").limit(vocab)
+    return materialize(top.select("gram", (F.log((F.lit(1.0) + rows) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")), "terms")
+
+
+def tfidf_vectors(df: DataFrame, terms: DataFrame, id_col: str, tokens: Column, most: int = 4) -> DataFrame:
+    """(id, terms): the known grams of each row as (gram, weight), by gram, of length one; rows without one don't appear."""
+    own = gram_counts(df, id_col, tokens, most).join(F.broadcast(terms), "gram")  # the vocabulary's size bounds the terms
+    own = own.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("gram", (F.col("n") * F.col("idf")).alias("w")))).alias("t"), F.sqrt(F.sum(F.pow(F.col("n") * F.col("idf"), F.lit(2.0)))).alias("__norm"))
+    return own.select(id_col, F.transform("t", lambda x: F.struct(x["gram"].alias("gram"), (x["w"] / F.col("__norm")).alias("weight"))).alias("terms"))

@@ -201,3 +201,20 @@ def stage_ledger(spark, sf_dir):
     j = j.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("doc_id")))
     calm = j.where("toxic = 0")
     return audit.stage_ledger([("labelled", j), ("not_toxic", calm), ("distinct", calm.where("k = 1"))], "y")
+
+
+@query(
+    "tfidf_vectors",
+    f"""WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+    g AS (SELECT doc_id, array_to_string(w[i:i + k - 1], ' ') AS gram, count(*) AS n
+      FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT doc_id, w, unnest([1, 2, 3, 4]) AS k FROM d)) GROUP BY 1, 2),
+    t AS (SELECT gram, ln((1.0 + (SELECT count(*) FROM d WHERE doc_id % 5 <> 0)) / (1.0 + count(*))) + 1 AS idf FROM g WHERE doc_id % 5 <> 0 GROUP BY gram HAVING count(*) >= 3 ORDER BY sum(n) DESC, gram LIMIT 20000),
+    v AS (SELECT doc_id, gram, n * idf AS w FROM g JOIN t USING (gram)), l AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM v GROUP BY doc_id)
+    SELECT doc_id, count(*) AS n_terms, round(sum(w / norm), 7) AS total, round(max(w / norm), 7) AS heaviest FROM v JOIN l USING (doc_id) GROUP BY doc_id""",
+)
+def tfidf_vectors(spark, sf_dir):
+    """TF-IDF of word 1- to 4-grams, learnt from four fifths of the documents: terms, sum of weights and largest one of each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", words().alias("ops"))
+    terms = features.tfidf_terms(docs.where("doc_id % 5 <> 0"), "doc_id", F.col("ops"))
+    v = features.tfidf_vectors(docs, terms, "doc_id", F.col("ops")).select("doc_id", F.explode("terms").alias("t"))
+    return v.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("t.weight"), 7).alias("total"), F.round(F.max("t.weight"), 7).alias("heaviest"))

@@ -211,3 +211,9 @@ def same_sets(spark, sf_dir):
     c = table(spark, sf_dir, "nation").select("n_nationkey")
     same, other = relational.same_set(o, o.repartition(3)), relational.same_set(c, c.where("n_nationkey > 0"))
     return spark.createDataFrame([(same, other)], "same boolean, other boolean")
+
+
+@query("hex_decimals", "SELECT p_partkey, CAST(CAST('0x' || md5(p_name) AS UHUGEINT) AS VARCHAR) AS n FROM part")
+def hex_decimals(spark, sf_dir):
+    """Thirty-two hex digits as a decimal text."""
+    return table(spark, sf_dir, "part").select("p_partkey", bytecode.hex_decimal(F.md5("p_name")).alias("n"))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +126,11 @@ def test_interleaved_and_images(spark):
     assert got == {1: ["PUSH1", "04", "JUMP", "<PAD>"], 2: ["STOP", "<PAD>", "<PAD>", "<PAD>"]}
     assert features.lookup_image(df, "c", "pos", ["Opcode", "Operand", "Gas"], 2).count() == 3
     assert features.count_matrix(df, "c", "Opcode", ["STOP", "JUMP", "PUSH1"]).columns == ["c", "JUMP", "PUSH1", "STOP"]
+
+
+def test_hex_of_any_length_as_decimal_text(spark):
+    rng = random.Random(1)
+    texts = ["0", "0x0", "000", "1", "F" * 64, "0x" + "f" * 64, "8" + "0" * 63, "ab" * 100, *["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in range(1, 70)]]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "", "0x", "xyz", None]], "c string")
+    got = {r.c: r.n for r in rows.select("c", bytecode.hex_decimal(F.col("c")).alias("n")).collect()}
+    assert got == {t: str(int(t, 16)) for t in texts} | {"": None, "0x": None, "xyz": None, None: None}
