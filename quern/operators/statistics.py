@@ -368,3 +368,79 @@ def clustered_bootstrap(df: DataFrame, cluster: str, num: str, den: str, reps: i
     ends = drawn.agg(F.percentile(F.try_divide("a", "b"), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     point = sums.agg(F.try_divide(F.sum("a"), F.sum("b")).alias("estimate"))
     return point.crossJoin(ends).select("estimate", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+# Rational approximations of the normal quantile (central, middle and far, from the highest power down),
+# and the published polynomials of the test's weights and of its law (from the lowest power up).
+_CENTRAL = (
+    (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457, 13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.387132872796366608),
+    (5226.495278852545925, 28729.085735721942674, 39307.89580009271061, 21213.794301586595867, 5394.1960214247511077, 687.1870074920579083, 42.313330701600911252, 1.0),
+)
+_MIDDLE = (
+    (7.7454501427834140764e-4, 0.0227238449892691845833, 0.24178072517745061177, 1.27045825245236838258, 3.64784832476320460504, 5.7694972214606914055, 4.6303378461565452959, 1.42343711074968357734),
+    (1.05075007164441684324e-9, 5.475938084995344946e-4, 0.0151986665636164571966, 0.14810397642748007459, 0.68976733498510000455, 1.6763848301838038494, 2.05319162663775882187, 1.0),
+)
+_FAR = (
+    (2.01033439929228813265e-7, 2.71155556874348757815e-5, 0.0012426609473880784386, 0.026532189526576123093, 0.29656057182850489123, 1.7848265399172913358, 5.4637849111641143699, 6.6579046435011037772),
+    (2.04426310338993978564e-15, 1.4215117583164458887e-7, 1.8463183175100546818e-5, 7.868691311456132591e-4, 0.0148753612908506148525, 0.13692988092273580531, 0.59983220655588793769, 1.0),
+)
+_LAST, _LAST_BUT_ONE = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056), (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+_SMALL_MEAN, _SMALL_SPREAD = (0.544, -0.39978, 0.025054, -6.714e-4), (1.3822, -0.77857, 0.062767, -0.0020322)
+_MEAN, _SPREAD, _GAMMA = (-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.082676, 0.0030302), (-2.273, 0.459)
+
+
+def normal_quantile(p: np.ndarray) -> np.ndarray:
+    """The standard normal law's quantile, to the precision of doubles."""
+    p = np.asarray(p, float)
+    q = p - 0.5
+    ratio = lambda parts, x: np.polyval(parts[0], x) / np.polyval(parts[1], x)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = np.sqrt(-np.log(np.where(q < 0, p, 1 - p)))
+        tail = np.sign(q) * np.where(r <= 5, ratio(_MIDDLE, r - 1.6), ratio(_FAR, r - 5))
+        return np.where(np.abs(q) <= 0.425, q * ratio(_CENTRAL, 0.180625 - q * q), tail)
+
+
+@F.pandas_udf(kind("double"))
+def _quantile(p: pd.Series) -> pd.Series:
+    return pd.Series(normal_quantile(p.to_numpy()))
+
+
+def _poly(parts: tuple[float, ...], x: Column) -> Column:
+    return sum((F.lit(c) * F.pow(x, F.lit(float(k))) for k, c in enumerate(parts) if k), F.lit(parts[0]))
+
+
+def shapiro_wilk(df: DataFrame, value: str, group: str) -> DataFrame:
+    """(group, n, w, p_value): the test of normality in each group, by Royston's weights and law.
+
+    Ranks go by ranges of the value, so a group may have any size; the published
+    law was fitted up to 5,000 values. Null and NaN values count nothing. Groups
+    of fewer than three values, or of equal values only, have null results.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    rows = ranked(rows, [("x", False)], "i", by=("g",))
+    size = rows.groupBy(F.col("g").alias("of")).agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.min("x").alias("low"), F.max("x").alias("high"))
+    size = materialize(size, "sizes")
+    rows = rows.join(size, F.col("g").eqNullSafe(F.col("of"))).drop("of")
+    rows = materialize(rows.where("n >= 3 and low < high").withColumn("m", _quantile((F.col("i") - 0.375) / (F.col("n") + 0.25))), "ranks")
+    m = lambda k: F.max(F.when(F.col("i") == F.col("n") - k, F.col("m")))
+    s = rows.groupBy("g").agg(F.max("n").alias("n"), F.sum(F.col("m") * F.col("m")).alias("mm"), m(0).alias("m0"), m(1).alias("m1"))
+    u, root = 1 / F.sqrt(F.col("n").cast("double")), F.sqrt("mm")
+    a0 = F.when(F.col("n") == 3, F.lit(math.sqrt(0.5))).otherwise(_poly(_LAST, u) + F.col("m0") / root)
+    s = s.withColumns({"a0": a0, "a1": _poly(_LAST_BUT_ONE, u) + F.col("m1") / root})
+    two = (F.col("mm") - 2 * F.col("m0") ** 2 - 2 * F.col("m1") ** 2) / (1 - 2 * F.col("a0") ** 2 - 2 * F.col("a1") ** 2)
+    one = (F.col("mm") - 2 * F.col("m0") ** 2) / (1 - 2 * F.col("a0") ** 2)
+    s = s.withColumn("scale", F.sqrt(F.when(F.col("n") > 5, two).when(F.col("n") > 3, one)))
+    near = F.least(F.col("i") - 1, F.col("n") - F.col("i"))  # from the nearer end
+    a = F.when(near == 0, F.col("a0")).when((near == 1) & (F.col("n") > 5), F.col("a1")).otherwise(F.abs("m") / F.col("scale"))
+    a = F.when(F.col("n") == 3, F.when(near == 0, F.col("a0")).otherwise(0.0)).otherwise(a) * F.signum(F.col("i") - (F.col("n") + 1) / 2)
+    rows = rows.join(s.select(F.col("g").alias("__g"), "a0", "a1", "scale"), F.col("g").eqNullSafe(F.col("__g")))
+    w = rows.groupBy("g").agg(F.max("n").alias("n"), F.sum(a * (F.col("x") - F.col("mean"))).alias("b"), F.sum((F.col("x") - F.col("mean")) ** 2).alias("ss"))
+    w = w.select("g", "n", F.least(F.col("b") ** 2 / F.col("ss"), F.lit(1.0)).alias("w"))
+    n, rest = F.col("n").cast("double"), F.log(1 - F.col("w"))
+    small = -F.log(_poly(_GAMMA, n) - rest)
+    z = F.when(n <= 11, (small - _poly(_SMALL_MEAN, n)) / F.exp(_poly(_SMALL_SPREAD, n))).otherwise((rest - _poly(_MEAN, F.log(n))) / F.exp(_poly(_SPREAD, F.log(n))))
+    three = F.greatest(F.lit(6 / math.pi) * (F.asin(F.sqrt("w")) - math.asin(math.sqrt(0.75))), F.lit(0.0))
+    upper = F.when(z >= 0, normal_tail(z) / 2).otherwise(1 - normal_tail(z) / 2)  # of two tails
+    p = F.when(F.col("w") >= 1, 1.0).when(n == 3, three).when((n <= 11) & (rest >= _poly(_GAMMA, n)), 1e-19).otherwise(upper)
+    out = w.select(F.col("g").alias("__g"), "w", p.alias("p_value"))
+    return size.join(out, F.col("of").eqNullSafe(F.col("__g")), "left").select(F.col("of").alias(group), "n", "w", "p_value")

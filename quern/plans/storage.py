@@ -217,3 +217,15 @@ def same_sets(spark, sf_dir):
 def hex_decimals(spark, sf_dir):
     """Thirty-two hex digits as a decimal text."""
     return table(spark, sf_dir, "part").select("p_partkey", bytecode.hex_decimal(F.md5("p_name")).alias("n"))
+
+
+@query("excel_round_trip", "SELECT o_orderkey AS id, o_orderpriority AS priority, round(o_totalprice, 6) AS price, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders")
+def excel_round_trip(spark, sf_dir):
+    """Orders through workbooks, columns found by other headers."""
+    from quern.sources import excel
+
+    path = scratch_path(spark, "workbooks")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(" Order "), F.col("o_orderpriority").alias("PRIORITY"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").cast("date").alias("Day"))
+    excel.write_excel(o, path).count()
+    got = excel.read_excel(spark, f"{path}/*.xlsx", {"id": ("order",), "priority": (), "price": (), "day": ("date",)})
+    return got.select(F.col("id").cast("long").alias("id"), "priority", F.round(F.col("price").cast("double"), 6).alias("price"), "day")
