@@ -185,6 +185,11 @@ def _decode(code: bytes) -> list[tuple[int, int, int, str, str | None]]:
     return out
 
 
+def decode(code: bytes | None) -> list[tuple[int, int, int, str, str | None]]:
+    """(pc, size, byte, token, immediate) of a linear sweep; none for null."""
+    return _decode(bytes(code)) if code is not None else []
+
+
 @F.pandas_udf(struct("ops [string], push_sizes [int], selectors [string]"))
 def disassemble(code: pd.Series) -> pd.DataFrame:
     """Tokens, PUSH sizes and four-byte selectors of a byte string.

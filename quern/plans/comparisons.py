@@ -186,3 +186,10 @@ def family_paired_bootstrap(spark, sf_dir):
 def stratified_precision_bootstrap(spark, sf_dir):
     """Average precision of two models from whole sources drawn again within each language."""
     return statistics.precision_bootstrap(compared(spark, sf_dir), "source", reps=400, strata="lang")
+
+
+@query("shapiro_wilk_groups")
+def shapiro_wilk_groups(spark, sf_dir):
+    """Whether the logarithm of the documents' lengths is normal in each language."""
+    d = table(spark, sf_dir, "documents").select("lang", F.log1p("n_chars").alias("x"))
+    return statistics.shapiro_wilk(d, "x", "lang")

@@ -297,3 +297,28 @@ def designators(spark, sf_dir):
 def program_featurize(spark, sf_dir):
     """Token shares, structural features and hashed 4-grams of each program in two arrays."""
     return features.featurize(codes(spark, sf_dir), "id", "h", opcodes.vocabulary())
+
+
+@query(
+    "sql_push_widths",
+    f"""{_BASE} SELECT id, CAST(code - 95 AS INTEGER) AS width, count(*) AS n, CAST(min(pc + 1) AS INTEGER) AS first_start, CAST(max(pc + size) AS INTEGER) AS last_end
+    FROM t WHERE token = 'PUSH' GROUP BY id, code""",
+)
+def sql_push_widths(spark, sf_dir):
+    """Written in SQL alone: immediates of each width in each program, by a lateral table function."""
+    from quern.functions import sql
+
+    sql.register(spark)
+    return spark.sql(
+        "SELECT id, width, count(*) AS n, min(p.start) AS first_start, max(p.end) AS last_end FROM {codes}, LATERAL push_positions(unhex(h)) p GROUP BY id, width",
+        codes=codes(spark, sf_dir),
+    )
+
+
+@query("sql_token_counts", f"{_BASE} SELECT token, count(*) AS n, count(DISTINCT id) AS programs FROM t GROUP BY token")
+def sql_token_counts(spark, sf_dir):
+    """Written in SQL alone: how often each token occurs, and in how many programs."""
+    from quern.functions import sql
+
+    sql.register(spark)
+    return spark.sql("SELECT token, count(*) AS n, count(DISTINCT id) AS programs FROM {codes}, LATERAL instructions(unhex(h)) GROUP BY token", codes=codes(spark, sf_dir))
