@@ -183,6 +183,13 @@ def set_overlap(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return j.agg(both.alias("both"), only_a.alias("only_a"), only_b.alias("only_b"), F.try_divide(both, F.count("*")).alias("jaccard"))
 
 
+def set_members(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """(value, in_a, in_b): every value of either column once; a null is one value."""
+    rows = a.select(F.col(column).alias("value"), F.lit(True).alias("a"), F.lit(False).alias("b"))
+    rows = rows.unionByName(b.select(F.col(column).alias("value"), F.lit(False).alias("a"), F.lit(True).alias("b")))
+    return rows.groupBy("value").agg(F.bool_or("a").alias("in_a"), F.bool_or("b").alias("in_b"))
+
+
 def same_set(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 

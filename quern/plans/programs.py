@@ -322,3 +322,14 @@ def sql_token_counts(spark, sf_dir):
 
     sql.register(spark)
     return spark.sql("SELECT token, count(*) AS n, count(DISTINCT id) AS programs FROM {codes}, LATERAL instructions(unhex(h)) GROUP BY token", codes=codes(spark, sf_dir))
+
+
+_CHUNKED = f"""{_BASE}, v AS (SELECT unnest({list(opcodes.vocabulary())}) AS token, unnest(range({len(opcodes.vocabulary())})) + 2 AS place),
+    w AS (SELECT id, list(coalesce(place, 1) ORDER BY pos) AS ids FROM t LEFT JOIN v USING (token) GROUP BY id)"""
+
+
+@query("encoded_chunks", f"{_CHUNKED} SELECT id, k AS chunk, array_to_string(list_concat(ids[k * 16 + 1:k * 16 + 16], list_transform(range(greatest(0, (k + 1) * 16 - len(ids))), lambda x: 0)), ' ') AS ids FROM (SELECT id, ids, unnest(range(CAST(ceil(len(ids) / 16.0) AS BIGINT))) AS k FROM w)")
+def encoded_chunks(spark, sf_dir):
+    """Token ids of each program in chunks of sixteen, the last one padded."""
+    d = decoded(spark, sf_dir).select("id", features.chunked(features.encode_tokens(F.col("ops"), opcodes.vocabulary()), 16, 16).alias("c"))
+    return d.select("id", F.posexplode("c").alias("k", "x")).select("id", F.col("k").cast("long").alias("chunk"), F.array_join("x", " ").alias("ids"))

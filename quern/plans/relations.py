@@ -256,3 +256,14 @@ def neighbour_search_share(spark, sf_dir):
     """What the exact search for the five nearest of every hundredth vector compares: queries, rows and pairs."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.search(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 5)[1]
+
+
+@query(
+    "set_members",
+    """WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click'), b AS (SELECT DISTINCT user_id FROM events WHERE value > 90)
+    SELECT user_id AS value, user_id IN (SELECT user_id FROM a) AS in_a, user_id IN (SELECT user_id FROM b) AS in_b FROM (SELECT * FROM a UNION SELECT * FROM b)""",
+)
+def set_members(spark, sf_dir):
+    """Users who clicked, and users with a high value: the union, with both memberships."""
+    ev = table(spark, sf_dir, "events")
+    return relational.set_members(ev.where("event_type = 'click'"), ev.where("value > 90"), "user_id")

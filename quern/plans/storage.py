@@ -229,3 +229,21 @@ def excel_round_trip(spark, sf_dir):
     excel.write_excel(o, path).count()
     got = excel.read_excel(spark, f"{path}/*.xlsx", {"id": ("order",), "priority": (), "price": (), "day": ("date",)})
     return got.select(F.col("id").cast("long").alias("id"), "priority", F.round(F.col("price").cast("double"), 6).alias("price"), "day")
+
+
+@query("keyed_append", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer")
+def keyed_append(spark, sf_dir):
+    """Customers appended by key: a batch, a later one with keys that are there already, and the first one again."""
+    path, c = scratch_path(spark, "keyed"), table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    early = c.where("c_custkey % 3 <> 0")
+    sinks.append_keyed(early, path, ["c_custkey"], "001")
+    sinks.append_keyed(c.withColumn("c_acctbal", F.col("c_acctbal") + 1), path, ["c_custkey"], "002")
+    sinks.append_keyed(early.unionByName(early), path, ["c_custkey"], "001")
+    return readers.read_keyed(spark, path, schemas.struct("c_custkey long, c_name string, c_acctbal double"), ["c_custkey"])
+
+
+@query("truncated_cells", "SELECT doc_id, length(repeat(text, 9)) AS n, least(length(repeat(text, 9)), 32767) = 32767 AS cut FROM documents")
+def truncated_cells(spark, sf_dir):
+    """Which texts, nine times over, a spreadsheet cell cuts at its limit."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.repeat("text", F.lit(9)).alias("t"))
+    return d.select("doc_id", F.length("t").alias("n"), bytecode.truncated_cap(F.substring("t", 1, 32767)).alias("cut"))

@@ -7,7 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quern.schemas import kind
 
@@ -120,6 +120,13 @@ def rename_headers(df: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFr
     return df.select(*[F.col(f"`{src}`").alias(name) for name, src in picked.items()])
 
 
+def read_keyed(spark: SparkSession, path: str, schema: StructType, keys: list[str]) -> DataFrame:
+    """What ``sinks.append_keyed`` wrote: one row of each key, from the first batch that has it."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", StringType())])).json(path)
+    first = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min_by(F.struct(*schema.names), F.struct("batch", *schema.names)).alias("__r"))
+    return first.select("__r.*")
+
+
 def reject_pointer_files(df: DataFrame, column: str) -> DataFrame:
     """``df`` itself, unless it holds a large-file pointer in place of data."""
     if not df.where(F.col(column).startswith(_LFS)).limit(1).isEmpty():

@@ -18,6 +18,29 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def append_keyed(df: DataFrame, path: str, keys: list[str], batch: str) -> None:
+    """The rows whose key no earlier batch holds, as JSON lines of a batch; ``readers.read_keyed`` reads them.
+
+    Of rows with one key the first by all columns stays. A batch is a folder of
+    its own that Spark's committer fills whole: repeating it, or one of its
+    tasks, writes the same again. Two writers that don't see each other may both
+    write a key; the reader then takes that of the batch whose name comes first,
+    so names should rise. A null in a key is a value like any other.
+    """
+    if not batch.replace("-", "").replace("_", "").isalnum():
+        raise ValueError("a batch is named by letters, digits, hyphens and underscores")
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        held = spark.read.schema(df.select(*keys).schema.add("batch", "string")).json(path).where(F.col("batch") < f"b{batch}").select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        df = df.join(held, same, "left_anti")
+    first = df.groupBy(*keys).agg(F.min(F.struct(*df.columns)).alias("__r")).select("__r.*")
+    first.write.mode("overwrite").json(f"{path.rstrip('/')}/batch=b{batch}")
+
+
 def write_by_chain(df: DataFrame, path: str, chain: str = "chain") -> None:
     """A folder per chain in place of a file per row."""
     df.write.mode("overwrite").partitionBy(chain).parquet(path)
