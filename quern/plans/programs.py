@@ -116,9 +116,7 @@ def direct_jumps(spark, sf_dir):
     return programs.direct_jumps(instructions(spark, sf_dir), "id")
 
 
-@query(
-    "program_reachability",
-    f"""WITH RECURSIVE {_CODE}, {_OPS},
+_FLOW = f"""WITH RECURSIVE {_CODE}, {_OPS},
     cut AS (SELECT id, h, length(h) // 2 AS n, length(h) // 2 - 2 - CAST('0x' || right(h, 4) AS INTEGER) AS s FROM code),
     body AS (SELECT id, CASE WHEN n >= 4 AND s >= 0 AND s < n - 2 AND substr(h, s * 2 + 1, 2) = 'a2' THEN substr(h, 1, s * 2) ELSE h END AS h FROM cut),
     {_walk('body')}, {_JUMPS},
@@ -129,7 +127,12 @@ def direct_jumps(spark, sf_dir):
     edge AS (SELECT id, block AS a, block + 1 AS b FROM f WHERE last NOT IN {_HALTS} AND last <> 'JUMP' UNION SELECT id, block, direct FROM f WHERE direct IS NOT NULL
     UNION SELECT f.id, f.block, d.block FROM f JOIN d ON d.id = f.id WHERE f.last IN ('JUMP', 'JUMPI') AND f.direct IS NULL),
     r(id, block) AS (SELECT id, block FROM e WHERE block = 0 UNION SELECT r.id, edge.b FROM r JOIN edge ON edge.id = r.id AND edge.a = r.block),
-    g AS (SELECT f.*, r.block IS NOT NULL AS seen FROM f LEFT JOIN r ON r.id = f.id AND r.block = f.block)
+    g AS (SELECT f.*, r.block IS NOT NULL AS seen FROM f LEFT JOIN r ON r.id = f.id AND r.block = f.block)"""
+
+
+@query(
+    "program_reachability",
+    f"""{_FLOW}
     SELECT id, CAST(count(*) AS INTEGER) AS blocks, CAST(count(*) FILTER (WHERE seen) AS INTEGER) AS reachable_blocks, CAST(count(*) FILTER (WHERE seen AND last IN ('JUMP', 'JUMPI') AND direct IS NULL) AS INTEGER) AS unresolved_jumps,
     bool_or(seen AND reads) AS introspects, CAST(sum(bytes) AS INTEGER) AS executable_bytes, CAST(CASE WHEN bool_or(seen AND reads) THEN 0 ELSE coalesce(sum(bytes) FILTER (WHERE NOT seen), 0) END AS INTEGER) AS removed_bytes FROM g GROUP BY id""",
 )
@@ -333,3 +336,20 @@ def encoded_chunks(spark, sf_dir):
     """Token ids of each program in chunks of sixteen, the last one padded."""
     d = decoded(spark, sf_dir).select("id", features.chunked(features.encode_tokens(F.col("ops"), opcodes.vocabulary()), 16, 16).alias("c"))
     return d.select("id", F.posexplode("c").alias("k", "x")).select("id", F.col("k").cast("long").alias("chunk"), F.array_join("x", " ").alias("ids"))
+
+
+@query(
+    "program_views",
+    f"""{_FLOW},
+    x AS (SELECT id, block, string_agg(substr(h, pc * 2 + 1, size * 2), '' ORDER BY pos) AS hex FROM k GROUP BY id, block),
+    y AS (SELECT id, bool_or(seen AND reads) AS whole FROM g GROUP BY id),
+    z AS (SELECT g.id, string_agg(hex, '' ORDER BY block) FILTER (WHERE seen OR whole) AS compact, string_agg(CASE WHEN seen OR whole THEN hex ELSE repeat('00', CAST(bytes AS BIGINT)) END, '' ORDER BY block) AS masked
+      FROM g JOIN x USING (id, block) JOIN y ON y.id = g.id GROUP BY g.id),
+    o AS (SELECT id, min(pc) FILTER (WHERE token = 'STOP') AS stop FROM t GROUP BY id)
+    SELECT z.id, compact, masked, body.h AS stripped, CASE WHEN stop IS NULL THEN body.h ELSE substr(body.h, 1, stop * 2 + 2) END AS prefix, CASE WHEN stop IS NULL THEN '' ELSE substr(body.h, stop * 2 + 3) END AS suffix,
+      substr(code.h, length(body.h) + 1) AS trailer FROM z JOIN o USING (id) JOIN body USING (id) JOIN code USING (id)""",
+)
+def program_views(spark, sf_dir):
+    """The representations of each program: compact, masked, stripped, prefix, suffix and what was split off."""
+    c = codes(spark, sf_dir).select("id", control_flow(bytecode.to_bytes(F.col("h"))).alias("c"))
+    return c.select("id", *[f"c.{n}" for n in ("compact", "masked", "stripped", "prefix", "suffix", "trailer")])
