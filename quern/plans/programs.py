@@ -327,7 +327,8 @@ def sql_token_counts(spark, sf_dir):
     return spark.sql("SELECT token, count(*) AS n, count(DISTINCT id) AS programs FROM {codes}, LATERAL instructions(unhex(h)) GROUP BY token", codes=codes(spark, sf_dir))
 
 
-_CHUNKED = f"""{_BASE}, v AS (SELECT unnest({list(opcodes.vocabulary())}) AS token, unnest(range({len(opcodes.vocabulary())})) + 2 AS place),
+_VOCABULARY = f"v AS (SELECT unnest({list(opcodes.vocabulary())}) AS token, unnest(range({len(opcodes.vocabulary())})) + 2 AS place)"
+_CHUNKED = f"""{_BASE}, {_VOCABULARY},
     w AS (SELECT id, list(coalesce(place, 1) ORDER BY pos) AS ids FROM t LEFT JOIN v USING (token) GROUP BY id)"""
 
 
@@ -353,3 +354,42 @@ def program_views(spark, sf_dir):
     """The representations of each program: compact, masked, stripped, prefix, suffix and what was split off."""
     c = codes(spark, sf_dir).select("id", control_flow(bytecode.to_bytes(F.col("h"))).alias("c"))
     return c.select("id", *[f"c.{n}" for n in ("compact", "masked", "stripped", "prefix", "suffix", "trailer")])
+
+
+@query(
+    "featurized_shares",
+    f"""{_BASE}, {_VOCABULARY}, n AS (SELECT id, count(*) AS n FROM t GROUP BY id)
+    SELECT t.id, place - 2 AS place, round(count(*) / any_value(n.n), 9) AS share FROM t JOIN n ON n.id = t.id JOIN v USING (token) GROUP BY t.id, place""",
+)
+def featurized_shares(spark, sf_dir):
+    """The token shares among the features of each program, by their place in the view of that name."""
+    places = features.feature_views(opcodes.vocabulary())["hist"]
+    f = features.featurize(codes(spark, sf_dir), "id", "h", opcodes.vocabulary()).select("id", F.posexplode(features.view(F.col("dense"), places)).alias("place", "share"))
+    return f.where("share > 0").select("id", F.col("place").cast("long").alias("place"), F.round("share", 9).alias("share"))
+
+
+@query(
+    "downsampled_bytes",
+    f"""WITH {_CODE}, b AS (SELECT id, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(i * 2 + 1 AS INTEGER), 2) AS INTEGER)) AS b FROM code)
+    SELECT id, array_to_string(CASE WHEN len(b) <= 20 THEN b ELSE list_transform(range(20), lambda i: b[i * len(b) // 20 + 1]) END, ' ') AS few,
+      array_to_string(list_concat(b[1:48], list_transform(range(greatest(0, 48 - len(b))), lambda x: 0)), ' ') AS image FROM b""",
+)
+def downsampled_bytes(spark, sf_dir):
+    """Twenty bytes of each program at a uniform stride, and its image of four by four points."""
+    pixels = features.image(F.col("h"), 4)
+    every = F.transform(bytecode.hex_tokens(F.col("h")), lambda x: F.conv(x, 16, 10).cast("int"))
+    return codes(spark, sf_dir).select("id", F.array_join(features.downsample(every, 20), " ").alias("few"), F.array_join(pixels, " ").alias("image"))
+
+
+@query(
+    "preserved_sequences",
+    f"""WITH {_CODE}, c AS (SELECT id, h, CASE WHEN id % 3 = 0 THEN upper(h) WHEN id % 3 = 1 THEN h || '00' ELSE h END AS e FROM code)
+    SELECT count(*) AS rows, count(*) FILTER (WHERE h = lower(e)) AS preserved FROM c""",
+)
+def preserved_sequences(spark, sf_dir):
+    """How many programs keep their bytes when a third is spelt in capitals and a third gets a byte more."""
+    from quern.operators import audit
+
+    c = codes(spark, sf_dir)
+    edited = c.withColumn("h", F.when(F.col("id") % 3 == 0, F.upper("h")).when(F.col("id") % 3 == 1, F.concat("h", F.lit("00"))).otherwise(F.col("h")))
+    return audit.preserved(*[x.select("id", bytecode.hex_tokens(F.col("h")).alias("ops")) for x in (c, edited)], "id", "ops")
