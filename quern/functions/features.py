@@ -131,7 +131,7 @@ def ngram_shares(ops: list[str] | None, buckets: int = 512, k: int = 4, seed: in
 
     def number(gram: str) -> int:
         if digest == "sha256":
-            return int(hashlib.sha256(gram.encode()).hexdigest()[:15], 16)
+            return int.from_bytes(hashlib.sha256(gram.encode()).digest()[:8], "big") >> 4
         return int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8, salt=salt).digest(), "little")
 
     if not ops:

@@ -61,6 +61,28 @@ def siblings(df: DataFrame, group: str, member: str) -> DataFrame:
     return own.join(own.withColumnRenamed(member, "sibling"), group).where(F.col(member) != F.col("sibling"))
 
 
+def sibling_groups(df: DataFrame, group: str, member: str) -> DataFrame:
+    """(group, member, n_siblings): the same relation without its pairs, a row for each member; null groups have no members.
+
+    A hot group's size is summed before it is joined, and the join is on one row per group.
+    """
+    own = df.where(F.col(group).isNotNull()).select(group, member).distinct()
+    size = own.groupBy(group).agg((F.count("*") - 1).alias("n_siblings"))
+    return own.join(size, group)
+
+
+def group_matches(df: DataFrame, group: str, member: str, selector: str) -> DataFrame:
+    """(group, member, other, shared): members of one group that share selectors, member < other, with those they share.
+
+    Members meet on group and selector at once, so only pairs with something in
+    common arise, whatever the size of a group. Nulls match nothing.
+    """
+    own = df.select(group, member, selector).dropna().distinct()
+    other = own.withColumnRenamed(member, "other")
+    pairs = own.join(other, [group, selector]).where(F.col(member) < F.col("other"))
+    return pairs.groupBy(group, member, "other").agg(F.array_sort(F.collect_list(selector)).alias("shared"))
+
+
 def selector_matches(relations: DataFrame, selectors: DataFrame) -> DataFrame:
     """(target, related, shared): related contracts that share selectors with a target.
 

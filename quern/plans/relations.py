@@ -27,13 +27,30 @@ def sibling_relation(spark, sf_dir):
 )
 def selector_overlap_match(spark, sf_dir):
     """Suppliers of one nation that sell the same parts, as related contracts that share selectors."""
-    name = lambda c: F.concat(F.lit("S"), F.col(c).cast("string"))
-    sold = table(spark, sf_dir, "lineitem").select(name("l_suppkey").alias("address"), F.col("l_partkey").alias("selector")).distinct()
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    other = s.select(F.col("s_suppkey").alias("o"), "s_nationkey")
-    near = s.join(other, "s_nationkey").where("s_suppkey < o").select(name("s_suppkey").alias("target"), name("o").alias("related"))
-    out = relational.selector_matches(near, sold)
-    return out.select("target", "related", F.array_join("shared", ",").alias("shared"))
+    sold = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_partkey").distinct()
+    out = relational.group_matches(sold.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey"), "s_nationkey", "s_suppkey", "l_partkey")
+    name = lambda c: F.concat(F.lit("s"), F.col(c).cast("string"))
+    return out.select(name("s_suppkey").alias("target"), name("other").alias("related"), F.array_join("shared", ",").alias("shared"))
+
+
+@query(
+    "listed_selector_match",
+    """WITH p AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS part FROM lineitem), r AS (SELECT s_suppkey AS t, s_suppkey + k AS o FROM supplier, (SELECT unnest([1, 2, 3]) AS k))
+    SELECT 's' || t AS target, 's' || o AS related, array_to_string(list(x.part ORDER BY x.part), ',') AS shared FROM r JOIN p x ON x.s = r.t JOIN p y ON y.s = r.o AND y.part = x.part GROUP BY t, o""",
+)
+def listed_selector_match(spark, sf_dir):
+    """Suppliers with the three that follow them, as related contracts in a list, and the parts they share."""
+    name = lambda c: F.concat(F.lit("S"), c.cast("string"))
+    sold = table(spark, sf_dir, "lineitem").select(name(F.col("l_suppkey")).alias("address"), F.col("l_partkey").alias("selector"))
+    near = table(spark, sf_dir, "supplier").select(name(F.col("s_suppkey")).alias("target"), F.array(*[name(F.col("s_suppkey") + k) for k in (1, 2, 3)]).alias("related"))
+    return relational.selector_matches(near, sold).select("target", "related", F.array_join("shared", ",").alias("shared"))
+
+
+@query("sibling_counts", "SELECT o_custkey AS custkey, o_orderkey AS orderkey, count(*) OVER (PARTITION BY o_custkey) - 1 AS n_siblings FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders)")
+def sibling_counts(spark, sf_dir):
+    """Orders with how many others their customer has."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"))
+    return relational.sibling_groups(o, "custkey", "orderkey")
 
 
 @query(
