@@ -130,10 +130,8 @@ def family_edges(cls: DataFrame, threshold: float, positions: int = POSITIONS) -
     compared in blocks of bounded size, and only links leave a block.
     """
     need = -(-int(round(threshold * positions * 1000)) // 1000)
-    bands = positions - need + 1
-    edges = [positions * k // bands for k in range(bands + 1)]
-    key = [F.xxhash64(F.lit(k), F.slice("sig", edges[k] + 1, edges[k + 1] - edges[k])) for k in range(bands)]
-    rows = materialize(cls.select("rep", F.posexplode(F.array(*key)).alias("band", "key")), "bands")
+    edges = _edges(need, positions)
+    rows = materialize(_banded(cls, edges), "bands")
     linked = None
     for level in (1, 2):
         rows = _counted(rows.withColumn("comp", F.col("rep")) if linked is None else _with_component(rows, linked))
@@ -147,15 +145,31 @@ def family_edges(cls: DataFrame, threshold: float, positions: int = POSITIONS) -
         linked = linked.unionByName(_verified(_pairs(rows.where(F.col("n") <= HOT)).distinct(), cls, need))
         rows = rows.where(F.col("n") > HOT)
         if level == 1 and not rows.isEmpty():
-            place = F.array(*map(F.lit, edges))
-            own = rows.select("rep", "band", "key").join(cls, "rep")
-            rest = F.concat(F.slice("sig", F.lit(1), F.get(place, F.col("band"))), F.slice("sig", F.get(place, F.col("band") + 1) + 1, F.lit(positions)))
-            cut = lambda j: F.floor(F.size("rest") * j / bands).cast("int")
-            parts = [F.xxhash64("key", F.lit(j), F.slice("rest", cut(j) + 1, cut(j + 1) - cut(j))) for j in range(bands)]
-            rows = materialize(own.withColumn("rest", rest).select("rep", "band", F.explode(F.array(*parts)).alias("key")), "parts")
+            rows = materialize(_parts(rows.select("rep", "band", "key").join(cls, "rep"), edges), "parts")
     return linked if rows.isEmpty() else linked.unionByName(_in_blocks(rows, cls, need))
 
 
+def _edges(need: int, positions: int) -> list[int]:
+    """Ends of the bands of which two signatures that agree in ``need`` positions share one."""
+    bands = positions - need + 1
+    return [positions * k // bands for k in range(bands + 1)]
+
+
+def _banded(cls: DataFrame, edges: list[int]) -> DataFrame:
+    """(rep, band, key) of each band of each signature."""
+    key = [F.xxhash64(F.lit(k), F.slice("sig", edges[k] + 1, edges[k + 1] - edges[k])) for k in range(len(edges) - 1)]
+    return cls.select("rep", F.posexplode(F.array(*key)).alias("band", "key"))
+
+
+def _parts(rows: DataFrame, edges: list[int]) -> DataFrame:
+    """(rep, band, key) of the parts of what lies outside of each row's band: as many as there are bands."""
+    place, bands = F.array(*map(F.lit, edges)), len(edges) - 1
+    rest = F.concat(F.slice("sig", F.lit(1), F.get(place, F.col("band"))), F.slice("sig", F.get(place, F.col("band") + 1) + 1, F.lit(edges[-1])))
+    cut = lambda j: F.floor(F.size("rest") * j / bands).cast("int")
+    parts = [F.xxhash64("key", F.lit(j), F.slice("rest", cut(j) + 1, cut(j + 1) - cut(j))) for j in range(bands)]
+    return rows.withColumn("rest", rest).select("rep", "band", F.explode(F.array(*parts)).alias("key"))
+
+
 def _with_component(rows: DataFrame, edges: DataFrame) -> DataFrame:
     comp = connected_components(edges, "a", "b").select(F.col("node").alias("rep"), "component")
     return rows.join(comp, "rep", "left").select("rep", "band", "key", F.coalesce("component", "rep").alias("comp"))
@@ -246,3 +260,30 @@ def selector_family(selectors: Column) -> Column:
 def novelty(exact: Column, similarity: Column) -> Column:
     """exact_overlap, near_085, near_080 or novel."""
     return F.when(exact, "exact_overlap").when(similarity >= 0.85, "near_085").when(similarity >= 0.80, "near_080").otherwise("novel")
+
+
+def novelty_against(new: DataFrame, known: DataFrame, id_col: str, address_col: str, sig_col: str, least: float = 0.80, positions: int = POSITIONS) -> DataFrame:
+    """(id, exact, similarity, class) of new rows: whether a known row has the address, and the agreement with the most similar one.
+
+    ``similarity`` is null where no known signature agrees in ``least`` of its
+    positions, which the bands don't miss; else it is that of the most similar
+    one. Bands that many known signatures share are split on the positions left.
+    Equal signatures are compared once. Addresses are compared in lower case; a
+    null one is known to nobody.
+    """
+    need = -(-int(round(least * positions * 1000)) // 1000)
+    edges = _edges(need, positions)
+    a, b = (materialize(df.where(F.col(sig_col).isNotNull()).groupBy(F.col(sig_col).alias("sig")).agg(F.min(F.xxhash64(sig_col)).alias("rep")), "classes") for df in (new, known))
+    x, y = (materialize(_banded(c, edges), "bands") for c in (a, b))
+    busy = materialize(y.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).join(x.select("key").distinct(), "key", "left_semi").select("key"), "busy")
+    meet = lambda p, q: p.select(F.col("rep").alias("a"), "key").join(q.select(F.col("rep").alias("b"), "key"), "key").select("a", "b")
+    pairs = meet(x.join(busy, "key", "left_anti"), y.join(busy, "key", "left_anti"))
+    split = [_parts(rows.join(busy, "key", "left_semi").join(c, "rep"), edges) for rows, c in ((x, a), (y, b))]
+    pairs = materialize(pairs.unionByName(meet(*split)).distinct(), "pairs")
+    full = pairs.join(a.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(b.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+    best = full.select("a", agreement(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= need / positions).groupBy("a").agg(F.max("similarity").alias("similarity"))
+    best = a.join(best, F.col("rep") == F.col("a")).select(F.col("sig").alias("__sig"), "similarity")
+    seen = known.select(F.lower(address_col).alias("__address")).dropna().distinct().withColumn("__seen", F.lit(True))
+    out = new.select(id_col, F.lower(address_col).alias("__address"), F.col(sig_col).alias("__sig")).join(best, "__sig", "left").join(seen, "__address", "left")
+    out = out.select(id_col, F.coalesce("__seen", F.lit(False)).alias("exact"), "similarity")
+    return out.withColumn("class", novelty(F.col("exact"), F.col("similarity")))

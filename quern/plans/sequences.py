@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import bytecode, features
 from quern.operators import audit, relational, similarity
+from quern.plans.materialize import materialize
 from quern.plans.registry import query, table
 
 #: Words of a text as the sequence queries take them; DuckDB splits alike.
@@ -218,3 +219,11 @@ def tfidf_vectors(spark, sf_dir):
     terms = features.tfidf_terms(docs.where("doc_id % 5 <> 0"), "doc_id", F.col("ops"))
     v = features.tfidf_vectors(docs, terms, "doc_id", F.col("ops")).select("doc_id", F.explode("terms").alias("t"))
     return v.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("t.weight"), 7).alias("total"), F.round(F.max("t.weight"), 7).alias("heaviest"))
+
+
+@query("novelty_of_documents")
+def novelty_of_documents(spark, sf_dir):
+    """How new each text of a quarter of the sources is against those of the others: same text, similar signature, or novel."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("address"), (F.crc32(F.col("source").cast("binary")) % 4 == 0).alias("new"), words().alias("ops"))
+    sig = materialize(similarity.token_signature(docs, "doc_id", F.col("ops")).join(docs.drop("ops"), "doc_id"), "signatures")
+    return similarity.novelty_against(sig.where("new"), sig.where("not coalesce(new, false)"), "doc_id", "address", "sig")

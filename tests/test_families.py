@@ -112,3 +112,21 @@ def test_signatures_are_salted_minima_of_blake2b(spark, monkeypatch):
         h = [hashed(g.encode(), 0) for g in own]
         want = [min(x ^ hashed(p.to_bytes(4, "little"), 1) for x in h) for p in range(128)]
         assert [x % 2**64 for x in got[i]] == want
+
+
+@pytest.mark.parametrize("kind", ["template", "band", "plain"])
+def test_novelty_against_all_known_rows(spark, kind, monkeypatch):
+    monkeypatch.setattr(similarity, "HOT", 6)
+    rows = made(kind, 160, 9)
+    address = lambda i: None if i % 9 == 0 else f"0x{'A' if i % 2 else 'a'}{i % 40}"
+    new, known = [r for r in rows if r[0] % 4 == 0], [r for r in rows if r[0] % 4]
+    df = lambda part: spark.createDataFrame([(i, address(i), s) for i, s in part] + [(-1 if part is new else -2, None, None)], "id long, address string, sig array<long>")
+    got = {r.id: r for r in similarity.novelty_against(df(new), df(known), "id", "address", "sig").collect()}
+    assert set(got) == {i for i, _ in new} | {-1} and got[-1]["class"] == "novel"
+    held, sig = {address(i).lower() for i, _ in known if address(i)}, np.array([s for _, s in known])
+    for i, s in new:
+        top = (sig == np.array(s)).sum(1).max() / 128
+        assert got[i].exact == (address(i) is not None and address(i).lower() in held)
+        assert got[i].similarity == (top if top * 128 >= 103 else None)
+        want = "exact_overlap" if got[i].exact else "near_085" if top >= 0.85 else "near_080" if top * 128 >= 103 else "novel"
+        assert got[i]["class"] == want
