@@ -58,6 +58,9 @@ def contamination(df: DataFrame, reference: DataFrame, family: str) -> DataFrame
 
 
 def preserved(before: DataFrame, after: DataFrame, key: str, tokens: str) -> DataFrame:
-    """Rows whose token sequence an edit left as it was."""
-    j = before.select(key, F.col(tokens).alias("x")).join(after.select(key, F.col(tokens).alias("y")), key)
+    """Rows whose token sequence an edit left as it was.
+
+    Sequences are longer than the file they are made from tells, so they are never broadcast.
+    """
+    j = before.select(key, F.col(tokens).alias("x")).join(after.select(key, F.col(tokens).alias("y")).hint("merge"), key)
     return j.agg(F.count("*").alias("rows"), F.count_if(F.col("x") == F.col("y")).alias("preserved"))

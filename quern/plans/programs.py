@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quern.functions import bytecode, features, opcodes
 from quern.functions.cfg import control_flow
 from quern.operators import programs, similarity
-from quern.plans.registry import query, table
+from quern.plans.registry import dealt, query, table
 
 _PIECES = ("00", "01", "5b", "6004", "56", "57", "6010", "35", "600c", "f3", "63a9059cbb", "5f", "6110aa", "f1", "fe", "0c")
 _LIST = "[" + ", ".join(f"'{p}'" for p in _PIECES) + "]"
@@ -35,8 +35,8 @@ _ENDS = "('STOP', 'RETURN', 'REVERT', 'INVALID', 'SELFDESTRUCT', 'JUMP', 'JUMPI'
 
 
 def codes(spark, sf_dir):
-    """(id, h): the program of each part."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.sha2(F.concat("p_name", F.col("p_partkey").cast("string")), 256).alias("s"))
+    """(id, h): the program of each part. A part is a few bytes and its program many, so parts are dealt out first."""
+    part = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey").select(F.col("p_partkey").alias("id"), F.sha2(F.concat("p_name", F.col("p_partkey").cast("string")), 256).alias("s"))
     pieces = F.array(*map(F.lit, _PIECES))
     spelt = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(24)), lambda i: F.get(pieces, F.conv(F.substring("s", i, F.lit(1)), 16, 10).cast("int"))), "")
     read = F.when(F.col("id") % 7 == 0, "38").otherwise("")
