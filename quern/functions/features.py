@@ -235,22 +235,26 @@ def featurize(programs: DataFrame, id_col: str, code_col: str, vocabulary: tuple
     own = programs.select(id_col, hexes.alias("h")).withColumn("d", bytecode.disassemble(bytecode.to_bytes(F.col("h"))))
     own = own.select(id_col, "h", F.col("d.ops").alias("ops"), F.col("d.push_sizes").alias("p"), F.col("d.selectors").alias("s"))
     place = {v: k for k, v in enumerate(vocabulary)}
-
-    def shares(ops: list[str] | None) -> list[tuple]:
-        v = [0.0] * len(vocabulary)
-        for op, n in Counter(ops or ()).items():
-            if op in place:
-                v[place[op]] = n / len(ops)
-        g = [0.0] * buckets
-        if ops:
-            for b, x in ngram_shares(ops, buckets):
-                g[b] = x
-        return [(v, g)]
-
-    vectors = _rows_of(own, id_col, "ops", "hist [double], ngram [double]", shares)
     flat = structural(F.col("ops"), F.col("p"), F.col("s"), bytecode.code_bytes(F.col("h")), bytecode.is_pointer(F.col("h")), sensitive)
-    rest = own.select(id_col, flat.alias("t")).select(id_col, F.array(*[F.col(f"t.{n}") for n in STRUCTURAL]).alias("struct"))
-    return vectors.join(rest, id_col).select(id_col, F.concat("hist", "struct").alias("dense"), "ngram")
+    rows = own.select(id_col, "ops", flat.alias("t")).select(id_col, "ops", F.array(*[F.col(f"t.{n}") for n in STRUCTURAL]).alias("struct"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):
+                batch = whole.slice(first, 1000)
+                n = batch.num_rows
+                dense, grams = np.zeros((n, len(vocabulary) + len(STRUCTURAL))), np.zeros((n, buckets))
+                dense[:, len(vocabulary) :] = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+                for k, ops in enumerate(batch.column(1).to_pylist()):
+                    for op, many in Counter(ops).items():
+                        if op in place:
+                            dense[k, place[op]] = many / len(ops)
+                    for b, x in ngram_shares(ops, buckets) if ops else ():
+                        grams[k, b] = x
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())) for x in (dense, grams)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *lists], [id_col, "dense", "ngram"])
+
+    return rows.mapInArrow(of, T.StructType([programs.schema[id_col], *struct("dense [double], ngram [double]").fields]))
 
 
 def feature_views(vocabulary: tuple[str, ...]) -> dict[str, list[int]]:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quern.functions import features, opcodes
 from quern.operators import audit
 from quern.plans import programs
 
@@ -19,3 +20,11 @@ def test_sequences_are_not_broadcast(spark):
     out = audit.preserved(rows, rows.withColumn("ops", F.when(F.col("id") == 2, F.array(F.lit("d"))).otherwise(F.col("ops"))), "id", "ops")
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in out.collect()] == [(3, 1)]
+
+
+def test_each_program_is_featurized_once(spark):
+    rows = spark.createDataFrame([(1, "6001"), (1, "5b00"), (None, "00"), (2, "")], "id long, h string")
+    out = features.featurize(rows, "id", "h", opcodes.vocabulary()).collect()
+    assert sorted((r.id or 0) for r in out) == [0, 1, 1, 2]
+    empty = next(r for r in out if r.id == 2)
+    assert not any(empty.dense) and not any(empty.ngram)
