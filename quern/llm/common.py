@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.batches import bounded_batches as bounded_batches
+
 #: Ids that may be sent to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Rows of one key that a join gives to one task, and keys at most that are dealt over several.
@@ -22,13 +24,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes where the session sets no bound itself."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(16 << 20))
-
-
 def unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

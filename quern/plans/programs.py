@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import bytecode, features, opcodes
-from quern.functions.cfg import control_flow
+from quern.functions.cfg import control_flow, control_flow_counts
 from quern.operators import programs, similarity
 from quern.plans.registry import dealt, query, table
 
@@ -138,7 +138,7 @@ _FLOW = f"""WITH RECURSIVE {_CODE}, {_OPS},
 )
 def program_reachability(spark, sf_dir):
     """Blocks, reachable blocks and what may be removed of each program."""
-    c = codes(spark, sf_dir).select("id", control_flow(bytecode.to_bytes(F.col("h"))).alias("c"))
+    c = codes(spark, sf_dir).select("id", control_flow_counts(bytecode.to_bytes(F.col("h"))).alias("c"))
     return c.select("id", "c.blocks", "c.reachable_blocks", "c.unresolved_jumps", "c.introspects", "c.executable_bytes", "c.removed_bytes")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import bytecode, features
+from quern.functions.batches import bounded_batches
 from quern.operators import audit, relational, similarity
 from quern.plans.materialize import materialize
 from quern.plans.registry import query, table
@@ -127,9 +128,10 @@ def instruction_counts(spark, sf_dir):
 @query("control_flow_profile")
 def control_flow_profile(spark, sf_dir):
     """Blocks and reachability of each page's bytes read as a program."""
-    from quern.functions.cfg import control_flow
+    from quern.functions.cfg import control_flow_counts
 
-    pages = table(spark, sf_dir, "pages").select("page_id", control_flow(F.encode("html", "UTF-8")).alias("c"))
+    bounded_batches(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", control_flow_counts(F.encode("html", "UTF-8")).alias("c"))
     return pages.select("page_id", "c.blocks", "c.reachable_blocks", "c.unresolved_jumps", "c.executable_bytes", "c.removed_bytes")
 
 

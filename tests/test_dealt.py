@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quern.functions import features, opcodes
+from quern.functions import cfg, features, opcodes
 from quern.operators import audit
 from quern.plans import programs
 
@@ -28,3 +28,10 @@ def test_each_program_is_featurized_once(spark):
     assert sorted((r.id or 0) for r in out) == [0, 1, 1, 2]
     empty = next(r for r in out if r.id == 2)
     assert not any(empty.dense) and not any(empty.ngram)
+
+
+def test_counts_of_the_control_flow_carry_no_texts(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"\x60\x03\x56\x5b\x00")), (2, None), (3, bytearray(b"\x00\x5b\x38\x01"))], "id long, c binary")
+    both = rows.select(cfg.control_flow("c").alias("a"), cfg.control_flow_counts("c").alias("b"))
+    assert set(both.schema["b"].dataType.names).isdisjoint({"compact", "masked", "stripped", "prefix", "suffix", "trailer"})
+    assert all(r.a[n] == r.b[n] for r in both.collect() for n in cfg.COUNTS)
