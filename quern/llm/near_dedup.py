@@ -9,9 +9,10 @@ a table key with probability (1 - (1 - s**rows)**tables)**2.
 
 Large buckets never become all pairs: sets are first collapsed by equality,
 every member of a bucket is verified against the bucket's smallest member, and
-only members outside a bucket's main component meet the others in a second
-round. There a sketch of 2048 bits, one per random hyperplane, rules out most
-pairs before their texts are fetched.
+only buckets that then hold several components are looked at again. Their
+members meet where they share a shingle of their prefixes: in one order of all
+shingles, two similar sets share one among the first of each. Shingles that many
+components have come last, so sets that only have a common passage don't meet.
 """
 
 from __future__ import annotations
@@ -27,48 +28,64 @@ from quern.llm.common import as_bytes, bounded_batches, chunks, mix, shingle_has
 from quern.operators.graph import connected_components
 from quern.plans.materialize import materialize
 
-#: Members outside a bucket's main component above which its key is joined with a further one;
-#: None never does. A pair then has to share two such keys.
-WIDE_BUCKET = 512
 #: Partial keys that a pair must share before its texts are compared; 1 compares all. Of 16 with
 #: two rows each, a pair of similarity 0.8 shares ten on average, and fewer than
 #: four once in 10,000 times.
 SHARED_KEYS = 4
-#: Bits of a sketch that may differ; None doesn't look at sketches. Sets of similarity 0.8 differ in
-#: 15 of 100 bits; 375 of 2048 is four standard errors more.
-MOST_BITS = 375
-#: Sketch words of 64 bits; set size from which sketches count.
-SKETCH_WORDS, SKETCHED_SIZE = 32, 64
+#: One of so many sets is sampled for shingles that several components have, and how many of them come
+#: last. Only the order of shingles depends on it, not which pairs are found.
+SAMPLED, COMMON = 16, 100_000
 
 
 def _salts(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def sketch(u: np.ndarray) -> np.ndarray:
-    """The majority of each hash bit over the set's members."""
-    out = np.zeros(SKETCH_WORDS, np.int64)
-    for k in range(SKETCH_WORDS):
-        h = mix(u + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF))
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(h), 255):  # sums of 255 bits fit a byte
-            ones += np.add.reduce(np.unpackbits(h[i : i + 255].view(np.uint8).reshape(-1, 8), axis=1), 0, np.uint8)
-        out[k] = np.packbits(2 * ones > len(h)).view(np.int64)[0]
-    return out
-
-
 def _lists(rows: np.ndarray) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.int64()))
 
 
-def _sketches(width: int):
+def _shingles(width: int):
+    """(g, component) of each distinct shingle of the sets."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((batch.num_rows, SKETCH_WORDS), np.int64)
+            component = batch.column(2).to_numpy()
             for k, s in shingle_sets(as_bytes(batch.column(1)), width):
-                if len(s) >= SKETCHED_SIZE:
-                    out[k] = sketch(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(out)], ["rep", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), component[k]))], ["g", "component"])
+        trim()
+
+    return of
+
+
+def prefix(s: np.ndarray, percent: int, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, of which any set as similar as ``percent`` hundredths holds one among its own.
+
+    The order is by how ``often`` the sorted ``common`` shingles occur, others first, and by value.
+    """
+    rank = np.zeros(len(s), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        rank = np.where(common[at] == s, often[at], 0)
+    return s[np.lexsort((s, rank))[: len(s) - -(-percent * len(s) // 100) + 1]]
+
+
+def _prefixes(width: int, percent: int, common: np.ndarray, often: np.ndarray):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in chunks(texts := as_bytes(batch.column(1))):
+                own, reps, n = [], [], []
+                for k, s in shingle_sets(texts[i:j], width):
+                    first = prefix(s, percent, common, often)
+                    own.append(first)
+                    reps.append(i + k)
+                    n.append(len(s))
+                size = np.array([len(x) for x in own], np.int64)
+                place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                which = np.repeat(np.array(reps, np.int64), size)
+                columns = [pa.array(np.concatenate(own).view(np.int64)), batch.column(0).take(pa.array(which)), batch.column(2).take(pa.array(which)), pa.array(np.repeat(np.array(n, np.int64), size)), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(columns, ["g", "rep", "component", "n", "at"])
+        trim()
 
     return of
 
@@ -174,16 +191,17 @@ def _similar_size(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, tables: int = 8, rows: int = 2, wide_bucket: int | None = WIDE_BUCKET, shared_keys: int = SHARED_KEYS, most_bits: int | None = MOST_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 80, tables: int = 8, rows: int = 2, wide_bucket: int | None = None, shared_keys: int = SHARED_KEYS, most_bits: int | None = None) -> DataFrame:
     """Component of near duplicates of each row: (id, n_shingles, component_id, kept).
 
     Rows are linked when the Jaccard similarity of their sets of distinct
     ``width``-word shingles is at least ``percent`` hundredths, confirmed on
     the full sets. Words are runs without ASCII white space, A-Z lowered.
     component_id is the smallest id reachable; kept marks the row that has it.
-    ``wide_bucket``, ``shared_keys`` and ``most_bits`` spare comparisons that
-    can hardly succeed; with None, 1 and None every pair that shares a table
-    key is compared, unless it is linked already.
+    ``shared_keys`` spares comparisons of a bucket's members with its smallest
+    that can hardly succeed; with 1 none is spared. All other pairs that share a
+    table key, are not linked already and can be similar are compared.
+    ``wide_bucket`` and ``most_bits`` are accepted and spare nothing any more.
 
     Null or empty texts and texts without a word have no shingles, are linked
     with nothing and are kept. A row with null id keeps a null component unless
@@ -206,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = materialize(_plausible(near, classes, shared_keys), "pairs")
     links = materialize(_verified(tried, texts, width, percent), "links")
     comp = connected_components(links)
-    rest = _cross_pairs(table, classes, comp, texts, width, percent, tables, wide_bucket, most_bits).join(tried, ["src", "dst"], "left_anti")
+    rest = _cross_pairs(table, classes, comp, texts, width, percent, tables).join(tried, ["src", "dst"], "left_anti")
     rest = materialize(rest, "pairs")
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, texts, width, percent))
@@ -218,16 +236,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def _alike(most_bits: int | None):
-    """Whether the sketches b1 and b2 allow the similarity, or a set is too small to have one."""
-    if most_bits is None:
-        return F.lit(True)
-    differ = F.lit(0)
-    for k in range(SKETCH_WORDS):
-        differ = differ + F.bit_count(F.col("b1")[k].bitwiseXOR(F.col("b2")[k]))
-    return (F.least("n1", "n2") < SKETCHED_SIZE) | (differ <= most_bits)
-
-
 def _plausible(pairs: DataFrame, classes: DataFrame, shared_keys: int) -> DataFrame:
     """Pairs that share partial keys enough."""
     dst = classes.select(F.col("rep").alias("dst"), F.col("keys").alias("k2"))
@@ -236,49 +244,35 @@ def _plausible(pairs: DataFrame, classes: DataFrame, shared_keys: int) -> DataFr
     return out.where(F.size(F.array_intersect("k1", "k2")) >= shared_keys).select("src", "dst")
 
 
-def _cross_pairs(table: DataFrame, classes: DataFrame, comp: DataFrame, texts: DataFrame, width: int, percent: int, tables: int, wide_bucket: int | None, most_bits: int | None) -> DataFrame:
-    """Pairs of sets that share a table key but no component yet.
+def _cross_pairs(table: DataFrame, classes: DataFrame, comp: DataFrame, texts: DataFrame, width: int, percent: int, tables: int) -> DataFrame:
+    """Pairs of sets that share a table key but no component yet and can be similar.
 
-    In each bucket the members outside its main component meet all others.
-    Where they are more than ``wide_bucket``, the key is first joined with the
-    other such keys of the same set: a linked pair shares many keys, sets that
-    only share a passage share few. Sketches are compared inside the join, so
-    only plausible pairs leave it, and a pair leaves only the first of the
-    buckets that it shares.
+    They are sought among the members of buckets with several components: by
+    the shingles that their prefixes share, then by the most that their sets can
+    share after those, and by their keys.
     """
-    member = table.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = materialize(_mixed(member), "members")
-    need = _texts_of(mixed.select(F.col("rep").alias("id")).distinct(), texts)
-    known = need.mapInArrow(_sketches(width), "rep long, bits array<long>").join(classes.select("rep", "n", "keys"), "rep")
-    is_wide = F.lit(False) if wide_bucket is None else F.col("others") > wide_bucket
-    wide = mixed.where(is_wide)
-    spread = wide.select("rep").distinct().withColumn("wide", F.lit(True))
-    known = materialize(known.join(spread, "rep", "left"), "sketches")
-    other = wide.select("rep", F.col("key").alias("other"))
-    split = wide.join(other, "rep").where("key < other").select(F.xxhash64("key", "other").alias("key"), "rep", "component")
-    first = F.xxhash64(F.array_intersect(F.slice("k1", 1, tables), F.slice("k2", 1, tables))[0], F.array_intersect(F.slice("k1", tables + 1, tables), F.slice("k2", tables + 1, tables))[0])
-    # the first bucket of a set that is in a wide one may be split, so any counts
-    once = F.coalesce("wide", F.lit(False)) | (F.col("key1") == first)
-    narrow = _meet(mixed.where(~is_wide), known, percent, once, most_bits)
-    return narrow.unionByName(_meet(_mixed(split), known, percent, F.lit(True), most_bits)).distinct()
-
-
-def _meet(member: DataFrame, known: DataFrame, percent: int, once, most_bits: int | None) -> DataFrame:
-    """Pairs of members of a bucket in different components, one of them outside the main one."""
-    full = member.join(known, "rep")
-    a = full.where("component != main").select(F.col("key").alias("key1"), F.col("rep").alias("src"), F.col("n").alias("n1"), F.col("component").alias("c1"), F.col("bits").alias("b1"), F.col("keys").alias("k1"), "wide")
-    b = full.select("key", F.col("rep").alias("dst"), F.col("n").alias("n2"), F.col("component").alias("c2"), "main", F.col("bits").alias("b2"), F.col("keys").alias("k2"))
-    order = (F.col("c2") == F.col("main")) | (F.col("src") < F.col("dst"))
-    on = (F.col("key1") == F.col("key")) & (F.col("c1") != F.col("c2")) & order & _similar_size("n1", "n2", percent) & _alike(most_bits) & once
-    return a.join(b, on).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-
-
-def _mixed(member: DataFrame) -> DataFrame:
-    """Members of buckets with several components: with the largest and how many are outside it."""
-    part = member.groupBy("key", "component").agg(F.count("*").alias("c"))
-    size = part.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"))
-    size = size.where("all > top.c").select("key", F.col("top.component").alias("main"), (F.col("all") - F.col("top.c")).alias("others"))
-    return member.select("key", "rep", "component").join(size, "key")
+    member = table.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
+    ids = materialize(member.join(mixed, "key", "left_semi").select("rep", "component").distinct(), "members")
+    need = _texts_of(ids.select(F.col("rep").alias("id")), texts).join(ids.withColumnRenamed("rep", "id"), "id").select("id", "text", "component")
+    need = materialize(need, "texts")
+    some = need.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).mapInArrow(_shingles(width), "g long, component long")
+    top = some.groupBy("g").agg(F.count_distinct("component").alias("c")).where("c > 1").orderBy(F.desc("c"), "g").limit(COMMON).toArrow()  # COMMON rows at most
+    g, c = (top.column(k).to_numpy() for k in ("g", "c"))
+    order = np.argsort(g.view(np.uint64))
+    first = need.mapInArrow(_prefixes(width, percent, g.view(np.uint64)[order], c[order]), "g long, rep long, component long, n long, at long")
+    first = materialize(first, "prefixes")
+    # a shingle of one component joins nothing
+    several = first.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("g")
+    first = materialize(first.join(several, "g", "left_semi"), "prefixes")
+    side = lambda k: first.select("g", *[F.col(x).alias(f"{x}{k}") for x in ("rep", "component", "n", "at")])
+    met = side(1).join(side(2), "g").where((F.col("rep1") < F.col("rep2")) & (F.col("component1") != F.col("component2")) & _similar_size("n1", "n2", percent))
+    met = met.groupBy(F.col("rep1").alias("src"), F.col("rep2").alias("dst"), "n1", "n2").agg(F.count("*").alias("c"), F.max("at1").alias("at1"), F.max("at2").alias("at2"))
+    most = F.col("c") + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) - 1
+    met = materialize(met.where(most * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent).select("src", "dst"), "met")
+    keys = lambda name, k: classes.select(F.col("rep").alias(name), F.slice("keys", 1, tables).alias(f"a{k}"), F.slice("keys", tables + 1, tables).alias(f"b{k}"))
+    full = met.join(keys("src", 1), "src").join(keys("dst", 2), "dst")
+    return full.where(F.arrays_overlap("a1", "a2") & F.arrays_overlap("b1", "b2")).select("src", "dst")
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
