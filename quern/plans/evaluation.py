@@ -169,7 +169,8 @@ def learned_scores(spark, sf_dir):
     from quern.operators import models
 
     s = scored(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.size(F.split("text", " ")).alias("n_words"), F.size(F.split("text", "\n")).alias("n_lines")), "doc_id")
-    s = s.drop("score").join(evaluate.group_folds(s, "source", 3), "source")
+    # each fit and each threshold reads the rows again, so texts are split once before
+    s = materialize(s.drop("score").join(evaluate.group_folds(s, "source", 3), "source"), "shapes")
     columns = ["n_chars", "n_words", "n_lines"]
     out = evaluate.leave_family_out(s, lambda t: models.fit(t, columns), models.score, 3)
     return out.select("doc_id", "turn", "score", "threshold", "pred")
