@@ -70,3 +70,22 @@ def test_missing_headers_long_cells_and_no_rows(spark, tmp_path):
         excel.read_excel(spark, f"{path}/*.xlsx", {"b": ()}).collect()
     with pytest.raises(Exception, match="characters at most"):
         excel.write_excel(spark.createDataFrame([("x" * 40_000,)], "a string"), f"{path}2").collect()
+
+
+def test_rows_read_leave_nothing_behind():
+    """A sheet is read as a stream: no element of a row that was given stays in its tree."""
+    import io
+    import tracemalloc
+
+    from quern.sources import excel
+
+    stream = io.BytesIO()
+    book = excel._Workbook(stream, ["a"], "S")
+    for k in range(40_000):
+        book.add([k])
+    book.close()
+    tracemalloc.start()
+    n = sum(1 for _ in excel.sheet_rows(stream.getvalue()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 40_001 and peak < 2_000_000, peak
