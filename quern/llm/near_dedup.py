@@ -244,6 +244,30 @@ def _plausible(pairs: DataFrame, classes: DataFrame, shared_keys: int) -> DataFr
     return out.where(F.size(F.array_intersect("k1", "k2")) >= shared_keys).select("src", "dst")
 
 
+def _reaches(n: str, at: str, other: str, percent: int):
+    """Whether a set with its first shared shingle at ``at`` has enough left for one of the ``other`` size."""
+    return (F.col(n) - F.col(at)) * (100 + percent) >= (F.col(n) + F.col(other)) * percent
+
+
+def _meetings(first: DataFrame, percent: int) -> DataFrame:
+    """(rep1, rep2, n, rest) for each shingle that prefixes of two components share early enough.
+
+    ``n`` is the sum of both sizes, ``rest`` how many shingles they can share from that one on. The first shingle
+    that two similar sets share lies so early in both that what is left suffices, so edited
+    copies of one text don't meet by the text's own shingles, which come after their rare ones.
+    """
+    # a shingle of one component joins nothing, nor does one after which the smallest set asks for too much
+    known = first.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least")).where("x != y")
+    rows = first.join(known.drop("y"), "g").where(_reaches("n", "at", "least", percent))
+    rows = materialize(rows.select("g", "rep", "component", "n", "at", (F.col("component") != F.col("x")).alias("apart")), "prefixes")
+    # members of a shingle's first component don't meet each other
+    side = lambda k: rows.select("g", *[F.col(x).alias(f"{x}{k}") for x in ("rep", "component", "n", "at", "apart")])
+    once = F.col("apart1") & (~F.col("apart2") | (F.col("rep1") < F.col("rep2")))
+    fits = _reaches("n1", "at1", "n2", percent) & _reaches("n2", "at2", "n1", percent)
+    met = side(1).where("apart1").join(side(2), "g").where(once & (F.col("component1") != F.col("component2")) & _similar_size("n1", "n2", percent) & fits)
+    return met.select("rep1", "rep2", (F.col("n1") + F.col("n2")).alias("n"), F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")).alias("rest"))
+
+
 def _cross_pairs(table: DataFrame, classes: DataFrame, comp: DataFrame, texts: DataFrame, width: int, percent: int, tables: int) -> DataFrame:
     """Pairs of sets that share a table key but no component yet and can be similar.
 
@@ -262,14 +286,8 @@ def _cross_pairs(table: DataFrame, classes: DataFrame, comp: DataFrame, texts: D
     order = np.argsort(g.view(np.uint64))
     first = need.mapInArrow(_prefixes(width, percent, g.view(np.uint64)[order], c[order]), "g long, rep long, component long, n long, at long")
     first = materialize(first, "prefixes")
-    # a shingle of one component joins nothing
-    several = first.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("g")
-    first = materialize(first.join(several, "g", "left_semi"), "prefixes")
-    side = lambda k: first.select("g", *[F.col(x).alias(f"{x}{k}") for x in ("rep", "component", "n", "at")])
-    met = side(1).join(side(2), "g").where((F.col("rep1") < F.col("rep2")) & (F.col("component1") != F.col("component2")) & _similar_size("n1", "n2", percent))
-    met = met.groupBy(F.col("rep1").alias("src"), F.col("rep2").alias("dst"), "n1", "n2").agg(F.count("*").alias("c"), F.max("at1").alias("at1"), F.max("at2").alias("at2"))
-    most = F.col("c") + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) - 1
-    met = materialize(met.where(most * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent).select("src", "dst"), "met")
+    met = _meetings(first, percent).groupBy(F.least("rep1", "rep2").alias("src"), F.greatest("rep1", "rep2").alias("dst"), "n").agg(F.count("*").alias("c"), F.min("rest").alias("rest"))
+    met = materialize(met.where((F.col("c") + F.col("rest") - 1) * (100 + percent) >= F.col("n") * percent).select("src", "dst"), "met")
     keys = lambda name, k: classes.select(F.col("rep").alias(name), F.slice("keys", 1, tables).alias(f"a{k}"), F.slice("keys", tables + 1, tables).alias(f"b{k}"))
     full = met.join(keys("src", 1), "src").join(keys("dst", 2), "dst")
     return full.where(F.arrays_overlap("a1", "a2") & F.arrays_overlap("b1", "b2")).select("src", "dst")

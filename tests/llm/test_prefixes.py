@@ -37,3 +37,12 @@ def test_similar_sets_share_a_prefix():
             often = rng.integers(2, 9, len(common))
             if 100 * both >= 80 * (len(a) + len(b) - both):
                 assert len(np.intersect1d(near_dedup.prefix(a, 80, common, often), near_dedup.prefix(b, 80, common, often)))
+
+
+def test_edited_copies_of_one_text_do_not_meet_by_its_shingles(spark):
+    """Sets of 100 shingles of which 30 are their own and come first: the 70 common ones are no reason to compare; 95 are."""
+    own = lambda g, rep, at: (g, rep, rep, 100, at)
+    rows = [own(g, rep, 18 + g) for rep in range(200) for g in range(3)]
+    rows += [own(9, rep, 5) for rep in (300, 301)]
+    first = spark.createDataFrame(rows, "g long, rep long, component long, n long, at long")
+    assert [(r.rep1, r.rep2, r.n, r.rest) for r in near_dedup._meetings(first, 80).collect()] == [(301, 300, 200, 95)]
