@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quern.functions.batches import bounded_batches
 from quern.functions.hashing import selector
 from quern.operators.ranges import ranked
 from quern.plans.materialize import materialize
@@ -231,6 +232,7 @@ def featurize(programs: DataFrame, id_col: str, code_col: str, vocabulary: tuple
     """
     from quern.functions import bytecode
 
+    bounded_batches(programs.sparkSession)
     hexes = bytecode.normalize(F.col(code_col))
     own = programs.select(id_col, hexes.alias("h")).withColumn("d", bytecode.disassemble(bytecode.to_bytes(F.col("h"))))
     own = own.select(id_col, "h", F.col("d.ops").alias("ops"), F.col("d.push_sizes").alias("p"), F.col("d.selectors").alias("s"))
@@ -245,7 +247,8 @@ def featurize(programs: DataFrame, id_col: str, code_col: str, vocabulary: tuple
                 n = batch.num_rows
                 dense, grams = np.zeros((n, len(vocabulary) + len(STRUCTURAL))), np.zeros((n, buckets))
                 dense[:, len(vocabulary) :] = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-                for k, ops in enumerate(batch.column(1).to_pylist()):
+                for k, row in enumerate(batch.column(1)):  # one program's tokens as Python objects at a time
+                    ops = row.as_py()
                     for op, many in Counter(ops).items():
                         if op in place:
                             dense[k, place[op]] = many / len(ops)
@@ -364,44 +367,156 @@ def interleaved(instr: DataFrame, id_col: str, pos_col: str, op_col: str, operan
     return instr.groupBy(id_col).agg(flat.alias("t")).select(id_col, F.concat(cut, F.array_repeat(F.lit("<PAD>"), F.lit(length) - F.size(cut))).alias("tokens"))
 
 
-def gram_counts(df: DataFrame, id_col: str, tokens: Column, most: int = 4) -> DataFrame:
-    """(id, gram, n): how often a row has each 1- to ``most``-gram of its tokens; null and empty sequences have none."""
+#: Tokens whose grams a task holds at once (a longer row alone), and buckets in which occurrences are counted first.
+TOKENS_AT_ONCE, BUCKETS = 1 << 18, 1 << 22
+_PIECES = 64
+_FACTOR = np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def _word_hash(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little")
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(33))
+
+
+def _gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k-grams of a sequence of words' hashes."""
+    with np.errstate(over="ignore"):
+        out = np.zeros(max(len(words) - k + 1, 0), np.uint64)
+        for j in range(k):
+            out = out * _FACTOR + words[j : len(words) - k + 1 + j]
+        return _mixed(out)
+
+
+def _token_chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str], np.ndarray]]:
+    """First row, tokens of each row, their codes, different tokens and these tokens' hashes, for some rows at a time."""
+    size = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, i = np.cumsum(size), 0
+    while i < len(size):
+        j = max(int(np.searchsorted(total, (total[i - 1] if i else 0) + TOKENS_AT_ONCE, "right")), i + 1)
+        coded = batch.column(1).slice(i, j - i).flatten().dictionary_encode()
+        tokens = coded.dictionary.to_pylist()
+        yield i, size[i:j], coded.indices.to_numpy(), tokens, np.fromiter(map(_word_hash, tokens), np.uint64, len(tokens))
+        i = j
+
+
+def _grams(size: np.ndarray, words: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """k, start and hash of each gram that lies within a row, for k from 1 to ``most``."""
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(words))
+    for k in range(1, most + 1):
+        at = np.flatnonzero(left >= k)
+        yield k, at, _gram_hashes(words, k)[at]
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _occurrences(rows: DataFrame, most: int) -> np.ndarray:
+    """How many grams fall into each bucket, which bounds how often each of them occurs; one vector of fixed size."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for _, size, codes, _, hashes in _token_chunks(batch):
+                for _, _, h in _grams(size, hashes[codes], most):
+                    np.add.at(n, _bucket(h), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(_PIECES), pa.int32()), pa.array([x.tobytes() for x in np.split(n, _PIECES)], pa.binary())], ["piece", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            at, grams, n = [], [], []
+            for piece, n in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total[piece] = total.get(piece, 0) + np.frombuffer(n.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["piece", "n"])
 
-            def out() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(grams, pa.string()), pa.array(n, pa.int64())], [id_col, "gram", "n"])
+    ddl = "piece int, n binary"
+    out = np.zeros((_PIECES, BUCKETS // _PIECES), np.int64)
+    for r in rows.mapInArrow(of, ddl).repartition("piece").mapInArrow(add, ddl).collect():  # a row per piece
+        out[r.piece] = np.frombuffer(r.n, np.int64)
+    return out.ravel()
 
-            for i in range(batch.num_rows):
-                own = batch.column(1)[i].as_py() or []
-                count = Counter(g for k in range(1, most + 1) for g in map(" ".join, zip(*(own[j:] for j in range(k)))))
-                at += [i] * len(count)
-                grams += count.keys()
-                n += count.values()
-                if len(at) > 100_000:  # a batch of long rows leaves in pieces
-                    yield out()
-                    at, grams, n = [], [], []
-            yield out()
 
-    return df.select(id_col, tokens.alias("__tokens")).mapInArrow(of, T.StructType([df.schema[id_col], T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())]))
+def _counted_grams(rows: DataFrame, most: int, wanted: np.ndarray) -> DataFrame:
+    """(gram, df, n): rows with and occurrences of each gram whose bucket is wanted."""
+    bits = np.packbits(wanted)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.unpackbits(bits).astype(bool)
+        for batch in batches:
+            for _, size, codes, tokens, hashes in _token_chunks(batch):
+                row = np.repeat(np.arange(len(size)), size)
+                grams, df, n = [], [], []
+                for k, at, h in _grams(size, hashes[codes], most):
+                    some = keep[_bucket(h)]
+                    at, h = at[some], h[some]
+                    own, first, which = np.unique(h, return_index=True, return_inverse=True)
+                    pair = np.unique(which * len(size) + row[at]) // max(len(size), 1)
+                    grams += [" ".join(tokens[c] for c in codes[i : i + k]) for i in at[first].tolist()]
+                    df.append(np.bincount(pair, minlength=len(own)))
+                    n.append(np.bincount(which, minlength=len(own)))
+                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(np.concatenate(df)), pa.array(np.concatenate(n))], ["gram", "df", "n"])
+
+    return rows.mapInArrow(of, "gram string, df long, n long").groupBy("gram").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
 
 
 def tfidf_terms(train: DataFrame, id_col: str, tokens: Column, most: int = 4, vocab: int = 20_000, min_df: int = 3) -> DataFrame:
     """(gram, idf) learnt from training rows: ln((1 + rows) / (1 + rows with the gram)) + 1.
 
     Kept are the ``vocab`` most frequent of the grams that ``min_df`` rows have,
-    ties by the gram. Ids must differ.
+    ties by the gram. Ids must differ, and tokens have no blanks.
+
+    Grams are counted in buckets first. Only those whose bucket holds enough are then counted by
+    themselves: when ``vocab`` of them reach the bound, every gram left out is rarer than these. Else
+    the bound is lowered, at last to ``min_df``, which leaves out none that may be kept.
     """
+    bounded_batches(train.sparkSession)
     rows = train.count()
-    grams = gram_counts(train, id_col, tokens, most).groupBy("gram").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
-    top = grams.where(F.col("df") >= min_df).orderBy(F.desc("n"), "gram").limit(vocab)
+    own = train.select(id_col, tokens.alias("__tokens"))
+    held = _occurrences(own, most)
+    least = max(min_df, int(np.partition(held, -vocab)[-vocab]) // 2) if vocab < BUCKETS else min_df
+    while True:
+        grams = materialize(_counted_grams(own, most, held >= least).where(F.col("df") >= min_df), "grams")
+        if least <= min_df or grams.where(F.col("n") >= least).count() >= vocab:
+            break
+        least = max(min_df, least // 4)
+    top = grams.orderBy(F.desc("n"), "gram").limit(vocab)
     return materialize(top.select("gram", (F.log((F.lit(1.0) + rows) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")), "terms")
 
 
 def tfidf_vectors(df: DataFrame, terms: DataFrame, id_col: str, tokens: Column, most: int = 4) -> DataFrame:
-    """(id, terms): the known grams of each row as (gram, weight), by gram, of length one; rows without one don't appear."""
-    own = gram_counts(df, id_col, tokens, most).join(F.broadcast(terms), "gram")  # the vocabulary's size bounds the terms
-    own = own.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("gram", (F.col("n") * F.col("idf")).alias("w")))).alias("t"), F.sqrt(F.sum(F.pow(F.col("n") * F.col("idf"), F.lit(2.0)))).alias("__norm"))
-    return own.select(id_col, F.transform("t", lambda x: F.struct(x["gram"].alias("gram"), (x["w"] / F.col("__norm")).alias("weight"))).alias("terms"))
+    """(id, terms): the known grams of each row as (gram, weight), by gram, of length one; rows without one don't appear.
+
+    Ids must differ. Terms are matched by a hash of 64 bits.
+    """
+    bounded_batches(df.sparkSession)
+    known = terms.orderBy("gram").toArrow()  # the vocabulary's size bounds the terms
+    names, idf = known.column("gram").combine_chunks().cast(pa.string()), known.column("idf").to_numpy()
+    hashes = np.array([_gram_hashes(np.array([_word_hash(w) for w in g.split(" ")], np.uint64), g.count(" ") + 1)[0] for g in names.to_pylist()], np.uint64)
+    order = np.argsort(hashes)
+    sorted_ = hashes[order]
+    schema = T.StructType([df.schema[id_col], T.StructField("terms", T.ArrayType(T.StructType([T.StructField("gram", T.StringType()), T.StructField("weight", T.DoubleType())])))])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(order):
+                continue
+            for start, size, codes, _, words in _token_chunks(batch):
+                row, found = np.repeat(np.arange(len(size)), size), []
+                for _, at, h in _grams(size, words[codes], most):
+                    place = np.minimum(np.searchsorted(sorted_, h), len(order) - 1)
+                    hit = sorted_[place] == h
+                    found.append(row[at[hit]] * len(order) + order[place[hit]])
+                pair, n = np.unique(np.concatenate(found), return_counts=True)
+                own, term = pair // len(order), pair % len(order)
+                w = n * idf[term]
+                w = w / np.sqrt(np.bincount(own, w * w, len(size)))[own]
+                many = np.bincount(own, minlength=len(size))
+                some = np.flatnonzero(many)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many[some])]), pa.int32()), pa.StructArray.from_arrays([names.take(pa.array(term)), pa.array(w)], ["gram", "weight"]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(start + some)), lists], [id_col, "terms"])
+
+    return df.select(id_col, tokens.alias("__tokens")).mapInArrow(of, schema)
