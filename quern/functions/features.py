@@ -391,7 +391,7 @@ def _gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return _mixed(out)
 
 
-def _token_chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str], np.ndarray]]:
+def token_chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str], np.ndarray]]:
     """First row, tokens of each row, their codes, different tokens and these tokens' hashes, for some rows at a time."""
     size = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     total, i = np.cumsum(size), 0
@@ -421,7 +421,7 @@ def _occurrences(rows: DataFrame, most: int) -> np.ndarray:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for _, size, codes, _, hashes in _token_chunks(batch):
+            for _, size, codes, _, hashes in token_chunks(batch):
                 for _, _, h in _grams(size, hashes[codes], most):
                     np.add.at(n, _bucket(h), 1)
         yield pa.RecordBatch.from_arrays([pa.array(range(_PIECES), pa.int32()), pa.array([x.tobytes() for x in np.split(n, _PIECES)], pa.binary())], ["piece", "n"])
@@ -447,7 +447,7 @@ def _counted_grams(rows: DataFrame, most: int, wanted: np.ndarray) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.unpackbits(bits).astype(bool)
         for batch in batches:
-            for _, size, codes, tokens, hashes in _token_chunks(batch):
+            for _, size, codes, tokens, hashes in token_chunks(batch):
                 row = np.repeat(np.arange(len(size)), size)
                 grams, df, n = [], [], []
                 for k, at, h in _grams(size, hashes[codes], most):
@@ -504,7 +504,7 @@ def tfidf_vectors(df: DataFrame, terms: DataFrame, id_col: str, tokens: Column,
         for batch in batches:
             if not len(order):
                 continue
-            for start, size, codes, _, words in _token_chunks(batch):
+            for start, size, codes, _, words in token_chunks(batch):
                 row, found = np.repeat(np.arange(len(size)), size), []
                 for _, at, h in _grams(size, words[codes], most):
                     place = np.minimum(np.searchsorted(sorted_, h), len(order) - 1)

@@ -6,12 +6,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.batches import bounded_batches
+from quern.functions.features import token_chunks
 from quern.operators.graph import connected_components
 from quern.operators.ranges import ranked
 from quern.plans.materialize import materialize
@@ -25,7 +26,7 @@ FEW, HOT, LOT = 8, 64, 256
 
 
 #: Grams whose hashes a task holds at once.
-CACHED = 1 << 20
+CACHED = 1 << 18
 
 
 def _blake(data: bytes, seed: int) -> int:
@@ -37,11 +38,15 @@ def salts(n: int) -> np.ndarray:
     return np.array([_blake(k.to_bytes(4, "little"), 1) for k in range(n)], np.uint64)
 
 
-def grams(tokens: list[str], k: int) -> set[str]:
-    """Distinct k-grams; a shorter sequence whole; <EMPTY> for none."""
-    if len(tokens) >= k:
-        return set(map(" ".join, zip(*(tokens[i:] for i in range(k)))))
-    return {" ".join(tokens) or "<EMPTY>"}
+def _distinct_grams(size: np.ndarray, codes: np.ndarray, tokens: list[str], k: int) -> tuple[np.ndarray, list[str]]:
+    """Place of each k-gram within a row among the distinct ones, and these."""
+    ids = codes = codes.astype(np.int64)
+    for step in range(1, k):  # numbers of shorter grams stay below the number of tokens, so pairs don't overflow
+        ids = np.unique(ids[:-1] * len(tokens) + codes[step:], return_inverse=True)[1] if len(ids) > 1 else ids[:0]
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(codes))
+    at = np.flatnonzero(left >= k)
+    _, first, which = np.unique(ids[at], return_index=True, return_inverse=True)
+    return which, [" ".join(tokens[c] for c in codes[i : i + k].tolist()) for i in at[first].tolist()]
 
 
 def token_signature(df: DataFrame, id_col: str, ops: Column, k: int = 4, positions: int = POSITIONS) -> DataFrame:
@@ -49,30 +54,38 @@ def token_signature(df: DataFrame, id_col: str, ops: Column, k: int = 4, positio
 
     A gram's hash is its 64-bit blake2b under seed 0; the smallest is taken of
     unsigned numbers, which are kept as longs of the same bits. Few different
-    grams make up most sequences, so a task hashes each once as long as it has
-    no more than CACHED. A null sequence counts as empty.
+    grams make up most sequences, so a task hashes each once for the rows that it holds at
+    once, and keeps the hashes of about CACHED. A null sequence counts as empty.
     """
     salt = salts(positions)
 
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
-        for pdf in frames:
-            out = []
-            for tokens in pdf["__ops"]:
-                own = grams([] if tokens is None else list(tokens), k)
-                if len(known) > CACHED:
-                    known.clear()
-                for g in own.difference(known):
-                    known[g] = _blake(g.encode(), 0)
-                h = np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
-                low = np.full(positions, np.iinfo(np.uint64).max, np.uint64)
-                for i in range(0, len(h), 4096):  # a long text's hashes meet the salts in bounded pieces
-                    low = np.minimum(low, np.bitwise_xor.outer(salt, h[i : i + 4096]).min(1))
-                out.append(low.view(np.int64))
-            yield pd.DataFrame({id_col: pdf[id_col], "sig": out})
+    def hashed(own: list[str], known: dict[str, int]) -> np.ndarray:
+        if len(known) > CACHED:
+            known.clear()
+        return np.fromiter((known.get(g) or known.setdefault(g, _blake(g.encode(), 0)) for g in own), np.uint64, len(own))
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            out = np.empty((batch.num_rows, positions), np.int64)
+            for start, size, codes, tokens, _ in token_chunks(batch):
+                which, own = _distinct_grams(size, codes, tokens, k)
+                h = hashed(own, known)[which]
+                last = np.cumsum(np.maximum(size - k + 1, 0))
+                end = np.cumsum(size)
+                for row in range(len(size)):
+                    short = size[row] < k
+                    mine = hashed([" ".join(tokens[c] for c in codes[end[row] - size[row] : end[row]]) or "<EMPTY>"], known) if short else h[last[row] - size[row] + k - 1 : last[row]]
+                    low = np.full(positions, np.iinfo(np.uint64).max, np.uint64)
+                    for i in range(0, len(mine), 4096):  # a long text's hashes meet the salts in bounded pieces
+                        low = np.minimum(low, np.bitwise_xor.outer(salt, mine[i : i + 4096]).min(1))
+                    out[start + row] = low.view(np.int64)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), positions).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], [id_col, "sig"])
+
+    bounded_batches(df.sparkSession)
     rows = df.select(id_col, ops.alias("__ops"))
-    return rows.mapInPandas(of, T.StructType([df.schema[id_col], T.StructField("sig", kind("[long]"))]))
+    return rows.mapInArrow(of, T.StructType([df.schema[id_col], T.StructField("sig", kind("[long]"))]))
 
 
 def agreement(a: Column, b: Column) -> Column:

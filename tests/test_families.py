@@ -130,3 +130,21 @@ def test_novelty_against_all_known_rows(spark, kind, monkeypatch):
         assert got[i].similarity == (top if top * 128 >= 103 else None)
         want = "exact_overlap" if got[i].exact else "near_085" if top >= 0.85 else "near_080" if top * 128 >= 103 else "novel"
         assert got[i]["class"] == want
+
+
+def test_signatures_read_batches_of_bounded_bytes(spark):
+    """Distinct grams are hashed for some rows at a time, and batches are bounded by bytes, not by rows alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        similarity.token_signature(spark.createDataFrame([(1, ["a"])], "id long, ops array<string>"), "id", F.col("ops"))
+        assert spark.conf.get(key, None) is not None
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    rng = np.random.default_rng(5)
+    rows = [[f"t{x}" for x in rng.integers(0, 6, n)] for n in (0, 1, 3, 4, 5, 40, 2, 300)]
+    flat = [t for r in rows for t in r]
+    tokens = sorted(set(flat))
+    which, own = similarity._distinct_grams(np.array([len(r) for r in rows]), np.array([tokens.index(t) for t in flat]), tokens, 4)
+    assert [own[k] for k in which] == [" ".join(r[i : i + 4]) for r in rows for i in range(len(r) - 3)] and len(set(own)) == len(own)
