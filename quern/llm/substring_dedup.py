@@ -34,6 +34,8 @@ from quern.plans.materialize import materialize
 #: Hash functions, at most 16, and how many must agree. A passage of 50 words at similarity
 #: 0.8 shares each function's minimum with a chance of 0.8, so two of six with 0.998.
 FUNCTIONS, NEEDED = 6, 2
+#: How many must agree of what the first documents leave open: three of six with 0.983.
+AGAIN = 3
 #: One of so many documents is sampled for frequent windows, and how often one must be there.
 SAMPLED, FREQUENT = 64, 32
 _PLACE = np.uint64((1 << 28) - 1)
@@ -116,26 +118,33 @@ def _windows(width: int, t: int, functions: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by key and id, whose key has several ids; rows that are known to be many pass."""
+    """Rows, sorted by key, whose key has several ids, with the first of that key; rows that are known to be many pass without."""
     held = None
     for batch in batches:
         rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        key, doc, hot = (rows.column(c).to_numpy() for c in ("key", "id", "hot"))
+        key, hot = (rows.column(c).to_numpy() for c in ("key", "hot"))
         begin = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1]) if len(key) else np.zeros(0, np.int64)
         # the last run may go on in the next batch
         done = begin[-1] if len(begin) and not hot[-1] else len(key)
         held = rows.slice(done)
-        yield from _several(rows.slice(0, done), begin[begin < done], doc, hot)
+        yield from _several(rows.slice(0, done), begin[begin < done])
     if held is not None and held.num_rows:
-        yield from _several(held, np.zeros(1, np.int64), held.column("id").to_numpy(), held.column("hot").to_numpy())
+        yield from _several(held, np.zeros(1, np.int64))
 
 
-def _several(rows: pa.Table, begin: np.ndarray, doc: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    n = rows.num_rows
-    if n:
-        end = np.append(begin[1:], n)
-        keep = np.repeat(doc[begin] != doc[end - 1], end - begin) | hot[:n]
-        yield from rows.filter(pa.array(keep)).drop_columns(["hot"]).to_batches()
+def _several(rows: pa.Table, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not rows.num_rows:
+        return
+    n = np.diff(np.append(begin, rows.num_rows))
+    hot, doc = (rows.column(c).to_numpy() for c in ("hot", "id"))
+    keep = np.repeat(np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin), n) | hot
+    rows, low = rows.drop_columns(["hot"]), np.ones(len(doc), bool)
+    for c in ("id", "c", "l", "r"):
+        own = rows.column(c).to_numpy()
+        least = np.repeat(np.minimum.reduceat(np.where(low, own, np.iinfo(own.dtype).max), begin), n)
+        low &= own == least
+        rows = rows.append_column(f"h{c}", pa.array(least, mask=hot))
+    yield from rows.filter(pa.array(keep)).to_batches()
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -196,13 +205,56 @@ def open_runs(doc: np.ndarray, key: np.ndarray, c: np.ndarray, lo: np.ndarray, h
     return x[first].view(np.int64), doc[new][own], link[first], seen[last + 1] > seen[first]
 
 
+def paired_minima(doc: np.ndarray, key: np.ndarray, c: np.ndarray, lo: np.ndarray, hi: np.ndarray, span: np.ndarray, copy: np.ndarray, first: np.ndarray, functions: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each two functions, a hash of their minima that some stretches of a document share, the document, whether no
+    passage holds both, their places, the first and last of the stretches, and the functions' bits.
+
+    Rows are as in ``open_runs``. Minima that lie in a word for word ``copy`` are left to
+    its source, and two that the document is the ``first`` to have were met by all others.
+    """
+    if not len(doc):
+        return
+    new = np.concatenate([[True], doc[1:] != doc[:-1]])
+    size = np.maximum.reduceat(np.where(span, hi, np.maximum(hi, c) + 1), np.flatnonzero(new)) + 1
+    base, total = (np.cumsum(size) - size)[np.cumsum(new) - 1], int(size.sum())
+
+    def held(rows: np.ndarray) -> np.ndarray:
+        """Whether each place lies in one of the passages."""
+        return np.cumsum(np.bincount(base[rows] + lo[rows], minlength=total + 1) - np.bincount(base[rows] + hi[rows], minlength=total + 1)) > 0
+
+    known, equal = held(np.flatnonzero(span)), held(np.flatnonzero(span & copy))
+    mine = np.flatnonzero(~span)
+    mine = mine[~equal[base[mine] + c[mine]]]
+    mine = mine[np.argsort(base[mine] + lo[mine], kind="stable")]
+    # stretches of one function's minima don't overlap, so they ascend by both ends
+    each = [mine[(key[mine] & int(_BAND)) == f] for f in range(functions)]
+    for f in range(functions):
+        for g in range(f + 1, functions):
+            a, b = each[f], each[g]
+            begin = np.searchsorted(base[b] + hi[b], base[a] + lo[a])
+            n = np.maximum(np.searchsorted(base[b] + lo[b], base[a] + hi[a], "right") - begin, 0)
+            a, b = np.repeat(a, n), b[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin, n)]
+            a, b = a[~(first[a] & first[b])], b[~(first[a] & first[b])]
+            with np.errstate(over="ignore"):
+                x = mix(key[a].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + key[b].view(np.uint64)).view(np.int64)
+            free = ~(known[base[a] + c[a]] & known[base[b] + c[b]])
+            yield x, doc[a], free, c[a], c[b], np.maximum(lo[a], lo[b]), np.minimum(hi[a], hi[b]), np.full(len(a), 1 << f | 1 << g)
+
+
+#: Rows of stretches with all minima, and of ``paired_minima``, whose bits aren't null.
+_RUNS = pa.schema([("x", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("free", pa.bool_()), *((n, pa.int32()) for n in ("c", "c2", "lo", "hi", "bits"))])
+_RUNS_DDL = "x long, id long, key long, free boolean, c int, c2 int, lo int, hi int, bits int"
+
+
 def _open_runs(t: int, functions: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_document(batches):
-            doc, key, span = (rows.column(c).to_numpy() for c in ("id", "key", "span"))
+            doc, key, span, copy, first = (rows.column(c).to_numpy() for c in ("id", "key", "span", "copy", "first"))
             c, lo, hi = (rows.column(c).to_numpy().astype(np.int64) for c in ("c", "lo", "hi"))
-            x, own, link, free = open_runs(doc, key, c, lo, hi, span, t, functions)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(own), pa.array(link), pa.array(free)], ["x", "id", "key", "free"])
+            own = open_runs(doc, key, c, lo, hi, span, t, functions)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, own), *(pa.nulls(len(own[0]), pa.int32()) for _ in range(5))], schema=_RUNS)
+            for x, ids, free, *rest in paired_minima(doc, key, c, lo, hi, span, copy, first, functions):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(ids), pa.nulls(len(x), pa.int64()), pa.array(free), *(pa.array(v.astype(np.int32)) for v in rest)], schema=_RUNS)
         trim()
 
     return of
@@ -445,10 +497,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     hot = many.where(F.col("n") >= least).select("key", F.ceil(F.col("n") * SAMPLED / SPREAD_ROWS).cast("int").alias("lots"))
     window = window.join(F.broadcast(hot), "key", "left").withColumn("hot", F.col("lots").isNotNull())
     window = window.withColumn("lot", F.coalesce(F.pmod(F.xxhash64("id"), F.col("lots")), F.lit(0)).cast("int")).drop("lots")
-    shared = window.repartition("key", "lot").sortWithinPartitions("key", "id").drop("lot").mapInArrow(_shared, schema)
+    shared = window.repartition("key", "lot").sortWithinPartitions("key").drop("lot").mapInArrow(_shared, f"{schema}, hid long, hc int, hl int, hr int")
     shared = materialize(shared, "windows")
-    heads = shared.groupBy("key").agg(F.min(F.struct("id", "c", "l", "r")).alias("h"), F.max("id").alias("most"), F.count("*").alias("rows")).where("h.id != most").drop("most")
-    met = spread_join(shared, materialize(heads, "heads"), ["key"], "rows").where("id != h.id")
+    own = ("key", "id", "c", "l", "r")
+    far = shared.where("hid is null").select(*own)
+    heads = far.groupBy("key").agg(F.min(F.struct("id", "c", "l", "r")).alias("h"), F.max("id").alias("most"), F.count("*").alias("rows")).where("h.id != most").drop("most")
+    heads = materialize(heads, "heads")
+    near = shared.where("id != hid").select(*own, F.struct(*(F.col(f"h{c}").alias(c) for c in own[1:])).alias("h"))
+    met = near.unionByName(spread_join(far, heads, ["key"], "rows").where("id != h.id").select(*own, "h"))
     shift = F.col("c") - F.col("h.c")
     # the stretch over which both windows hold, widened by a passage on each side
     lo = F.greatest(F.lit(0), F.greatest(F.col("l"), F.col("h.l") + shift) - t)
@@ -460,10 +516,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     # stretches, by their start, at which a window's minimum is theirs
     starts = (F.greatest("l", F.col("c") - t + 1).alias("lo"), F.least("c", F.col("r") - t + 1).alias("hi"))
-    passage = found.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("key"), F.lit(0).alias("c"), F.col("start_word").cast("int").alias("lo"), (F.col("end_word") - width + 1).cast("int").alias("hi"), F.lit(True).alias("span"))
-    places = shared.select("id", "key", "c", *starts, F.lit(False).alias("span")).unionByName(passage)
-    runs = places.repartition("id").sortWithinPartitions("id").mapInArrow(_open_runs(t, functions), "x long, id long, key long, free boolean")
+    passage = found.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("key"), F.lit(0).alias("c"), F.col("start_word").cast("int").alias("lo"), (F.col("end_word") - width + 1).cast("int").alias("hi"), F.lit(True).alias("span"), (F.col("similarity") == 1).alias("copy"), F.lit(False).alias("first"))
+    # the first of a key that was dealt over several tasks
+    top = heads.select("key", F.col("h.id").alias("top"))
+    places = shared.join(F.broadcast(top), "key", "left").select("id", "key", "c", *starts, F.lit(False).alias("span"), F.lit(False).alias("copy"), F.coalesce(F.col("id") == F.coalesce("hid", "top"), F.lit(False)).alias("first")).unionByName(passage)
+    runs = places.repartition("id").sortWithinPartitions("id").mapInArrow(_open_runs(t, functions), _RUNS_DDL)
     runs = materialize(runs, "runs")
+    paired, runs = runs.where("bits is not null").drop("key"), runs.where("bits is null").select("x", "id", "key", "free")
     # the first document with all the minima of a stretch needs no passage for it, a later one does
     open_ = runs.groupBy("x").agg(F.min("id").alias("first"), F.max(F.when(F.col("free"), F.col("id"))).alias("last"), F.first("key").alias("key")).where("last > first")
     # the windows of the first function in which such stretches lie, one row of a document each
@@ -479,7 +538,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first = materialize(first.select("x", "h", "rows"), "first")
     met = stretch.where("free").join(small_ids(first.select("x")), "x", "left_semi")
     met = spread_join(met, first, ["x"], "rows").where(F.col("id") != F.col("h.id"))
-    again = _diagonals(met.select(F.col("h.id").alias("src"), F.col("id").alias("dst"), (F.col("s") - F.col("h.s")).alias("d"), F.greatest(F.lit(0), F.col("s") - t).alias("lo"), (F.col("s") + 2 * t - 1).alias("hi"), F.lit((1 << functions) - 1).alias("bits")), needed)
+    met = met.select(F.col("h.id").alias("src"), F.col("id").alias("dst"), (F.col("s") - F.col("h.s")).alias("d"), F.greatest(F.lit(0), F.col("s") - t).alias("lo"), (F.col("s") + 2 * t - 1).alias("hi"), F.lit((1 << functions) - 1).alias("bits"))
+    again = _diagonals(met.unionByName(_met_by_two(paired, t)), min(max(needed, AGAIN), functions))
     again = materialize(again, "pairs")
     both = again.join(pairs_.withColumnRenamed("diagonals", "before"), ["src", "dst"], "left")
     both = both.select("src", "dst", F.concat("diagonals", F.coalesce("before", F.array().cast(again.schema["diagonals"].dataType))).alias("diagonals"))
@@ -487,6 +547,25 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return found.join(again.select("src", "dst"), key, "left_anti").unionByName(_verified(both, texts, width, t, percent, needed)).unionByName(whole)
 
 
+def _met_by_two(paired: DataFrame, t: int) -> DataFrame:
+    """(src, dst, d, lo, hi, bits) of documents that share two functions' minima with the first document
+    that no passage explains there, or with the first other one."""
+    met = paired.groupBy("x").agg(F.max("free").alias("open"), F.min("id").alias("least"), F.max("id").alias("most")).where("open and least != most")
+    paired = paired.join(small_ids(materialize(met.select("x"), "met")), "x", "left_semi")
+    held = F.struct("id", "c", "c2", "lo", "hi")
+    tops = paired.groupBy("x").agg(F.min(F.when(F.col("free"), held)).alias("open"), F.min(F.when(~F.col("free"), held)).alias("known"), F.count("*").alias("rows"))
+    tops = materialize(tops, "tops")
+    met = spread_join(paired, tops, ["x"], "rows")
+    each = F.array(F.col("open"), F.when(F.col("free"), F.col("known")))
+    met = met.select("id", "c", "c2", "lo", "hi", "bits", F.explode(F.filter(each, lambda h: h.isNotNull() & (h["id"] != F.col("id")))).alias("h"))
+    later = F.col("id") > F.col("h.id")
+    side = lambda n: F.when(later, F.col(n)).otherwise(F.col(f"h.{n}"))
+    one = F.col("bits").bitwiseAND(-F.col("bits"))
+    ways = F.array(F.struct((F.col("c") - F.col("h.c")).alias("d"), one.alias("bit")), F.struct((F.col("c2") - F.col("h.c2")).alias("d"), (F.col("bits") - one).alias("bit")))
+    met = met.select(F.least("id", "h.id").alias("src"), F.greatest("id", "h.id").alias("dst"), F.greatest(F.lit(0), side("lo") - t).alias("lo"), (side("hi") + 2 * t - 1).alias("hi"), F.when(later, 1).otherwise(-1).alias("sign"), F.explode(ways).alias("w"))
+    return met.select("src", "dst", (F.col("w.d") * F.col("sign")).alias("d"), "lo", "hi", F.col("w.bit").alias("bits"))
+
+
 def _diagonals(met: DataFrame, needed: int) -> DataFrame:
     """(src, dst, diagonals) from one row per meeting, where functions enough met."""
     diagonal = met.groupBy("src", "dst", "d").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bit_or("bits").alias("bits"))

@@ -214,3 +214,23 @@ def test_questions_asked_again_and_brute_force(spark):
     kept = d.drop_contaminated(df.withColumn("extra", df.doc_id), spark.createDataFrame(items, "item_id long, text string"))
     bad = {docs[k] for k, text in enumerate(docs) if any(list(d._found(d.Index([i], [t.encode()]), [(text or "").encode()])) for i, t in items if t is not None and i is not None)}
     assert kept.columns == ["doc_id", "text", "extra"] and sorted((r.text for r in kept.collect()), key=str) == sorted((t for t in docs if t not in bad), key=str)
+
+
+def test_near_copies_behind_documents_edited_more(spark):
+    """Three documents hold 50 words with four changed, the fourth holds them as they are and the fifth with one changed."""
+    rng, rows, n = random.Random(12), [], 200
+
+    def edited(p, k):
+        q = list(p)
+        for at in rng.sample(range(5, 45), k):
+            q[at] = f"edit{rng.randrange(10**9)}"
+        return q
+
+    for k in range(n):
+        p = words(rng, 50)
+        for j, part in enumerate([*(edited(p, 4) for _ in range(3)), p, edited(p, 1)]):
+            rows.append((5 * k + j, " ".join([*words(rng, 25), *part, *words(rng, 25)])))
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    share = sum(any(r.doc_id == 5 * k + 4 and r.source_doc_id == 5 * k + 3 for r in found) for k in range(n)) / n
+    print("behind edited documents:", share)
+    assert share >= 0.93
