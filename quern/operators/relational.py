@@ -12,6 +12,8 @@ from quern.plans.materialize import materialize
 
 #: Rows of a rule dimension that may be sent to every executor.
 BROADCAST_ROWS = 100_000
+#: Rows, and pairs of them, that one task gets where members of a group meet.
+MEETING_ROWS = 250_000
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -75,11 +77,17 @@ def group_matches(df: DataFrame, group: str, member: str, selector: str) -> Data
     """(group, member, other, shared): members of one group that share selectors, member < other, with those they share.
 
     Members meet on group and selector at once, so only pairs with something in
-    common arise, whatever the size of a group. Nulls match nothing.
+    common arise, whatever the size of a group. Nulls match nothing. Rows and pairs
+    are counted first and dealt over as many tasks as they take, so what a task holds doesn't grow with them.
     """
-    own = df.select(group, member, selector).dropna().distinct()
+    rows = df.select(group, member, selector).dropna()
+    own = materialize(rows.repartition(1 + rows.count() // MEETING_ROWS, group, selector).distinct(), "members")
+    meet = own.groupBy(group, selector).agg(F.count("*").cast("double").alias("n"))
+    lots = 1 + int((meet.agg(F.sum(F.col("n") * (F.col("n") + 1) / 2)).first()[0] or 0) // MEETING_ROWS)
+    own = own.repartition(lots, group, selector)
     other = own.withColumnRenamed(member, "other")
     pairs = own.join(other, [group, selector]).where(F.col(member) < F.col("other"))
+    pairs = pairs.repartition(lots, group, member, "other")
     return pairs.groupBy(group, member, "other").agg(F.array_sort(F.collect_list(selector)).alias("shared"))
 
 

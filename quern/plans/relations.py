@@ -27,7 +27,7 @@ def sibling_relation(spark, sf_dir):
 )
 def selector_overlap_match(spark, sf_dir):
     """Suppliers of one nation that sell the same parts, as related contracts that share selectors."""
-    sold = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_partkey").distinct()
+    sold = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_partkey")
     out = relational.group_matches(sold.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey"), "s_nationkey", "s_suppkey", "l_partkey")
     name = lambda c: F.concat(F.lit("s"), F.col(c).cast("string"))
     return out.select(name("s_suppkey").alias("target"), name("other").alias("related"), F.array_join("shared", ",").alias("shared"))

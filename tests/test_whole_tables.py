@@ -157,3 +157,15 @@ def test_neighbours_of_every_hundredth(spark, sf, monkeypatch):
         for r in registry.queries()["nearest_neighbor"](spark, sf).collect():
             got.setdefault(r.id, []).append((r["rank"], r.neighbour, r.distance))
         assert {k: sorted(x) for k, x in got.items()} == want
+
+
+def test_members_that_meet_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
+    from quern.operators import relational
+
+    rows = [(g, m, s) for g in range(4) for m in range(6) for s in range(m, 30, m + 1)] + [(None, 1, 1), (1, None, 1), (1, 1, None)]
+    df = spark.createDataFrame(rows, "g int, m int, s int")
+    usual = sorted(relational.group_matches(df, "g", "m", "s").collect())
+    monkeypatch.setattr(relational, "MEETING_ROWS", 20)
+    out = relational.group_matches(df, "g", "m", "s")
+    assert out.rdd.getNumPartitions() >= 20
+    assert sorted(out.collect()) == usual and len(usual) == 4 * 15 - 4 * sum(not set(range(a, 30, a + 1)) & set(range(b, 30, b + 1)) for a in range(6) for b in range(a))
